@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, toxicity, warc
+from . import exact_dedup, mixing, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.public_tokenizer("byte_bpe_50k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
