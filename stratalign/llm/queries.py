@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, mixing, packing, quality, toxicity, warc
+from . import ann, exact_dedup, mixing, ngram_join, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.public_tokenizer("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_hnsw_neighbours": op9_hnsw_neighbours,

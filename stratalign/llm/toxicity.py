@@ -181,3 +181,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = keep_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold(F.col("doc_id")) == 0).alias("held_out"))
     scored = rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 3000, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    model = fit(labelled_texts(docs, labels, label_col, rows_per_class, id_col, text_col)[0])
+    if model is None:
+        return docs
+    quoted = "`" + text_col.replace("`", "``") + "`"
+    score = scorer(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            empty = pa.nulls(batch.num_rows)
+            scored = next(score(iter([pa.RecordBatch.from_arrays([empty, text, empty], ["doc_id", "text", "held_out"])])))
+            stays = np.array(scored.column(2)) < threshold
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(stays))
+
+    return docs.select("*", F.expr(quoted).cast("string").alias("__text")).mapInArrow(keep, docs.schema)
