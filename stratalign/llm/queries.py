@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, mixing, ngram_join, packing, quality, toxicity, warc
+from . import ann, exact_dedup, lm, mixing, ngram_join, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.public_tokenizer("byte_bpe_50k.json"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_toxicity": op8_toxicity,
     "op9_hnsw_neighbours": op9_hnsw_neighbours,
     "op10_quality": op10_quality,
