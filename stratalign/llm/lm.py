@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class, history).  Features of
-the history are the last word, the last two together, and the second and third
-last alone; each picks a row of a weight table by hash.  Frequent words lie in
+the history are the last word, the last two together, and, skipping the last,
+the one before it; each picks a row of a weight table by hash.  Frequent words lie in
 classes of equal size whose inner softmax has weights of its own; the other
 words lie in classes by frequency, within which a word has its smoothed share.
 Biases are exact shares over the whole training corpus.
@@ -39,7 +39,6 @@ START = U64(0x1234567887654321)
 TABLE_WORDS = 400_000
 CLASSES, WIDTH, TAILS = 48, 64, 12
 OUTER_BITS, INNER_BITS = 13, 14
-FEATURES = 4
 BATCH = 8192
 RATE = 0.1
 
@@ -145,7 +144,7 @@ class Stream:
         self.inner = np.where(known, vocabulary.inner[self.place], -1) if len(vocabulary.hashes) else np.full(len(hashes), -1)
         firsts = rows[:-1]
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             shifted = np.empty_like(hashes)
             shifted[:k], shifted[k:] = START, hashes[:-k] if k < len(hashes) else hashes[:0]
             for j in range(k):
@@ -153,7 +152,7 @@ class Stream:
                 shifted[at[at < rows[1:]]] = START
             back.append(shifted)
         with np.errstate(over="ignore"):
-            self.features = [textkit.mix(x * U64(2 * k + 0x9E3779B97F4A7C15) + U64(k)) for k, x in enumerate((back[0], back[1], back[2], back[0] * U64(0xD1342543DE82EF95) + back[1]))]
+            self.features = [textkit.mix(x * U64(2 * k + 0x9E3779B97F4A7C15) + U64(k)) for k, x in enumerate((back[0], back[1], back[0] * U64(0xD1342543DE82EF95) + back[1]))]
 
     def outer_rows(self, part: slice) -> np.ndarray:
         return np.stack([(f[part] >> U64(64 - OUTER_BITS)).astype(np.int64) for f in self.features], 1)
@@ -188,7 +187,10 @@ class Table:
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        total = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
+        # Sums of runs as differences of one running sum, several times as fast as reduceat over wide rows.
+        running = np.cumsum(gradient[order % len(gradient)], axis=0)
+        total = running[np.r_[first[1:], len(ordered)] - 1]
+        total[1:] -= running[first[1:] - 1]
         at = ordered[first]
         self.squares[at] += (total * total).mean(1)
         self.weights[at] -= (RATE / np.sqrt(self.squares[at]))[:, None] * total
