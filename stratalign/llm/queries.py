@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, lm, mixing, ngram_join, packing, quality, toxicity, warc
+from . import ann, exact_dedup, licenses, lm, mixing, ngram_join, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.public_tokenizer("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_license_scan": op3_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_maxent_lm": op7_maxent_lm,
     "op8_toxicity": op8_toxicity,
