@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.taskcontext import TaskContext
 
 from .storage import Scratch, keep_columns
 
@@ -142,38 +141,32 @@ def build_graph(vectors: np.ndarray, width: int = 16, candidates: int = 48, seed
     return level_of, graph
 
 
-def _index(shard_rows: int, width: int):
+def _index(width: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, list[int]]]] = {}
-        number = TaskContext.get().partitionId() << 12
+        """Rows (dim, key, ids, shard) sorted by shard and dimension."""
+        held: list[tuple[bytes, list[int]]] = []
+        current: tuple[int, int] | None = None  # shard, dim
 
-        def shard(dim: int) -> pa.RecordBatch:
-            nonlocal number
-            rows = sorted(held.pop(dim))
+        def built() -> pa.RecordBatch:
+            shard, dim = current
+            rows = sorted(held)
             vectors = np.frombuffer(b"".join(k for k, _ in rows), np.float64).reshape(len(rows), dim)
             levels, graph = build_graph(vectors, width)
-            number += 1
             links = b"".join(np.array(t.shape, np.int64).tobytes() + t.tobytes() for t in graph)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([dim], pa.int32()),
-                    pa.array([number - 1], pa.int32()),
-                    pa.array([vectors.tobytes()], pa.binary()),
-                    pa.array([np.concatenate([np.array(i, np.int64) for _, i in rows]).tobytes()], pa.binary()),
-                    pa.array([np.array([len(i) for _, i in rows], np.int64).tobytes()], pa.binary()),
-                    pa.array([levels.tobytes()], pa.binary()),
-                    pa.array([links], pa.binary()),
-                ],
-                schema=_INDEX,
-            )
+            ids = np.concatenate([np.array(i, np.int64) for _, i in rows]).tobytes()
+            counts = np.array([len(i) for _, i in rows], np.int64).tobytes()
+            values = (dim, shard, vectors.tobytes(), ids, counts, levels.tobytes(), links)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _INDEX, strict=True)], schema=_INDEX)
 
         for batch in batches:
-            for dim, key, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.setdefault(dim, []).append((key, ids))
-                if len(held[dim]) >= shard_rows:
-                    yield shard(dim)
-        for dim in sorted(held):
-            yield shard(dim)
+            for dim, key, ids, shard in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (shard, dim) != current:
+                    if held:
+                        yield built()
+                    held, current = [], (shard, dim)
+                held.append((key, ids))
+        if held:
+            yield built()
 
     return index
 
@@ -307,7 +300,9 @@ def build_index(df: DataFrame, scratch: Scratch, k: int = 20, id_col: str = "vec
     """One row a shard with its vectors, ids and flat neighbour arrays."""
     distinct = scratch.save(distinct_vectors(df, k + 1, id_col, vector_col), "distinct")
     shards = max(1, -(-distinct.count() // shard_rows))
-    return scratch.save(distinct.repartition(shards, F.xxhash64("key")).mapInArrow(_index(shard_rows, width), _INDEX_DDL), "index")
+    dealt = distinct.select("dim", "key", "ids", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "dim")
+    return scratch.save(dealt.mapInArrow(_index(width), _INDEX_DDL), "index")
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, width: int = 16, breadth: int = 128, block_rows: int = 1024) -> DataFrame:
@@ -319,8 +314,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     shards = index.select("dim", "shard")
     # A block's row for each shard of its dimension: blocks times shards rows, each of a thousand queries.
     by_dim = shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    dealt = blocks.join(by_dim, "dim").select("query_ids", "queries", F.explode("shards").alias("shard"))
+    dealt = blocks.join(by_dim, "dim").select("dim", "query_ids", "queries", F.explode("shards").alias("shard"))
     tasks = max(1, dealt.count())
-    found = dealt.join(index, "shard").repartition(tasks).mapInArrow(_search(k, breadth), _FOUND_DDL)
+    found = dealt.join(index, ["dim", "shard"]).repartition(tasks).mapInArrow(_search(k, breadth), _FOUND_DDL)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
