@@ -122,20 +122,29 @@ def toxic_words(ordinary: list[bytes], toxic: list[bytes], size: int = 6, ratio:
     """Words of toxic documents, each with its predecessor once, that hold a character sequence which toxic
     documents have over ratio times as often as ordinary ones.  Counting a word once with each predecessor
     keeps copies of a document from counting again."""
-    split = [[doc.lower().split() for doc in docs] for docs in (ordinary, toxic)]
-    pairs = [{pair for words in docs for pair in zip([b"", *words[:-1]], words, strict=False)} for docs in split]
-    counts: list[Counter] = []
-    for found in pairs:
-        times = Counter(word for _, word in found)
+    counts, found, words_of = [], [], []
+    for docs in (ordinary, toxic):
+        seen: set[int] = set()
+        times: Counter = Counter()
+        for doc in docs:
+            before = b""
+            for word in doc.lower().split():
+                if (pair := hash((before, word))) not in seen:
+                    seen.add(pair)
+                    times[word] += 1
+                before = word
         counter: Counter = Counter()
         for word, n in times.items():
             for gram in _grams(word, size):
                 counter[gram] += n
         counts.append(counter)
+        found.append(len(seen))
+        words_of.append(times)
+        del seen
     least = max(least, len(toxic) // 50)
-    odds = ratio * len(pairs[1]) / max(1, len(pairs[0]))
+    odds = ratio * found[1] / max(1, found[0])
     marked = {g for g, n in counts[1].items() if n >= least and n > odds * (counts[0][g] + 0.5)}
-    return sorted(word for _, word in pairs[1] if not marked.isdisjoint(_grams(word, size)))
+    return sorted(word for word, n in words_of[1].items() if not marked.isdisjoint(_grams(word, size)) for _ in range(n))
 
 
 def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> ToxicityModel | None:
