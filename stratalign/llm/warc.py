@@ -124,8 +124,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     scratch = Scratch(spark, "warc")
     rows = keep_columns(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     digest = F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    # Each row's number within its digest's largest id decides repeated rows: (id, number) is unique.
-    rows = rows.withColumns({"digest": digest, "row": F.monotonically_increasing_id()})
+    # The number tells repeated rows (one id, one payload) apart, so it is written down: made anew it could change.
+    rows = scratch.save(rows.withColumns({"digest": digest, "row": F.monotonically_increasing_id()}), "rows")
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), F.col("row")))
     groups = scratch.save(rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1"), "groups")
     # Digests of over hot_share of all grouped rows: at most 1 / hot_share of them, so they may be broadcast;
@@ -139,7 +139,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisit = F.col("best").isNotNull() & ((F.col("best.row") != F.col("row")) | F.lit(False))
     rows = rows.select("page_id", "url", "html", F.when(revisit & F.col("best.known"), F.col("best.id")).alias("refers_to"), revisit.alias("revisit"))
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return scratch.save(rows.mapInArrow(_write(folder, date), "path string, bytes long, records long"), "manifest")
+    manifest = scratch.save(rows.mapInArrow(_write(folder, date), "path string, bytes long, records long"), "manifest")
+    scratch.drop("rows", "groups")
+    return manifest
 
 
 def _members(stream, start: int, end: int) -> Iterator[bytes]:
