@@ -139,9 +139,9 @@ def brute_components(rows, n, percent):
     return sets, label
 
 
-@pytest.mark.parametrize("unit", [1024, 2])
-def test_near_duplicates(docs, empty, unit):
-    rows = ngram_join.near_duplicates(docs, n=4, percent=85, unit_docs=unit).collect()
+@pytest.mark.parametrize(("unit", "hot"), [(1024, 20_000), (2, 20_000), (1024, 0)])
+def test_near_duplicates(docs, empty, unit, hot):
+    rows = ngram_join.near_duplicates(docs, n=4, percent=85, unit_docs=unit, hot=hot).collect()
     assert len(rows) == len(awkward())
     sets, label = brute_components(awkward(), 4, 85)
     for r in rows:
@@ -150,7 +150,7 @@ def test_near_duplicates(docs, empty, unit):
         else:
             assert r["n_shingles"] == len(sets[r["doc_id"]])
             assert r["component_id"] == label[r["doc_id"]]
-    if unit == 1024:
+    if hot and unit == 1024:
         assert ngram_join.near_duplicates(empty).count() == 0
 
 
