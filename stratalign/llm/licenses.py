@@ -1,11 +1,10 @@
 """Licence scans: passages compared with licence templates.
 
 Texts are normalised (A-Z to lower case, every other ASCII mark a space).  Word
-pairs that some template has are found by hash; runs of such pairs, at most a
-template's length apart, are the passages looked at.  A passage is compared with
-those templates alone whose number of pairs allows the asked Dice coefficient:
-2 * shared / (a + b) >= t needs a and b within a factor (2 - t) / t.  Windows of
-the template's length are slid over longer passages.
+pairs that some template has are found by hash.  A text is compared with those
+templates alone of which it has enough pairs for the asked Dice coefficient:
+2 * shared / (a + b) >= t needs a and b within a factor (2 - t) / t.  Every passage
+of such a size from one of the template's pairs to another is tried.
 
 Whole texts count.  A null or empty text has no licence.  Ties go to the longer
 and then the alphabetically first template.  Ids may be null or repeated; an
@@ -76,6 +75,20 @@ def pairs(data: np.ndarray, offsets: np.ndarray, plain: np.ndarray) -> tuple[np.
     return joint[textkit.ranges(rows[:-1], made)], out_rows
 
 
+def _before(values: np.ndarray) -> np.ndarray:
+    """Where each value was last, -1 for nowhere."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _after(values: np.ndarray) -> np.ndarray:
+    """Where each value is next, the length for nowhere."""
+    return len(values) - 1 - _before(values[::-1])[::-1]
+
+
 class Matcher:
     def __init__(self, templates: Sequence[tuple[str, str]], threshold: float):
         self.plain, self.threshold = _plain(), threshold
@@ -85,29 +98,51 @@ class Matcher:
         self.sets = [np.unique(found[rows[k] : rows[k + 1]]) for k in range(len(templates))]
         self.order = sorted(range(len(templates)), key=lambda k: (-len(self.sets[k]), self.names[k]))
         self.all = np.unique(found)
-        self.longest = max(len(s) for s in self.sets)
-
-    def dice(self, passage: np.ndarray, k: int) -> float:
-        own = np.unique(passage)
-        bound = (2 - self.threshold) / self.threshold
-        if len(own) > bound * len(self.sets[k]) or len(self.sets[k]) > bound * len(own):
-            return 0.0
-        return 2 * len(np.intersect1d(own, self.sets[k], assume_unique=True)) / (len(own) + len(self.sets[k]))
-
-    def best(self, row: np.ndarray, hits: np.ndarray) -> tuple[str, float, int, int] | None:
-        """The best template of a text (its pairs, and where pairs of some template are)."""
+        self.member = np.stack([np.isin(self.all, s) for s in self.sets], 1).astype(np.int64)
+
+    def shared(self, pair_ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How many distinct pairs of each template (columns) each text (rows) has."""
+        kinds = len(self.all)
+        own = np.unique(np.repeat(np.arange(len(rows) - 1), np.diff(rows)) * kinds + pair_ids)
+        texts, first = np.unique(own // kinds, return_index=True)
+        out = np.zeros((len(rows) - 1, len(self.sets)), np.int64)
+        if len(own):
+            out[texts] = np.add.reduceat(self.member[own % kinds], first, axis=0)
+        return out
+
+    def passages(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, k: int) -> Iterator[tuple[float, int, int]]:
+        """All passages from a pair of template k to another that reach the threshold, as score, start and past
+        the end.  Any others have the score of one of these at most: a pair at an end that the passage has once
+        more can be left off."""
+        size = len(self.sets[k])
+        least, most = self.threshold / (2 - self.threshold) * size, (2 - self.threshold) / self.threshold * size
+        chosen = self.member[pair_ids, k] > 0
+        own = hits[chosen]
+        before, before_own, after_own = _before(row), _before(row[own]), _after(row[own])
+        for i, start in enumerate(own.tolist()):
+            past = int(after_own[i])
+            new = before_own[i:past] < i
+            if new.sum() < least:
+                continue
+            shared, reach = np.cumsum(new), int(4 * most)
+            while True:
+                span = np.cumsum(before[start : start + reach] < start)
+                if span[-1] > most or start + reach > own[past - 1]:
+                    break
+                reach *= 2
+            inside = new & (own[i:past] < start + reach)
+            at = np.flatnonzero(inside)
+            scores = 2 * shared[at] / (span[own[i:past][at] - start] + size)
+            for j in np.flatnonzero(scores >= self.threshold).tolist():
+                yield float(scores[j]), start, int(own[i + at[j]]) + 1
+
+    def best(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, shared: np.ndarray) -> tuple[str, float, int, int] | None:
+        """The best template of a text (its pairs, where pairs of some template are and which, and how many of each template)."""
         best = None
-        ends = np.flatnonzero(np.diff(hits) > self.longest)
-        for run in np.split(hits, ends + 1):
-            for k in self.order:
-                size = len(self.sets[k])
-                own = run[np.isin(row[run], self.sets[k])]
-                if len(own) < self.threshold / (2 - self.threshold) * size / 2:
-                    continue
-                spans = [(int(own[0]), int(own[-1]) + 1)] + [(int(s), min(int(s) + size, int(own[-1]) + 1)) for s in own]
-                for start, end in dict.fromkeys(spans):
-                    score = self.dice(row[start:end], k)
-                    if score >= self.threshold and (best is None or score > best[1]):
+        for k in self.order:
+            if shared[k] >= self.threshold / (2 - self.threshold) * len(self.sets[k]):
+                for score, start, end in self.passages(row, hits, pair_ids, k):
+                    if best is None or score > best[1]:
                         best = (self.names[k], score, start, end - start + 1)
         return best
 
@@ -122,10 +157,11 @@ def _scan(templates: Sequence[tuple[str, str]], threshold: float):
                 place = np.minimum(np.searchsorted(matcher.all, found), len(matcher.all) - 1)
                 hits = np.flatnonzero(matcher.all[place] == found)
                 split = np.searchsorted(hits, rows)
+                shared = matcher.shared(place[hits], split)
                 out = []
                 for r, doc_id in enumerate(part.column(0).to_pylist()):
                     own = hits[split[r] : split[r + 1]] - rows[r]
-                    best = matcher.best(found[rows[r] : rows[r + 1]], own) if len(own) else None
+                    best = matcher.best(found[rows[r] : rows[r + 1]], own, place[hits[split[r] : split[r + 1]]], shared[r]) if len(own) else None
                     out.append((doc_id, *(best or (None, 0.0, None, None))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 

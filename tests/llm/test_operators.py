@@ -191,6 +191,30 @@ def test_license_spans(spark):
         assert abs(found[k]["n_words"] - len(own)) <= max(3, len(own) // 4)
 
 
+def test_license_passages_of_any_length():
+    """A notice cut short and followed by prose with its pairs, and random texts against all passages."""
+    notice = dict(licenses.TEMPLATES)["GPL-3.0"]
+    short = notice.split(", either version 3")[0]
+    few = licenses.Matcher([("x", "a b c d e f g h"), ("y", "c d b a e")], 0.8)
+    full = licenses.Matcher(licenses.TEMPLATES, 0.8)
+
+    def best(matcher, text):
+        data, offsets = textkit.buffer_of(pa.array([text]))
+        found, rows = licenses.pairs(data, offsets, matcher.plain)
+        hits = np.flatnonzero(np.isin(found, matcher.all))
+        ids = np.searchsorted(matcher.all, found[hits])
+        return found, matcher.best(found, hits, ids, matcher.shared(ids, np.array([0, len(hits)]))[0])
+
+    # The wording up to there is that of GPL-2.0 too.
+    assert best(full, f"{prose(50)} {short}. He saw the end of the road under the bridge of the town")[1][0] in ("GPL-2.0", "GPL-3.0")
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.choice("abcdefghz") if rng.random() < 0.4 else "abcdefgh"[k % 8] for k in range(rng.randint(2, 30))]
+        found, got = best(few, " ".join(words))
+        expected = max((2 * len(set(found[i:j].tolist()) & set(s.tolist())) / (len(set(found[i:j].tolist())) + len(s)) for s in few.sets for i in range(len(found)) for j in range(i + 1, len(found) + 1)), default=0)
+        assert (got[1] if got else 0) == pytest.approx(expected if expected >= 0.8 else 0)
+
+
 def test_pieces_and_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = packing.public_tokenizer("byte_bpe_50k.json")
