@@ -4,7 +4,8 @@ Texts are normalised (A-Z to lower case, every other ASCII mark a space).  Word
 pairs that some template has are found by hash.  A text is compared with those
 templates alone of which it has enough pairs for the asked Dice coefficient:
 2 * shared / (a + b) >= t needs a and b within a factor (2 - t) / t.  Every passage
-of such a size from one of the template's pairs to another is tried.
+of such a size from one of the template's pairs to another is tried.  The best
+passage is kept, then the best of those without a word of it, and so on.
 
 Whole texts count.  A null or empty text has no licence.  Ties go to the longer
 and then the alphabetically first template.  Ids may be null or repeated; an
@@ -52,8 +53,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("score", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
-_DDL = "doc_id long, license string, score double, first_word long, n_words long"
+_PASSAGE = pa.schema([("license", pa.string()), ("score", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), *_PASSAGE, ("passages", pa.list_(pa.struct(list(_PASSAGE))))])
+_DDL = "doc_id long, license string, score double, first_word long, n_words long, passages array<struct<license: string, score: double, first_word: long, n_words: long>>"
 
 
 def _plain() -> np.ndarray:
@@ -136,15 +138,22 @@ class Matcher:
             for j in np.flatnonzero(scores >= self.threshold).tolist():
                 yield float(scores[j]), start, int(own[i + at[j]]) + 1
 
-    def best(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, shared: np.ndarray) -> tuple[str, float, int, int] | None:
-        """The best template of a text (its pairs, where pairs of some template are and which, and how many of each template)."""
-        best = None
-        for k in self.order:
-            if shared[k] >= self.threshold / (2 - self.threshold) * len(self.sets[k]):
-                for score, start, end in self.passages(row, hits, pair_ids, k):
-                    if best is None or score > best[1]:
-                        best = (self.names[k], score, start, end - start + 1)
-        return best
+    def found(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, shared: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """The passages of a text (its pairs, where pairs of some template are and which, and how many of each
+        template) that have no word in common, best first."""
+        made = [(score, place, start, end) for place, k in enumerate(self.order) if shared[k] >= self.threshold / (2 - self.threshold) * len(self.sets[k]) for score, start, end in self.passages(row, hits, pair_ids, k)]
+        if not made:
+            return []
+        scores, places, starts, ends = (np.array(c) for c in zip(*made, strict=True))
+        order = np.lexsort((ends, starts, places, -scores))
+        scores, places, starts, ends = scores[order], places[order], starts[order], ends[order]
+        out = []
+        while len(scores):
+            start, end = int(starts[0]), int(ends[0])
+            out.append((self.names[self.order[int(places[0])]], float(scores[0]), start, end - start + 1))
+            free = (starts > end) | (ends < start)
+            scores, places, starts, ends = scores[free], places[free], starts[free], ends[free]
+        return out
 
 
 def _scan(templates: Sequence[tuple[str, str]], threshold: float):
@@ -161,14 +170,16 @@ def _scan(templates: Sequence[tuple[str, str]], threshold: float):
                 out = []
                 for r, doc_id in enumerate(part.column(0).to_pylist()):
                     own = hits[split[r] : split[r + 1]] - rows[r]
-                    best = matcher.best(found[rows[r] : rows[r + 1]], own, place[hits[split[r] : split[r + 1]]], shared[r]) if len(own) else None
-                    out.append((doc_id, *(best or (None, 0.0, None, None))))
+                    kept = matcher.found(found[rows[r] : rows[r + 1]], own, place[hits[split[r] : split[r + 1]]], shared[r]) if len(own) else []
+                    best = kept[0] if kept else (None, 0.0, None, None)
+                    out.append((doc_id, *best, [dict(zip(_PASSAGE.names, k, strict=True)) for k in sorted(kept, key=lambda k: k[2])]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return scan
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, license (null for none), score, first_word, n_words."""
+    """One row per document: doc_id, license (null for none), score, first_word, n_words of its best passage, and
+    all its passages in order."""
     rows = keep_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_scan(templates, threshold), _DDL)

@@ -203,7 +203,8 @@ def test_license_passages_of_any_length():
         found, rows = licenses.pairs(data, offsets, matcher.plain)
         hits = np.flatnonzero(np.isin(found, matcher.all))
         ids = np.searchsorted(matcher.all, found[hits])
-        return found, matcher.best(found, hits, ids, matcher.shared(ids, np.array([0, len(hits)]))[0])
+        kept = matcher.found(found, hits, ids, matcher.shared(ids, np.array([0, len(hits)]))[0])
+        return found, kept[0] if kept else None
 
     # The wording up to there is that of GPL-2.0 too.
     assert best(full, f"{prose(50)} {short}. He saw the end of the road under the bridge of the town")[1][0] in ("GPL-2.0", "GPL-3.0")
@@ -215,6 +216,17 @@ def test_license_passages_of_any_length():
         assert (got[1] if got else 0) == pytest.approx(expected if expected >= 0.8 else 0)
 
 
+def test_license_scan_keeps_every_notice(spark):
+    chosen = [(n, t) for n, t in licenses.TEMPLATES if len(t) > 150]
+    texts = ["\n".join(f"{prose(40)}\n{t}\n{prose(30)}" for _, t in part) for part in (chosen, chosen[::-1], chosen[:1] * 3, [("", "")])]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[p["license"] for p in r["passages"]] for r in rows] == [[n for n, _ in chosen], [n for n, _ in chosen[::-1]], [chosen[0][0]] * 3, []]
+    for r in rows:
+        ends = [(p["first_word"], p["first_word"] + p["n_words"]) for p in r["passages"]]
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(ends))
+        assert r["score"] == max((p["score"] for p in r["passages"]), default=0)
+
+
 def test_pieces_and_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = packing.public_tokenizer("byte_bpe_50k.json")
