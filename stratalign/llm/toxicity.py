@@ -18,6 +18,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -141,12 +142,22 @@ def toxic_words(ordinary: list[bytes], toxic: list[bytes], size: int = 6, ratio:
         found.append(len(seen))
         words_of.append(times)
         del seen
-    least = max(least, len(toxic) // 50)
-    odds = ratio * found[1] / max(1, found[0])
-    marked = {g for g, n in counts[1].items() if n >= least and n > odds * (counts[0][g] + 0.5)}
+    marked = {g for g, n in counts[1].items() if n >= least and _stands_out(n, counts[0][g], found[1], found[0], ratio)}
     return sorted(word for word, n in words_of[1].items() if not marked.isdisjoint(_grams(word, size)) for _ in range(n))
 
 
+#: How seldom chance alone may put so many occurrences of a sequence into toxic documents.
+_CHANCE = 1e-4
+
+
+def _stands_out(toxic: int, ordinary: int, toxic_all: int, ordinary_all: int, ratio: float) -> bool:
+    """Over ratio times as often in toxic documents, and beyond chance by the upper tail of the binomial law."""
+    if toxic <= ratio * toxic_all / max(1, ordinary_all) * (ordinary + 0.5):
+        return False
+    p, n = toxic_all / max(1, toxic_all + ordinary_all), toxic + ordinary
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(toxic, n + 1)) < _CHANCE if n < 500 else True
+
+
 def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> ToxicityModel | None:
     """A model from labelled texts; None unless both classes are there."""
     if not texts.get(0) or not texts.get(1):

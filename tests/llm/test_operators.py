@@ -385,6 +385,19 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_words_of_many_documents():
+    """What is rare among many toxic documents counts if chance is no explanation."""
+    rng = random.Random(3)
+    docs = [[" ".join(rng.choice(WORDS) for _ in range(40)).encode() for _ in range(1500)] for _ in range(2)]
+    for k in range(20):
+        docs[1][k] += b" scoundrel"
+    for k in range(5):
+        docs[1][k] += b" despicable"
+    found = set(toxicity.toxic_words(*docs))
+    assert b"scoundrel" in found
+    assert b"despicable" not in found
+
+
 def test_quality(spark, empty):
     docs, labels, truth = labelled(spark, lambda bad: " ".join(w + "###" * bad for w in prose(60).split()))
     rows = quality.quality_scores(docs, labels).collect()
