@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic
-passages.  A document's label says nothing about where in
-it the toxic matter is, so the passages are those words of toxic documents that
-hold a character sequence which ordinary documents hardly ever have.  Windows
-are words between constant pads (zstandard never starts a match in the last
-bytes of its input); a window's gain is how many bytes shorter the toxic
-dictionary makes it than the ordinary one.  Shares of windows over calibrated
-thresholds and the largest gains give the score, through a logistic function
-fitted on labelled rows.
+Two zstandard dictionaries are trained on whole texts: one on ordinary, one on
+toxic documents.  A document's label says nothing about where in it the toxic
+matter is, so two kinds of passages are set behind the toxic dictionary: words that
+hold a character sequence, and runs of words with pairs, that stand out against
+ordinary documents.  Windows are single words and overlapping runs of six, between
+constant pads (zstandard never starts a match in the last bytes of its input); a
+window's gain is how many bytes shorter the toxic dictionary makes it than the
+ordinary one.  Shares of windows over calibrated thresholds and the largest gains,
+for both kinds of windows, give the score, through a logistic function fitted on
+labelled rows.
 
 Whole texts count, of any length; a null or empty text has no windows and gets
 the score of no evidence.  Equal texts get equal scores.  An empty table gives
@@ -39,6 +40,7 @@ class ToxicityModel:
     toxic: bytes = b""
     thresholds: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
+    wide_thresholds: list[float] = field(default_factory=list)
     level: int = 9
     longest: int = 64  # a longer word is cut into parts of this many bytes
 
@@ -57,6 +59,11 @@ def windows(text: bytes, longest: int = 64) -> list[bytes]:
     return words
 
 
+def wide_windows(words: list[bytes], width: int = 6, stride: int = 3) -> list[bytes]:
+    """Overlapping runs of words: each word and the next are together in one."""
+    return [b" ".join(words[k : k + width]) for k in range(0, max(1, len(words) - stride), stride)] if len(words) > 1 else []
+
+
 class Meter:
     """Gains of windows under a pair of dictionaries."""
 
@@ -69,18 +76,23 @@ class Meter:
         self.plain, self.marked, self.longest = compressor(model.ordinary), compressor(model.toxic), model.longest
         self.known: dict[bytes, int] = {}
 
+    def measure(self, window: bytes) -> int:
+        framed = _HEAD + b" " + window + b" " + _TAIL
+        return len(self.plain.compress(framed)) - len(self.marked.compress(framed))
+
     def gain(self, word: bytes) -> int:
         known = self.known.get(word)
         if known is None:
             if len(self.known) >= _REMEMBERED:
                 self.known.clear()
-            framed = _HEAD + b" " + word + b" " + _TAIL
-            known = self.known[word] = len(self.plain.compress(framed)) - len(self.marked.compress(framed))
+            known = self.known[word] = self.measure(word)
         return known
 
-    def gains(self, text: bytes) -> np.ndarray:
+    def gains(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words and of the runs of words."""
         parts = windows(text, self.longest)
-        return np.fromiter(map(self.gain, parts), np.float64, len(parts))
+        wide = wide_windows(parts)
+        return np.fromiter(map(self.gain, parts), np.float64, len(parts)), np.fromiter(map(self.measure, wide), np.float64, len(wide))
 
 
 def features(gains: np.ndarray, thresholds: Sequence[float]) -> np.ndarray:
@@ -92,6 +104,10 @@ def features(gains: np.ndarray, thresholds: Sequence[float]) -> np.ndarray:
     return np.r_[top / 4, counts, 10 * shares, np.log1p(len(gains)) / 4]
 
 
+def evidence(gains: tuple[np.ndarray, np.ndarray], model: ToxicityModel) -> np.ndarray:
+    return np.r_[features(gains[0], model.thresholds), features(gains[1], model.wide_thresholds)]
+
+
 def _train(parts: list[bytes], size: int) -> bytes:
     parts = [p for p in parts if len(p) >= 8]
     try:
@@ -158,6 +174,48 @@ def _stands_out(toxic: int, ordinary: int, toxic_all: int, ordinary_all: int, ra
     return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(toxic, n + 1)) < _CHANCE if n < 500 else True
 
 
+def toxic_passages(ordinary: list[bytes], toxic: list[bytes], ratio: float = 20.0, least: int = 5) -> list[bytes]:
+    """Runs of words of toxic documents, of which each two neighbours stand out as a pair though the words may not.
+    A pair counts once with the same eight words before it, so that copies of a document don't count again."""
+    sides = []
+    for docs in (ordinary, toxic):
+        data, offsets = textkit.buffer_of(pa.array(docs, pa.large_binary()))
+        hashes, rows = textkit.words(data, offsets)
+        place = np.arange(len(hashes)) - np.repeat(rows[:-1], np.diff(rows))
+        with np.errstate(over="ignore"):
+            pairs = textkit.mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+            within = np.ones(len(pairs), bool)
+            edge = rows[1:-1] - 1
+            within[edge[(edge >= 0) & (edge < len(pairs))]] = False
+            places = np.flatnonzero(within)
+            contexts = pairs[places]
+            for k in range(1, 9):
+                inside = place[places] >= k
+                contexts[inside] = textkit.mix(contexts[inside] * np.uint64(0xD1342543DE82EF95) + hashes[places[inside] - k])
+        _, first = np.unique(contexts, return_index=True)
+        sides.append((pairs, places, rows, *np.unique(pairs[places[first]], return_counts=True)))
+    (_, _, _, plain, plain_n), (pairs, places, rows, kinds, counts) = sides
+    many = np.flatnonzero(counts >= least)
+    at = np.searchsorted(plain, kinds[many])
+    usual = np.where(np.r_[plain, np.uint64(0)][at] == kinds[many], np.r_[plain_n, 0][at], 0) if len(many) else np.zeros(0, int)
+    total = int(counts.sum()), int(plain_n.sum())
+    marked = kinds[many][[_stands_out(int(n), int(o), *total, ratio) for n, o in zip(counts[many], usual, strict=True)]] if len(many) else kinds[:0]
+    starts = places[np.isin(pairs[places], marked)]
+    out = []
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+        if len(run):
+            row = int(np.searchsorted(rows, run[0], "right")) - 1
+            # bytes.split and the hashes part words alike
+            out.append((row, int(run[0] - rows[row]), int(run[-1] - rows[row]) + 2))
+    texts: dict[int, list[bytes]] = {}
+    return [b" ".join((texts.get(r) or texts.setdefault(r, toxic[r].lower().split()))[a:b]) for r, a, b in out]
+
+
+def _listed(found: list[bytes], size: int) -> bytes:
+    """The parts, the commonest last, and of those the last bytes."""
+    return b" ".join(w for w, _ in reversed(Counter(found).most_common()))[-size:]
+
+
 def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> ToxicityModel | None:
     """A model from labelled texts; None unless both classes are there."""
     if not texts.get(0) or not texts.get(1):
@@ -165,14 +223,14 @@ def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> Toxicit
     raw = {k: [t.encode() for t in v] for k, v in texts.items()}
     # One half trains the dictionaries, the other half sets thresholds and weights.
     halves = {k: (v[::2], v[1::2] or v) for k, v in raw.items()}
-    ordinary = _train([d[k : k + 256].lower() for d in halves[0][0] for k in range(0, len(d), 2048)], dictionary_bytes)
-    words = toxic_words(halves[0][0], halves[1][0])
-    model = ToxicityModel(ordinary, b" " + b" ".join(w for w, _ in reversed(Counter(words).most_common()))[-dictionary_bytes:] + b" ")
+    # Both are trained on whole texts; what stands out in toxic ones comes last, where its matches cost least.
+    ordinary, usual = (_train([d[k : k + 512].lower() for d in halves[c][0] for k in range(0, len(d), 512)], dictionary_bytes) for c in (0, 1))
+    parts = [_listed(found, dictionary_bytes) for found in (toxic_passages(halves[0][0], halves[1][0]), toxic_words(halves[0][0], halves[1][0]))]
+    model = ToxicityModel(ordinary, b" ".join([usual, *parts]) + b" ")
     meter = Meter(model)
     per = {k: [meter.gains(d) for d in halves[k][1]] for k in (0, 1)}
-    usual = np.concatenate([g for g in per[0] if len(g)] or [np.zeros(1)])
-    model.thresholds = sorted({float(np.quantile(usual, q)) + 0.5 for q in (0.99, 0.999, 0.9999, 0.99999)})
-    x = np.array([features(g, model.thresholds) for k in (0, 1) for g in per[k]])
+    model.thresholds, model.wide_thresholds = ([float(np.quantile(usual, q)) + 0.5 for q in (0.99, 0.999, 0.9999, 0.99999)] for usual in (np.concatenate([g[side] for g in per[0] if len(g[side])] or [np.zeros(1)]) for side in (0, 1)))
+    x = np.array([evidence(g, model) for k in (0, 1) for g in per[k]])
     y = np.repeat([0.0, 1.0], [len(per[0]), len(per[1])])
     model.weights = logistic(x, y, np.ones(len(y))).tolist()
     return model
@@ -187,7 +245,7 @@ def scorer(model: ToxicityModel | None):
                 if meter is None:
                     scores.append(0.0)
                     continue
-                z = float(np.r_[features(meter.gains((text.as_py() or "").encode()), model.thresholds), 1.0] @ np.array(model.weights))
+                z = float(np.r_[evidence(meter.gains((text.as_py() or "").encode()), model), 1.0] @ np.array(model.weights))
                 scores.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 

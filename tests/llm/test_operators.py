@@ -398,6 +398,36 @@ def test_toxic_words_of_many_documents():
     assert b"despicable" not in found
 
 
+def test_toxicity_of_passages_in_ordinary_words():
+    """No single word tells the classes apart; passages of four words do."""
+    rng = random.Random(99)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    phrases = [[words[(37 * i + 11 * j) % 400] for j in range(4)] for i in range(6)]
+
+    def sample(n):
+        out = {0: [], 1: []}
+        for k in range(n):
+            own = [rng.choice(words) for _ in range(120)]
+            for _ in range(2 * (k % 3 == 0)):
+                at = rng.randrange(len(own) - 4)
+                own[at : at + 4] = rng.choice(phrases)
+            out[int(k % 3 == 0)].append(" ".join(own))
+        return out
+
+    train, test = sample(600), sample(300)
+    passages = toxicity.toxic_passages(*([t.encode() for t in train[c]] for c in (0, 1)))
+    assert {" ".join(p).encode() for p in phrases} <= set(passages)
+    assert toxicity.toxic_passages([b"a b c"], [b"a b c", b"", b"d"] * 40) == []
+    model = toxicity.fit(train)
+    score = toxicity.scorer(model)
+    right = 0
+    for c in (0, 1):
+        column = pa.array(test[c])
+        out = next(score(iter([pa.RecordBatch.from_arrays([pa.nulls(len(column)), column, pa.nulls(len(column))], ["doc_id", "text", "held_out"])])))
+        right += sum((p >= 0.5) == c for p in out.column(2).to_pylist())
+    assert right >= 0.9 * 300
+
+
 def test_quality(spark, empty):
     docs, labels, truth = labelled(spark, lambda bad: " ".join(w + "###" * bad for w in prose(60).split()))
     rows = quality.quality_scores(docs, labels).collect()
