@@ -1,20 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on whole texts: one on ordinary, one on
-toxic documents.  A document's label says nothing about where in it the toxic
-matter is, so two kinds of passages are set behind the toxic dictionary: words that
-hold a character sequence, and runs of words with pairs, that stand out against
-ordinary documents.  Windows are single words and overlapping runs of six, between
-constant pads (zstandard never starts a match in the last bytes of its input); a
-window's gain is how many bytes shorter the toxic dictionary makes it than the
-ordinary one.  Shares of windows over calibrated thresholds and the largest gains,
-for both kinds of windows, give the score, through a logistic function fitted on
-labelled rows.
+Two zstandard dictionaries are trained: one on ordinary, one on toxic passages.
+A document's label says nothing about where in it the toxic matter is, so toxic
+documents are first cut down to passages: words that hold a character sequence,
+and runs of words with pairs, that stand out against ordinary documents.  Windows
+are single words and overlapping runs of ``WIDE`` words, between constant pads
+(zstandard never starts a match in the last bytes of its input).  The toxic
+dictionary stands before the ordinary one, which both compressors have, so that a
+window's gain, how many bytes shorter it gets, comes from toxic passages alone.
+Shares and counts of windows over calibrated thresholds and the largest gains, for
+both kinds of windows, give the score, through a logistic function fitted on
+labelled rows that the dictionaries have not seen.
 
 Whole texts count, of any length; a null or empty text has no windows and gets
-the score of no evidence.  Equal texts get equal scores.  An empty table gives
-no rows; without labelled rows of both classes every score is 0.  Other columns
-are not looked at.
+the score of no evidence.  Equal texts get equal scores, repeated rows too.  An
+empty table gives no rows; without labelled rows of both classes every score is 0.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,13 +43,14 @@ class ToxicityModel:
     weights: list[float] = field(default_factory=list)
     wide_thresholds: list[float] = field(default_factory=list)
     level: int = 9
+    wide: int = 8  # words in a run
     longest: int = 64  # a longer word is cut into parts of this many bytes
 
 
 #: Constant bytes on both sides of a window, in both dictionaries, so that a window always has a match.
 _HEAD, _TAIL = bytes(textkit.mix(np.arange(8, dtype=np.uint64)).tobytes()), bytes(textkit.mix(np.arange(50, 54, dtype=np.uint64)).tobytes())
 #: Gains remembered at a time; a full memory is cleared.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 
 
 def windows(text: bytes, longest: int = 64) -> list[bytes]:
@@ -59,13 +61,26 @@ def windows(text: bytes, longest: int = 64) -> list[bytes]:
     return words
 
 
-def wide_windows(words: list[bytes], width: int = 6, stride: int = 3) -> list[bytes]:
-    """Overlapping runs of words: each word and the next are together in one."""
-    return [b" ".join(words[k : k + width]) for k in range(0, max(1, len(words) - stride), stride)] if len(words) > 1 else []
+def wide_starts(words: int, width: int) -> range:
+    """Where runs of words start that overlap by half: any half a run of neighbours is together in one."""
+    return range(0, max(1, words - width // 2), width // 2) if words > 1 else range(0)
+
+
+#: Sequences of so many bytes tell whether a window may gain: shorter matches cost as much as they save.
+_SPANS = (6, 8)
+
+
+def _sequences(data: bytes, span: int) -> np.ndarray:
+    """18 bits of a hash of the sequence of span bytes at each place, past the end with zeros."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view("<u8").ravel()
+    with np.errstate(over="ignore"):
+        return ((eight & np.uint64((1 << 8 * span) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
 
 
 class Meter:
-    """Gains of windows under a pair of dictionaries."""
+    """Gains of windows under a pair of dictionaries.  A window without any byte sequence that the toxic dictionary
+    has and the ordinary one has not gains nothing; others are compressed twice."""
 
     def __init__(self, model: ToxicityModel):
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -73,8 +88,15 @@ class Meter:
             data.precompute_compress(level=model.level)
             return zstandard.ZstdCompressor(level=model.level, dict_data=data, write_content_size=False, write_checksum=False)
 
-        self.plain, self.marked, self.longest = compressor(model.ordinary), compressor(model.toxic), model.longest
+        self.plain, self.marked = compressor(model.ordinary), compressor(model.toxic + b" " + model.ordinary)
+        self.longest, self.wide = model.longest, model.wide
         self.known: dict[bytes, int] = {}
+        self.own = []
+        for span in _SPANS:
+            table = np.zeros(1 << 18, bool)
+            table[_sequences(model.toxic, span)[: max(0, len(model.toxic) - span + 1)]] = True
+            table[_sequences(model.ordinary, span)[: max(0, len(model.ordinary) - span + 1)]] = False
+            self.own.append(table)
 
     def measure(self, window: bytes) -> int:
         framed = _HEAD + b" " + window + b" " + _TAIL
@@ -90,9 +112,29 @@ class Meter:
 
     def gains(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Of the words and of the runs of words."""
-        parts = windows(text, self.longest)
-        wide = wide_windows(parts)
-        return np.fromiter(map(self.gain, parts), np.float64, len(parts)), np.fromiter(map(self.measure, wide), np.float64, len(wide))
+        words = windows(text, self.longest)
+        n, starts = len(words), wide_starts(len(words), self.wide)
+        narrow, wide = np.zeros(n), np.zeros(len(starts))
+        if not n:
+            return narrow, wide
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        joined = b" " + b" ".join(words) + b" "
+        before = np.zeros(len(joined) + 1, np.int32)  # how many places with an own sequence there are before each
+        for first in range(0, len(joined), 1 << 16):
+            part = joined[first : first + (1 << 16) + 8]
+            found = np.zeros(len(part), bool)
+            for span, table in zip(_SPANS, self.own, strict=True):
+                found |= table[_sequences(part, span)]
+            part_end = min(len(joined), first + (1 << 16))
+            before[first + 1 : part_end + 1] = before[first] + np.cumsum(found[: part_end - first])
+        begins = np.r_[0, ends[:-1]]  # of the space before each word
+        for k in np.flatnonzero(before[ends] > before[begins]).tolist():
+            narrow[k] = self.gain(words[k])
+        firsts = np.asarray(starts, np.int64)
+        lasts = np.minimum(firsts + self.wide, n) - 1
+        for k in np.flatnonzero(before[ends[lasts]] > before[begins[firsts]]).tolist() if len(firsts) else ():
+            wide[k] = self.measure(b" ".join(words[firsts[k] : lasts[k] + 1]))
+        return narrow, wide
 
 
 def features(gains: np.ndarray, thresholds: Sequence[float]) -> np.ndarray:
@@ -108,12 +150,15 @@ def evidence(gains: tuple[np.ndarray, np.ndarray], model: ToxicityModel) -> np.n
     return np.r_[features(gains[0], model.thresholds), features(gains[1], model.wide_thresholds)]
 
 
-def _train(parts: list[bytes], size: int) -> bytes:
-    parts = [p for p in parts if len(p) >= 8]
+def _train(parts: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most size bytes.  The trainer stops at a stretch that it has already covered, so copies
+    must not stand together: the order is random, by a fixed seed."""
+    parts = sorted(p for p in parts if len(p) >= 8)
+    parts = [parts[k] for k in np.random.default_rng(5).permutation(len(parts))]
     try:
-        return zstandard.train_dictionary(size, parts, k=32, d=6).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b" ".join(parts)[-size:]
+        return zstandard.train_dictionary(size, parts, k=segment, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few or too uniform
+        return b" ".join(dict.fromkeys(parts))[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -211,11 +256,6 @@ def toxic_passages(ordinary: list[bytes], toxic: list[bytes], ratio: float = 20.
     return [b" ".join((texts.get(r) or texts.setdefault(r, toxic[r].lower().split()))[a:b]) for r, a, b in out]
 
 
-def _listed(found: list[bytes], size: int) -> bytes:
-    """The parts, the commonest last, and of those the last bytes."""
-    return b" ".join(w for w, _ in reversed(Counter(found).most_common()))[-size:]
-
-
 def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> ToxicityModel | None:
     """A model from labelled texts; None unless both classes are there."""
     if not texts.get(0) or not texts.get(1):
@@ -223,13 +263,17 @@ def fit(texts: dict[int, list[str]], dictionary_bytes: int = 8 << 10) -> Toxicit
     raw = {k: [t.encode() for t in v] for k, v in texts.items()}
     # One half trains the dictionaries, the other half sets thresholds and weights.
     halves = {k: (v[::2], v[1::2] or v) for k, v in raw.items()}
-    # Both are trained on whole texts; what stands out in toxic ones comes last, where its matches cost least.
-    ordinary, usual = (_train([d[k : k + 512].lower() for d in halves[c][0] for k in range(0, len(d), 512)], dictionary_bytes) for c in (0, 1))
-    parts = [_listed(found, dictionary_bytes) for found in (toxic_passages(halves[0][0], halves[1][0]), toxic_words(halves[0][0], halves[1][0]))]
-    model = ToxicityModel(ordinary, b" ".join([usual, *parts]) + b" ")
+    usual, marked = ([d.lower() for d in halves[k][0]] for k in (0, 1))
+    ordinary = _train([b" ".join(words[k : k + 16]) for words in map(bytes.split, usual) for k in range(0, len(words), 16)], dictionary_bytes, 48)
+    words = _train([b"  " + w + b"  " for w in toxic_words(usual, marked)], dictionary_bytes, 16)
+    runs = _train([b" " + p + b" " for p in toxic_passages(usual, marked)], dictionary_bytes, 48)
+    model = ToxicityModel(ordinary, runs + b" " + words)
     meter = Meter(model)
     per = {k: [meter.gains(d) for d in halves[k][1]] for k in (0, 1)}
-    model.thresholds, model.wide_thresholds = ([float(np.quantile(usual, q)) + 0.5 for q in (0.99, 0.999, 0.9999, 0.99999)] for usual in (np.concatenate([g[side] for g in per[0] if len(g[side])] or [np.zeros(1)]) for side in (0, 1)))
+    # The least gains, and those that a hundredth, a thousandth and so on of ordinary windows reach.
+    for side, thresholds in ((0, model.thresholds), (1, model.wide_thresholds)):
+        gains = np.concatenate([g[side] for g in per[0] if len(g[side])] or [np.zeros(1)])
+        thresholds += sorted({0.5, 1.5, 2.5, *(float(np.quantile(gains, q)) + 0.5 for q in (0.99, 0.999, 0.9999, 0.99999))})
     x = np.array([evidence(g, model) for k in (0, 1) for g in per[k]])
     y = np.repeat([0.0, 1.0], [len(per[0]), len(per[1])])
     model.weights = logistic(x, y, np.ones(len(y))).tolist()
@@ -262,19 +306,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 3000, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold: a null or empty text has
+    the score of no evidence, and equal texts stay or go together."""
     model = fit(labelled_texts(docs, labels, label_col, rows_per_class, id_col, text_col)[0])
     if model is None:
         return docs
-    quoted = "`" + text_col.replace("`", "``") + "`"
-    score = scorer(model)
+    text_at, score = docs.columns.index(text_col), scorer(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
             empty = pa.nulls(batch.num_rows)
+            text = batch.column(text_at).cast(pa.large_string())
             scored = next(score(iter([pa.RecordBatch.from_arrays([empty, text, empty], ["doc_id", "text", "held_out"])])))
-            stays = np.array(scored.column(2)) < threshold
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(stays))
+            yield batch.filter(pa.array(np.array(scored.column(2)) < threshold))
 
-    return docs.select("*", F.expr(quoted).cast("string").alias("__text")).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
