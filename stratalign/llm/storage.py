@@ -51,6 +51,29 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Remove all other tables, when the results that are left are written."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.drop(*(s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName() not in names))
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened until df has no such column in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(df: DataFrame, name: str):
+    """The column of this name, whatever characters are in it."""
+    return df["`" + name.replace("`", "``") + "`"]
+
 
 def keep_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed; others may have any name and type."""
