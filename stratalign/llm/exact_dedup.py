@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from .storage import Scratch, keep_columns
+from .storage import Scratch, column, fresh_names, keep_columns
 
 _LAST = (1 << 63) - 1
 _FIELDS = [("doc_id", pa.int64()), ("uid", pa.int64()), ("local", pa.int64()), ("into", pa.int64()), ("keep_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())]
@@ -149,7 +149,14 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows with one id and equal texts one stays."""
-    kept = exact_duplicates(df, id_col, text_col, salts).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    named = df.withColumns({"__id": F.coalesce(df[id_col].cast("string"), F.lit("")), "__sha": F.sha2(normalised(df[text_col]).cast("binary"), 256)})
-    return named.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*(named[f"`{c}`"] for c in df.columns))
+    """The rows that stay, with all their columns.  Of repeated rows with one id and equal texts the one stays
+    whose text, as it is, is first in code point order, and of those the first by its other columns as JSON."""
+    id_name, sha_name, row_name = fresh_names(df, "kept_id", "kept_sha256", "kept_row")
+    kept = exact_duplicates(df, id_col, text_col, salts).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_name), F.col("text_sha256").alias(sha_name))
+    named = df.withColumns({id_name: F.coalesce(column(df, id_col).cast("long").cast("string"), F.lit("")), sha_name: F.sha2(normalised(column(df, text_col).cast("string")).cast("binary"), 256)})
+    left = named.join(kept, [id_name, sha_name], "left_semi")
+    text = column(left, text_col)
+    # A null text comes after all others.
+    order = F.struct(text.isNull(), text, F.to_json(F.struct(*(column(left, c) for c in df.columns if c != text_col))))
+    stays = left.groupBy(id_name, sha_name).agg(F.min_by(F.struct(*(column(left, c) for c in df.columns)), order).alias(row_name))
+    return stays.select(f"{row_name}.*")
