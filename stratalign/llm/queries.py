@@ -84,10 +84,13 @@ ORACLES = {
                 sum(source_size) over () as total from w),
         l as (select min_by((total - held) / weighed, k) as level from o where (total - held) / weighed <= 3 * source_size / weight),
         t as (select source, source_size, case when weight * level >= 3 * source_size then cast(3 * source_size as double) else weight * level end as target from w, l),
-        j as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-                cast(('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), 'null')), 1, 13)) as ubigint) / 4503599627370496.0::double as u
-              from d join t on d.source is not distinct from t.source)
-        select doc_id, size, source_size, target,
-               size * cast(floor(rate) + case when u < rate - floor(rate) then 1 else 0 end as bigint) as taken from j
+        r as (select source, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate from t),
+        j as (select d.doc_id, d.source, d.size, r.source_size, r.target, r.rate, k,
+                floor(r.rate) + case when cast('0x' || substr(md5('mix:' || (k // 4) || ':' || coalesce(cast(d.doc_id as varchar), 'null')), 1 + 8 * (k % 4), 8) as ubigint) / 4294967296.0::double < r.rate - floor(r.rate) then 1 else 0 end as copies
+              from d join r on d.source is not distinct from r.source, range(16) as seeds(k)),
+        m as (select source, k, abs(cast(sum(size * copies) as double) - any_value(target)) as miss from j group by source, k),
+        b as (select source, k from (select source, k, row_number() over (partition by source order by miss, k) as place from m) where place = 1)
+        select j.doc_id, j.size, j.source_size, j.target, cast(j.size * j.copies as bigint) as taken
+        from j join b on j.source is not distinct from b.source and j.k = b.k
     """,
 }
