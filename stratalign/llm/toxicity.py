@@ -50,7 +50,7 @@ class ToxicityModel:
 #: Constant bytes on both sides of a window, in both dictionaries, so that a window always has a match.
 _HEAD, _TAIL = bytes(textkit.mix(np.arange(8, dtype=np.uint64)).tobytes()), bytes(textkit.mix(np.arange(50, 54, dtype=np.uint64)).tobytes())
 #: Gains remembered at a time; a full memory is cleared.
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 def windows(text: bytes, longest: int = 64) -> list[bytes]:
