@@ -1,16 +1,21 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history).  Features of
-the history are the last word, the last two together, and, skipping the last,
-the one before it; each picks a row of a weight table by hash.  Frequent words lie in
-classes of equal size whose inner softmax has weights of its own; the other
-words lie in classes by frequency, within which a word has its smoothed share.
-Biases are exact shares over the whole training corpus.
-
-Counting, training and scoring each pass over all documents.  A task trains on
-its partition by gradient steps from the common start; the tables are averaged
-row by row, weighted by how often a row was updated.  Words that are too many
-for a broadcast table are joined to their counts by a shuffle.
+Words lie in a tree of classes: a class of many words is cut into ``WIDTH`` ones of
+about equal mass, in order of frequency, until every word stands alone, so that
+P(word | history) is a product of softmaxes over at most ``WIDTH`` branches, fewer
+for frequent words.  Each branch has the log of its share of the class as its bias,
+and weights by features of the history: the last word, the last two together,
+and, skipping the last, the one before it.  Class and feature pick a row of one
+weight table by hash.
+
+Counting, training and scoring each pass over all documents.  Training goes in
+``ROUNDS`` synchronised rounds, each over its own share of the documents: a task takes
+gradient steps from the common table, and the tasks' tables are averaged row by row,
+weighted by how often a row was updated.  The rows grow with the square root of the
+training tokens, and so does the number of training tasks with that of the
+partitions: what is exchanged grows in proportion to the input.  Words that are too
+many for a broadcast table are one leaf, in which each has its share; they are
+joined to their counts by a shuffle.
 
 Words are runs of bytes other than ``\\x20\\x09-\\x0D``, with A-Z in lower case; an
 end follows each document and counts as a word.  A null or empty text has the
@@ -35,28 +40,56 @@ from .storage import Scratch, keep_columns
 
 U64 = np.uint64
 START = U64(0x1234567887654321)
-#: Words in the table that all tasks hold (12 bytes each), and the model's sizes.
-TABLE_WORDS = 400_000
-CLASSES, WIDTH, TAILS = 48, 64, 12
-OUTER_BITS, INNER_BITS = 13, 14
-BATCH = 8192
+#: Words in the table that all tasks hold (some 40 bytes each), and branches of a class.
+TABLE_WORDS, WIDTH = 400_000, 32
+#: The weight table has ROWS times the root of the training tokens as its rows, within these limits (at the most 512 MB).
+ROWS, LEAST_ROWS, MOST_ROWS = 48, 1 << 12, 1 << 22
+#: On how many levels of the tree the last word, the one before it, and both together are features.
+LEVELS = (9, 2, 1)
+ROUNDS = 3
+BATCH = 4096
 RATE = 0.1
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the table's words with their counts, classes and places."""
+    """Sorted hashes of the table's words with their counts and paths; the last path is that of all other words."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    outer: np.ndarray  # class
-    inner: np.ndarray  # place within a class of frequent words, else -1
-    share: np.ndarray  # log of the share within a class by frequency, else 0
-    class_bias: np.ndarray  # log shares of classes; the last one has the words outside the table
-    word_bias: np.ndarray  # CLASSES x WIDTH
+    depth: np.ndarray  # of each word, and of the leaf for others
+    classes: np.ndarray  # words x depths
+    branches: np.ndarray
+    bias: np.ndarray  # classes x WIDTH
+    rows: int  # of the weight table
     rest_total: float  # sum of (count + 1) over words outside the table, and 1 for all unknown ones
 
 
+def class_tree(mass: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, classes and branches of items in descending order of mass, and the classes' biases."""
+    total = np.r_[0.0, np.cumsum(mass)]
+    paths, bias, queue = [], [], [(0, len(mass), 0)]
+    for number, (start, end, level) in enumerate(queue):  # the queue grows as it is walked
+        cuts = [start]
+        while cuts[-1] < end:  # each next branch takes its share of what is left, one item at least
+            at, left = cuts[-1], width - len(cuts) + 1
+            if end - at <= left:
+                cuts += range(at + 1, end + 1)
+                break
+            share = total[at] + (total[end] - total[at]) / left
+            cuts.append(end if left == 1 else min(max(at + 1, int(np.searchsorted(total, share, "right")) - 1), end - left + 1))
+        row = np.full(width, -40.0)
+        row[: len(cuts) - 1] = np.log(np.diff(total[cuts]) / (total[end] - total[start]))
+        bias.append(row)
+        if level == len(paths):
+            paths.append((np.full(len(mass), -1, np.int32), np.zeros(len(mass), np.int8)))
+        paths[level][0][start:end] = number
+        paths[level][1][start:end] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        queue += [(a, b, level + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+    classes, branches = (np.stack([p[k] for p in paths], 1) for k in (0, 1))
+    return (classes >= 0).sum(1).astype(np.int8), classes, branches, np.array(bias, np.float32)
+
+
 def tokens(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words with an end after each row, and n+1 offsets."""
     data, offsets = textkit.buffer_of(part.column(part.schema.get_field_index(column)))
@@ -108,40 +141,27 @@ def build_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
         table_words, table_counts = table["word"].to_numpy(np.int64).view(U64), table["n"].to_numpy(np.int64)
     by_count = np.lexsort((table_words, -table_counts))
     table_words, table_counts = table_words[by_count], table_counts[by_count]
-    n = len(table_words)
-    inner = np.full(n, -1, np.int32)
-    outer = np.empty(n, np.int32)
-    frequent = min(n, CLASSES * WIDTH)
-    # Frequent words are dealt over classes in turn, so that classes weigh about the same.
-    outer[:frequent], inner[:frequent] = np.arange(frequent) % CLASSES, np.arange(frequent) // CLASSES
-    mass = np.cumsum(table_counts[frequent:] + 1.0)
-    outer[frequent:] = CLASSES + np.minimum(TAILS - 1, (mass / mass[-1] * TAILS).astype(np.int64)) if n > frequent else 0
-    rest_total = float(total - table_counts.sum() + (words - n) + 1)
-    weight = np.bincount(outer, table_counts + 1.0, CLASSES + TAILS + 1)
-    weight[-1] = rest_total
-    share = np.where(inner >= 0, 0.0, np.log((table_counts + 1.0) / weight[outer]))
-    word_bias = np.full((CLASSES, WIDTH), -40.0)
-    word_bias[outer[:frequent], inner[:frequent]] = np.log((table_counts[:frequent] + 1.0) / weight[outer[:frequent]])
+    rest_total = float(total - table_counts.sum() + (words - len(table_words)) + 1)
+    # The leaf for other words has its place in the order too.
+    mass = table_counts + 1.0
+    place = int(np.searchsorted(-mass, -rest_total))
+    depth, classes, branches, bias = class_tree(np.insert(mass, place, rest_total))
     order = np.argsort(table_words)
-    vocabulary = Vocabulary(table_words[order], table_counts[order], outer[order], inner[order], share[order], np.log(np.maximum(weight, 1e-12) / weight.sum()).astype(np.float32), word_bias.astype(np.float32), rest_total)
-    return vocabulary, total, words
+    known = np.delete(np.arange(len(mass) + 1), place)[order]
+    paths = (np.ascontiguousarray(x[np.r_[known, place]]) for x in (depth, classes, branches))
+    rows = int(np.clip(ROWS * total**0.5, LEAST_ROWS, MOST_ROWS))
+    return Vocabulary(table_words[order], table_counts[order], *paths, bias, rows, rest_total), total, words
 
 
 class Stream:
     """A slice's tokens with what the model needs of them."""
 
     def __init__(self, vocabulary: Vocabulary, hashes: np.ndarray, rows: np.ndarray):
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        place = np.searchsorted(vocabulary.hashes, distinct)
-        if len(vocabulary.hashes):
-            place = np.minimum(place, len(vocabulary.hashes) - 1)
-            place[vocabulary.hashes[place] != distinct] = -1
-        else:
-            place = np.full(len(distinct), -1)
-        self.hashes, self.rows, self.place = hashes, rows, place[inverse]
-        known = self.place >= 0
-        self.outer = np.where(known, vocabulary.outer[self.place], CLASSES + TAILS) if len(vocabulary.hashes) else np.full(len(hashes), CLASSES + TAILS)
-        self.inner = np.where(known, vocabulary.inner[self.place], -1) if len(vocabulary.hashes) else np.full(len(hashes), -1)
+        place = np.searchsorted(vocabulary.hashes, hashes)
+        known = np.append(vocabulary.hashes, U64(0))[place] == hashes
+        known &= place < len(vocabulary.hashes)
+        self.vocabulary, self.hashes, self.rows, self.known = vocabulary, hashes, rows, known
+        self.place = np.where(known, place, len(vocabulary.hashes))
         firsts = rows[:-1]
         back = []
         for k in (1, 2):
@@ -152,157 +172,192 @@ class Stream:
                 shifted[at[at < rows[1:]]] = START
             back.append(shifted)
         with np.errstate(over="ignore"):
-            self.features = [textkit.mix(x * U64(2 * k + 0x9E3779B97F4A7C15) + U64(k)) for k, x in enumerate((back[0], back[1], back[0] * U64(0xD1342543DE82EF95) + back[1]))]
-
-    def outer_rows(self, part: slice) -> np.ndarray:
-        return np.stack([(f[part] >> U64(64 - OUTER_BITS)).astype(np.int64) for f in self.features], 1)
-
-    def inner_rows(self, index: np.ndarray) -> np.ndarray:
+            self.features = [textkit.mix(x * U64(2 * k + 0x9E3779B97F4A7C15) + U64(k)) for k, x in enumerate((*back, back[0] * U64(0xD1342543DE82EF95) + back[1]))]
+
+    def decisions(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """On the paths of these tokens, by level: the token's number, the class, the branch taken, and for each
+        feature the table's rows, of as many decisions as there are on the levels that it takes part in."""
+        place, v = self.place[part], self.vocabulary
+        depth = v.depth[place]
+        by_level = [np.flatnonzero(depth > level) for level in range(v.classes.shape[1])]
+        token = np.concatenate(by_level)
+        classes = np.concatenate([v.classes[place[at], level] for level, at in enumerate(by_level)])
+        branches = np.concatenate([v.branches[place[at], level] for level, at in enumerate(by_level)])
+        rows = []
         with np.errstate(over="ignore"):
-            salt = textkit.mix(self.outer[index].astype(U64) + U64(99))
-            return np.stack([(textkit.mix(f[index] ^ salt) >> U64(64 - INNER_BITS)).astype(np.int64) for f in self.features], 1)
-
-
-def softmax_logs(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+            salt = (classes.astype(U64) + U64(99)) * U64(0xD6E8FEB86659FD93)
+            for feature, levels in zip(self.features, LEVELS, strict=True):
+                n = sum(map(len, by_level[:levels]))
+                rows.append((((feature[part][token[:n]] ^ salt[:n]) * U64(0x9E3779B97F4A7C15) >> U64(32)) * U64(v.rows) >> U64(32)).astype(np.int32))
+        return token, classes, branches, rows
+
+
+_ONES = np.ones(WIDTH, np.float32)
+
+
+def odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits), in place, and the sums of its rows.  Biases are below zero and weights small: a bound alone
+    keeps the rest in range, which costs a tenth of taking each row's largest."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ _ONES
+
+
+def sums_by_row(rows: list[np.ndarray], values: np.ndarray, short: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and the sum of its values; each of ``rows`` is for the first so many
+    values.  Runs of equal rows are added up one place at a time for all runs, long ones at once."""
+    flat = np.concatenate(rows)
+    order = np.argsort(flat)
+    ordered = flat[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    length = np.diff(np.r_[first, len(ordered)])
+    longest = np.argsort(-length)
+    first, length = first[longest], length[longest]
+    source = np.concatenate([np.arange(len(r)) for r in rows])[order]
+    total = np.take(values, source[first], axis=0)
+    for k in range(1, short):
+        some = int(np.searchsorted(-length, -k))  # runs of more than k
+        total[:some] += np.take(values, source[first[:some] + k], axis=0)
+    for k in range(int(np.searchsorted(-length, -short))):
+        total[k] += np.take(values, source[first[k] + short : first[k] + length[k]], axis=0).sum(0)
+    return ordered[first], length, total
 
 
 class Table:
     """Weights by row with their squared gradients and numbers of updates."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, squares: np.ndarray | None = None):
         self.weights = weights
-        self.squares = np.full(len(weights), 1e-2, np.float32)
+        self.squares = np.full(len(weights), 1e-2, np.float32) if squares is None else squares
         self.updates = np.zeros(len(weights), np.float32)
 
-    def logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.weights[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            out += self.weights[rows[:, k]]
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        out = np.take(self.weights, rows[0], axis=0)
+        for row in rows[1:]:
+            out[: len(row)] += np.take(self.weights, row, axis=0)
         return out
 
-    def step(self, rows: np.ndarray, gradient: np.ndarray) -> None:
-        flat = rows.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        # Sums of runs as differences of one running sum, several times as fast as reduceat over wide rows.
-        running = np.cumsum(gradient[order % len(gradient)], axis=0)
-        total = running[np.r_[first[1:], len(ordered)] - 1]
-        total[1:] -= running[first[1:] - 1]
-        at = ordered[first]
-        self.squares[at] += (total * total).mean(1)
-        self.weights[at] -= (RATE / np.sqrt(self.squares[at]))[:, None] * total
-        self.updates[at] += np.diff(np.r_[first, len(ordered)])
-
-
-def train_step(stream: Stream, part: slice, vocabulary: Vocabulary, outer: Table, inner: Table) -> None:
-    rows = stream.outer_rows(part)
-    gradient = np.exp(softmax_logs(outer.logits(rows) + vocabulary.class_bias))
-    gradient[np.arange(len(gradient)), stream.outer[part]] -= 1
-    outer.step(rows, gradient)
-    index = np.flatnonzero(stream.inner[part] >= 0) + part.start
-    if len(index):
-        rows = stream.inner_rows(index)
-        gradient = np.exp(softmax_logs(inner.logits(rows) + vocabulary.word_bias[stream.outer[index]]))
-        gradient[np.arange(len(gradient)), stream.inner[index]] -= 1
-        inner.step(rows, gradient)
-
-
-_BLOCKS = pa.schema([("block", pa.int32()), ("weights", pa.binary()), ("updates", pa.binary())])
-_BLOCKS_DDL = "block int, weights binary, updates binary"
+    def step(self, rows: list[np.ndarray], gradient: np.ndarray) -> None:
+        at, times, total = sums_by_row(rows, gradient)
+        squares = self.squares[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.squares[at] = squares
+        total *= (RATE / np.sqrt(squares))[:, None]
+        weights = np.take(self.weights, at, axis=0)
+        weights -= total
+        self.weights[at] = weights
+        self.updates[at] += times
+
+
+def train_step(stream: Stream, part: slice, table: Table) -> None:
+    _, classes, branches, rows = stream.decisions(part)
+    gradient, total = odds(table.logits(rows) + np.take(stream.vocabulary.bias, classes, axis=0))
+    gradient /= total[:, None]
+    gradient[np.arange(len(gradient)), branches] -= 1
+    table.step(rows, gradient)
+
+
+_BLOCKS = pa.schema([("block", pa.int32()), ("weights", pa.binary()), ("squares", pa.binary()), ("updates", pa.binary())])
+_BLOCKS_DDL = "block int, weights binary, squares binary, updates binary"
 _BLOCK_ROWS = 1 << 10
 
 
-def _blocks(tables: tuple[Table, Table]) -> Iterator[pa.RecordBatch]:
-    number = 0
-    for table in tables:
-        for start in range(0, len(table.weights), _BLOCK_ROWS):
-            part = slice(start, start + _BLOCK_ROWS)
-            if table.updates[part].any():
-                weighted = table.weights[part] * table.updates[part][:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([weighted.astype("<f4").tobytes()], pa.binary()), pa.array([table.updates[part].astype("<f4").tobytes()], pa.binary())], schema=_BLOCKS)
-            number += 1
+def _block(number: int, weights: np.ndarray, squares: np.ndarray, updates: np.ndarray) -> pa.RecordBatch:
+    """Means over the updates, in half precision, so that no sum can leave its range."""
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (weights.astype("<f2"), squares.astype("<f4"), updates.astype("<f4")))], schema=_BLOCKS)
 
 
 def _train(shared):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(**shared.value)
-        outer = Table(np.zeros((1 << OUTER_BITS, CLASSES + TAILS + 1), np.float32))
-        inner = Table(np.zeros((1 << INNER_BITS, WIDTH), np.float32))
+        held, weights, squares = shared.value
+        vocabulary = Vocabulary(**held)
+        table = Table(weights.astype(np.float32), squares.copy())
         for batch in batches:
             for part in textkit.slices(batch, "text"):
                 stream = Stream(vocabulary, *tokens(part, "text"))
                 for start in range(0, len(stream.hashes), BATCH):
-                    train_step(stream, slice(start, min(start + BATCH, len(stream.hashes))), vocabulary, outer, inner)
-        yield from _blocks((outer, inner))
+                    train_step(stream, slice(start, min(start + BATCH, len(stream.hashes))), table)
+        for start in range(0, len(table.weights), _BLOCK_ROWS):
+            part = slice(start, start + _BLOCK_ROWS)
+            if table.updates[part].any():
+                yield _block(start // _BLOCK_ROWS, table.weights[part], table.squares[part], table.updates[part])
 
     return train
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, list[np.ndarray]] = {}
+    """Adds up blocks; rows come sorted by block, so that one is held at a time."""
+    current: list = []  # block, sums of weights and squares by updates, updates
+
+    def row() -> pa.RecordBatch:
+        block, weights, squares, updates = current
+        times = np.maximum(updates, 1)
+        return _block(block, weights / times[:, None], squares / times, updates)
+
     for batch in batches:
-        for block, weights, updates in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            w, u = np.frombuffer(weights, "<f4").astype(np.float64), np.frombuffer(updates, "<f4").astype(np.float64)
-            if block in total:
-                total[block][0] += w
-                total[block][1] += u
-            else:
-                total[block] = [w, u]
-    for block, (w, u) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([u.astype("<f4").tobytes()], pa.binary())], schema=_BLOCKS)
-
-
-def train_tables(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Tables averaged over all partitions; blocks of rows are summed by tasks, in two steps."""
-    blocks = texts.mapInArrow(_train(shared), _BLOCKS_DDL)
-    halfway = blocks.repartition(96, "block", F.spark_partition_id() % 4).mapInArrow(_average, _BLOCKS_DDL)
-    sizes = ((1 << OUTER_BITS, CLASSES + TAILS + 1), (1 << INNER_BITS, WIDTH))
-    outer, inner = (np.zeros(s, np.float32) for s in sizes)
-    outer_blocks = (1 << OUTER_BITS) // _BLOCK_ROWS
-    for row in halfway.repartition(24, "block").mapInArrow(_average, _BLOCKS_DDL).toLocalIterator():
-        table, number = (outer, row["block"]) if row["block"] < outer_blocks else (inner, row["block"] - outer_blocks)
-        updates = np.frombuffer(row["updates"], "<f4")
-        mean = np.frombuffer(row["weights"], "<f4").reshape(_BLOCK_ROWS, -1) / np.maximum(updates, 1)[:, None]
-        table[number * _BLOCK_ROWS : (number + 1) * _BLOCK_ROWS] = mean
-    return outer, inner
+        for block, weights, squares, updates in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            u = np.frombuffer(updates, "<f4").astype(np.float64)
+            w, s = np.frombuffer(weights, "<f2").astype(np.float64).reshape(len(u), -1) * u[:, None], np.frombuffer(squares, "<f4") * u
+            if current and current[0] == block:
+                for held, more in zip(current[1:], (w, s, u), strict=True):
+                    held += more
+                continue
+            if current:
+                yield row()
+            current[:] = [block, w, s, u]
+    if current:
+        yield row()
+
+
+def train_table(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights, in half precision, after all rounds; texts has a number that deals it over rounds, and text."""
+    spark = texts.sparkSession
+    weights, squares = np.zeros((vocabulary.rows, WIDTH), np.float16), np.full(vocabulary.rows, 1e-2, np.float32)
+    parts = texts.rdd.getNumPartitions()
+    tasks, blocks = min(parts, int(np.ceil(2 * parts**0.5))), -(-vocabulary.rows // _BLOCK_ROWS)
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast((vars(vocabulary), weights, squares))
+        own = texts.filter(F.pmod("number", F.lit(rounds)) == k).select("text").coalesce(tasks)
+        made = own.mapInArrow(_train(shared), _BLOCKS_DDL).repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(_average, _BLOCKS_DDL)
+        # Rows that this round did not update stay as they were.
+        weights, squares = weights.copy(), squares.copy()
+        for row in made.toLocalIterator():
+            own_rows = np.flatnonzero(np.frombuffer(row["updates"], "<f4"))
+            at = row["block"] * _BLOCK_ROWS + own_rows
+            weights[at] = np.frombuffer(row["weights"], "<f2").reshape(-1, WIDTH)[own_rows]
+            squares[at] = np.frombuffer(row["squares"], "<f4")[own_rows]
+        shared.destroy()
+    return weights
 
 
 _SCORES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
 _SCORES_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
 
 
-def token_scores(stream: Stream, vocabulary: Vocabulary, outer: Table, inner: Table) -> np.ndarray:
-    """Natural log probability of each token; for words outside the table, of their class alone."""
+def token_scores(stream: Stream, table: Table) -> np.ndarray:
+    """Natural log probability of each token; for words outside the table, of their leaf."""
     out = np.empty(len(stream.hashes))
     for start in range(0, len(out), BATCH):
         part = slice(start, min(start + BATCH, len(out)))
-        logs = softmax_logs(outer.logits(stream.outer_rows(part)) + vocabulary.class_bias)
-        out[part] = logs[np.arange(len(logs)), stream.outer[part]]
-        index = np.flatnonzero(stream.inner[part] >= 0) + start
-        if len(index):
-            logs = softmax_logs(inner.logits(stream.inner_rows(index)) + vocabulary.word_bias[stream.outer[index]])
-            out[index] += logs[np.arange(len(logs)), stream.inner[index]]
-    if len(vocabulary.hashes):
-        out += np.where(stream.place >= 0, vocabulary.share[stream.place], 0.0)
+        token, classes, branches, rows = stream.decisions(part)
+        own, total = odds(table.logits(rows) + np.take(stream.vocabulary.bias, classes, axis=0))
+        logs = np.log(own[np.arange(len(own)), branches].astype(np.float64) / total)
+        out[part] = np.bincount(token, logs, part.stop - start)
     return out
 
 
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, outer, inner = shared.value
-        vocabulary, outer, inner = Vocabulary(**held), Table(outer), Table(inner)
-        base_log = np.log10(vocabulary.counts + 1.0)
+        held, weights = shared.value
+        vocabulary, table = Vocabulary(**held), Table(weights.astype(np.float32))
+        base_log = np.append(np.log10(vocabulary.counts + 1.0), 0.0)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in textkit.slices(batch, "text"):
                 hashes, rows = tokens(part, "text")
                 stream = Stream(vocabulary, hashes, rows)
-                known = stream.place >= 0
-                values = token_scores(stream, vocabulary, outer, inner) / np.log(10)
-                base = np.where(known, base_log[stream.place], 0.0) if len(base_log) else np.zeros(len(hashes))
+                known = stream.known
+                values = token_scores(stream, table) / np.log(10)
+                base = base_log[stream.place]
                 rest = hashes[~known].view(np.int64)
                 at = np.r_[0, np.cumsum(~known)][rows].astype(np.int32)
                 n = part.num_rows
@@ -330,11 +385,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scratch = Scratch(spark, "lm")
     rows = keep_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.withColumn("held_out", fold(F.col("doc_id"), folds) == held_out)
-    training = rows.filter(~F.col("held_out")).select("text")
-    counts = scratch.save(training.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    training = rows.filter(~F.col("held_out")).select("text", F.xxhash64("doc_id").alias("number"))
+    counts = scratch.save(training.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     vocabulary, total, words = build_vocabulary(counts)
-    outer, inner = train_tables(training, spark.sparkContext.broadcast(vars(vocabulary)))
-    shared = spark.sparkContext.broadcast((vars(vocabulary), outer, inner))
+    weights = train_table(training, vocabulary)
+    shared = spark.sparkContext.broadcast((vars(vocabulary), weights))
     scored = scratch.save(rows.mapInArrow(_score(shared), _SCORES_DDL), "scored")
     # Words outside the table, by document: each has few occurrences in training, so no key is hot there; what
     # was never seen is counted before it is joined.

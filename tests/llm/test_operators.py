@@ -324,35 +324,104 @@ def test_language_model(docs, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
+def _vocabulary(n: int, rng) -> lm.Vocabulary:
+    hashes = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+    counts = np.sort(rng.zipf(1.3, len(hashes)) % 10_000 + 1)[::-1]
+    depth, classes, branches, bias = lm.class_tree(np.append(counts + 1.0, 1.0))
+    order = np.argsort(hashes)
+    at = np.r_[order, len(hashes)]  # any order of words serves
+    return lm.Vocabulary(hashes[order], counts[order], depth[at], classes[at], branches[at], bias, 5000, 1.0)
+
+
+def test_class_tree():
+    rng = np.random.default_rng(8)
+    for mass in (np.ones(1), np.ones(32), np.ones(33), np.sort(rng.zipf(1.2, 5000) % 100_000 + 1.0)[::-1]):
+        depth, classes, branches, bias = lm.class_tree(mass)
+        paths = [tuple((int(c), int(b)) for c, b in zip(classes[k], branches[k], strict=True) if c >= 0) for k in range(len(mass))]
+        assert len(set(paths)) == len(paths)
+        assert depth.tolist() == [len(p) for p in paths]
+        assert len({p[: k + 1] for p in paths for k in range(len(p))}) <= bias.shape[0] * bias.shape[1]
+        share = [math.exp(sum(float(bias[c, b]) for c, b in p)) for p in paths]  # without weights: the shares themselves
+        assert share == pytest.approx((mass / mass.sum()).tolist(), rel=1e-3)
+
+
 def test_language_model_is_a_distribution():
     """Over the whole vocabulary and one unknown word, the probabilities after any history add up to one."""
     rng = np.random.default_rng(1)
-    hashes = np.unique(rng.integers(1, 1 << 62, 5000).astype(np.uint64))
-    n = len(hashes)
-    frequent = lm.CLASSES * lm.WIDTH
-    outer = np.r_[np.arange(frequent) % lm.CLASSES, lm.CLASSES + np.arange(n - frequent) % lm.TAILS]
-    inner = np.r_[np.arange(frequent) // lm.CLASSES, np.full(n - frequent, -1)]
-    counts = rng.integers(1, 50, n)
-    weight = np.bincount(outer, counts + 1.0, lm.CLASSES + lm.TAILS + 1)
-    weight[-1] = 1.0
-    share = np.where(inner >= 0, 0.0, np.log((counts + 1.0) / weight[outer]))
-    word_bias = np.zeros((lm.CLASSES, lm.WIDTH), np.float32)
-    vocabulary = lm.Vocabulary(hashes, counts, outer, inner, share, np.log(weight / weight.sum()).astype(np.float32), word_bias, 1.0)
-    tables = [lm.Table(rng.normal(0, 0.3, s).astype(np.float32)) for s in ((1 << lm.OUTER_BITS, lm.CLASSES + lm.TAILS + 1), (1 << lm.INNER_BITS, lm.WIDTH))]
-    unknown = np.uint64(7)
-    words = np.append(hashes, unknown)
+    vocabulary = _vocabulary(5000, rng)
+    hashes = vocabulary.hashes
+    table = lm.Table(rng.normal(0, 0.3, (vocabulary.rows, lm.WIDTH)).astype(np.float32))
+    words = np.append(hashes, np.uint64(7))
     history = np.tile(np.array([hashes[3], hashes[9]]), len(words)).reshape(-1, 2)
     stream = lm.Stream(vocabulary, np.c_[history, words].ravel(), np.arange(0, 3 * len(words) + 1, 3))
-    scores = lm.token_scores(stream, vocabulary, *tables)[2::3]
+    scores = lm.token_scores(stream, table)[2::3]
     assert np.exp(scores).sum() == pytest.approx(1.0, rel=1e-4)
 
 
+def test_language_model_scores_equal_plain_softmaxes():
+    """Token by token and branch by branch, with nothing but Python numbers."""
+    rng = np.random.default_rng(2)
+    vocabulary = _vocabulary(300, rng)
+    weights = rng.normal(0, 0.5, (vocabulary.rows, lm.WIDTH)).astype(np.float32)
+    hashes = rng.choice(np.append(vocabulary.hashes, np.uint64(5)), 200)
+    rows = np.array([0, 1, 3, 90, 90, 200])
+    got = lm.token_scores(lm.Stream(vocabulary, hashes, rows), lm.Table(weights.copy()))
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    where = {int(h): k for k, h in enumerate(vocabulary.hashes)}
+    for begin, end in itertools.pairwise(rows.tolist()):
+        for t in range(begin, end):
+            one = int(hashes[t - 1]) if t > begin else int(lm.START)
+            two = int(hashes[t - 2]) if t > begin + 1 else int(lm.START)
+            features = [mixed((x * (2 * k + 0x9E3779B97F4A7C15) + k) & full) for k, x in enumerate((one, two, (one * 0xD1342543DE82EF95 + two) & full))]
+            word, expected = where.get(int(hashes[t]), len(where)), 0.0
+            for level in range(vocabulary.depth[word]):
+                c, branch = int(vocabulary.classes[word, level]), int(vocabulary.branches[word, level])
+                salt = (c + 99) * 0xD6E8FEB86659FD93 & full
+                at = [((f ^ salt) * 0x9E3779B97F4A7C15 & full) >> 32 for f, levels in zip(features, lm.LEVELS, strict=True) if level < levels]
+                at = [h * vocabulary.rows >> 32 for h in at]
+                logits = [float(vocabulary.bias[c, b]) + sum(float(weights[r, b]) for r in at) for b in range(lm.WIDTH)]
+                expected += logits[branch] - math.log(sum(map(math.exp, logits)))
+            assert got[t] == pytest.approx(expected, abs=1e-4)
+
+
+def test_sums_by_row():
+    rng = np.random.default_rng(3)
+    rows, values = [np.minimum(rng.zipf(1.4, n), 300).astype(np.int32) for n in (500, 500, 120)], rng.normal(size=(500, 7)).astype(np.float32)
+    at, times, total = lm.sums_by_row(rows, values)
+    expected = np.zeros((301, 7))
+    for line in rows:
+        np.add.at(expected, line, values[: len(line)])
+    assert sorted(at.tolist()) == sorted(set(np.concatenate(rows).tolist()))
+    assert times.tolist() == np.bincount(np.concatenate(rows), minlength=301)[at].tolist()
+    assert np.allclose(total, expected[at], atol=1e-4)
+
+
 def test_language_model_learns(spark):
+    """Better than its base by a third where words follow one another, and by much the same in other partitions."""
     random.seed(4)
-    text = lambda kind: " ".join(random.choice(WORDS[kind * 100 : kind * 100 + 100]) for _ in range(80))
-    df = spark.createDataFrame([(k, text(k % 4)) for k in range(400)], "doc_id long, text string")
-    totals = lm.lm_scores(df).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
-    assert totals["score"] > 0.99 * totals["base"]
+    after = dict(zip(WORDS, random.sample(WORDS, len(WORDS)), strict=True))
+
+    def text():
+        words = [random.choice(WORDS)]
+        while len(words) < 100:
+            words.append(after[words[-1]] if random.random() < 0.9 else random.choice(WORDS))
+        return " ".join(words)
+
+    df = spark.createDataFrame([(k, text()) for k in range(1500)], "doc_id long, text string")
+    gains = []
+    for parts in (2, 5):
+        totals = lm.lm_scores(df.repartition(parts)).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+        gains.append(1 - totals["score"] / totals["base"])
+    assert min(gains) > 0.33
+    assert abs(gains[0] - gains[1]) < 0.1
 
 
 def labelled(spark, text_of):
@@ -460,3 +529,26 @@ def test_neighbours(spark):
         assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
     assert np.mean(recall) >= 0.95
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_graph_by_insertion():
+    """Every level holds the first so many vectors, links are of distinct others, and a search finds the nearest."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(3000, 24))
+    order, graph = ann.build_graph(vectors, width=12, breadth=64, block=100)
+    assert sorted(order.tolist()) == list(range(3000))
+    assert [len(g) for g in graph] == sorted(len(g) for g in graph) and len(graph[-1]) == 3000
+    for links in graph:
+        for node, row in enumerate(links.tolist()):
+            own = [k for k in row if k >= 0]
+            assert len(set(own)) == len(own) and node not in own and all(k < len(links) for k in own)
+            assert own or len(links) == 1
+    held = vectors[order]
+    shard = ann.Shard(24, [("vectors", held.tobytes()), ("ids", np.arange(3000).tobytes()), ("counts", np.ones(3000, np.int64).tobytes()), *((f"links {g.shape[1]}", g.tobytes()) for g in graph)])
+    queries = rng.normal(size=(100, 24))
+    found = shard.search(queries, 96)
+    right = sum(len(set(np.argsort(-(held @ q))[:10].tolist()) & set(nodes.tolist())) for q, nodes in zip(queries, found, strict=True))
+    assert right >= 0.95 * 1000
+    for n in (1, 2, 5):
+        order, graph = ann.build_graph(vectors[:n])
+        assert sorted(order.tolist()) == list(range(n)) and len(graph[-1]) == n
