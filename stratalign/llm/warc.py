@@ -118,7 +118,7 @@ def _write(folder: str, date: str):
     return write
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, hot_share: float = 0.001) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, hot_rows: int = 10_000) -> DataFrame:
     """Writes the archives; returns their manifest (path, bytes, records), read from the shared folder."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
@@ -127,87 +127,87 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # The number tells repeated rows (one id, one payload) apart, so it is written down: made anew it could change.
     rows = scratch.save(rows.withColumns({"digest": digest, "row": F.monotonically_increasing_id()}), "rows")
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("id"), F.col("row")))
-    groups = scratch.save(rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1"), "groups")
-    # Digests of over hot_share of all grouped rows: at most 1 / hot_share of them, so they may be broadcast;
-    # their rows need no shuffle partner and are dealt at random.
-    most = groups.agg(F.sum("n")).first()[0] or 0
-    hot = groups.filter(F.col("n") > hot_share * most)
-    cold = groups.filter(F.col("n") <= hot_share * most)
-    rows = rows.join(F.broadcast(hot.select("digest", F.col("best").alias("hot"))), "digest", "left")
-    rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit(b"row"), F.col("row").cast("string").cast("binary"))))
-    rows = rows.join(cold.select(F.col("digest").alias("key"), "best"), "key", "left").withColumn("best", F.coalesce("best", "hot"))
-    revisit = F.col("best").isNotNull() & ((F.col("best.row") != F.col("row")) | F.lit(False))
-    rows = rows.select("page_id", "url", "html", F.when(revisit & F.col("best.known"), F.col("best.id")).alias("refers_to"), revisit.alias("revisit"))
+    large = rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit_bytes)
+    groups = scratch.save(large.groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1"), "groups")
+    # Payloads meet their groups by digest without the html.  Those of more than hot_rows rows, or a hundred-thousandth
+    # of all, are so few (some 60 bytes each) that every task has them; the others fit a task.
+    most = max(hot_rows, (groups.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot, cold = groups.filter(F.col("n") > most).select("digest", F.col("best").alias("hot")), groups.filter(F.col("n") <= most).select("digest", F.col("best").alias("cold"))
+    narrow = rows.select("digest", "row").join(F.broadcast(hot), "digest", "left")
+    met = narrow.filter("hot is not null").select("row", F.col("hot").alias("best")).unionByName(narrow.filter("hot is null").join(cold.hint("merge"), "digest").select("row", F.col("cold").alias("best")))
+    revisits = met.filter("best.row <> row").select("row", F.when(F.col("best.known"), F.col("best.id")).alias("refers_to"), F.lit(True).alias("revisit"))
+    # Row numbers are distinct: no task gets more than its share of the html.
+    rows = rows.join(revisits.hint("merge"), "row", "left").select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     manifest = scratch.save(rows.mapInArrow(_write(folder, date), "path string, bytes long, records long"), "manifest")
     scratch.drop("rows", "groups")
     return manifest
 
 
+class _Window:
+    """A file's bytes from any place on, read in pieces; a place within the last piece costs no reading."""
+
+    def __init__(self, stream, size: int = 1 << 20):
+        self.stream, self.size, self.start, self.data = stream, size, 0, b""
+
+    def at(self, place: int) -> memoryview:
+        """One byte or more from place on; none at the end of the file."""
+        if not self.start <= place < self.start + len(self.data):
+            self.stream.seek(place)
+            self.start, self.data = place, self.stream.read(self.size)
+        return memoryview(self.data)[place - self.start :]
+
+
 def _members(stream, start: int, end: int) -> Iterator[bytes]:
     """Decoded gzip members that start in [start, end), from the first valid one on."""
-    data, base, at = b"", start, 0  # data holds the file from base on; at is the next member's place in it
-
-    def more() -> bool:
-        nonlocal data
-        got = stream.read(_CHUNK)
-        data += got
-        return bool(got)
-
-    stream.seek(start)
-    walking = False
-    while True:
-        if at > 1 << 20:
-            data, base, at = data[at:], base + at, 0
-        if base + at >= end:
-            return
+    window, at, walking = _Window(stream), start, False
+    while at < end:
         if not walking:
-            found = data.find(MAGIC, at)
-            if found < 0:
-                base, data, at = base + max(at, len(data) - 2), data[max(at, len(data) - 2) :], 0
-                if base >= end or not more():
-                    return
-                continue
-            at = found
-            if base + at >= end:
+            found = _magic(window, at, end)
+            if found is None:
                 return
-        elif len(data) - at < 3 and not more() and len(data) <= at:
-            return
-        raw, used = _decode(data, at, stream)
-        if raw is None:
-            data = used[1]
-            if walking:  # damaged record: look for the next magic
-                walking = False
-            at += 1
-            continue
-        data, next_at = used[1], used[0]
-        walking = True
-        yield raw
-        at = next_at
-
-
-def _decode(data: bytes, at: int, stream) -> tuple[bytes | None, tuple[int, bytes]]:
-    """The member at data[at:] if it is a whole WARC record; the place after it; data with what was read on."""
-    unpack, out, fed = zlib.decompressobj(31), [], at
-    checked = False
-    while True:
-        if fed == len(data):
-            got = stream.read(_CHUNK)
-            if not got:
-                return None, (at, data)
-            data += got
+            at = found
+        raw, after = _decode(window, at)
+        walking = raw is not None
+        if walking:
+            yield raw
+        at = after if walking else at + 1  # a damaged record: look for the next magic
+
+
+def _magic(window: _Window, at: int, end: int) -> int | None:
+    """Where the magic next starts in [at, end)."""
+    tail = b""
+    while at - len(tail) < end:
+        piece = bytes(window.at(at))
+        if not piece:
+            return None
+        found = (tail + piece).find(MAGIC)
+        if found >= 0:
+            place = at - len(tail) + found
+            return place if place < end else None
+        at += len(piece)
+        tail = (tail + piece)[-(len(MAGIC) - 1) :]
+    return None
+
+
+def _decode(window: _Window, at: int) -> tuple[bytes | None, int]:
+    """The member that starts at this place, if it is a whole WARC record, and the place after it.  What is no record
+    is known by its first bytes."""
+    unpack, out, size = zlib.decompressobj(31), [], 0
+    while not unpack.eof:
+        piece = window.at(at)[:_CHUNK]
+        if not len(piece):
+            return None, at
         try:
-            out.append(unpack.decompress(data[fed : fed + _CHUNK]))
+            out.append(unpack.decompress(piece))
         except zlib.error:
-            return None, (at, data)
-        step = min(_CHUNK, len(data) - fed)
-        fed += step
-        if not checked and sum(map(len, out)) >= 5:
-            if not b"".join(out).startswith(b"WARC/"):
-                return None, (at, data)
-            checked = True
-        if unpack.eof:
-            return (b"".join(out) if checked else None), (fed - len(unpack.unused_data), data)
+            return None, at
+        at += len(piece) - len(unpack.unused_data)
+        if size < 5:
+            size += len(out[-1])
+            if size >= 5 and not b"".join(out).startswith(b"WARC/"):
+                return None, at
+    return (b"".join(out) if size >= 5 else None), at
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

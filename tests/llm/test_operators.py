@@ -96,11 +96,12 @@ def test_exact_duplicates(docs, empty):
     assert kept.count() == len(groups)
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot_rows", [10_000, 0])
+def test_warc_round_trip(spark, tmp_path, hot_rows):
     html = ["<p>a</p>", "<p>a</p>", "", None, "x" * 300_000, "é\r\n\r\nWARC/1.0\r\n", "<p>b</p>"]
     pages = [(k, f"http://x/{k}", h, "clash") for k, h in enumerate(html)] + [(6, "u", "<p>b</p>", "z"), (None, None, "<p>a</p>", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(2)
-    manifest = warc.write_warc(df, f"file://{tmp_path}/w")
+    manifest = warc.write_warc(df, f"file://{tmp_path}/w", hot_rows=hot_rows)
     for split in (1 << 20, 900):
         rows = warc.read_warc(spark, manifest, split).collect()
         assert sorted(((r["page_id"] is None, r["page_id"] or 0) for r in rows)) == sorted(((p[0] is None, p[0] or 0) for p in pages))
@@ -125,6 +126,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, warc.write_warc(none, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_ranges_and_damage():
+    """Whatever the ranges, each record is read once; a damaged one costs itself alone; magic within payloads is harmless."""
+    rng = np.random.default_rng(5)
+    payloads = [b"", warc.MAGIC * 9, rng.bytes(3_000_000), b"short", rng.bytes(70_000), warc.encode_record(9, "u", b"inner", None, False, "d"), b"last"]
+    records = [warc.encode_record(k, f"http://x/{k}", p, None, False, "2024-01-01T00:00:00Z") for k, p in enumerate(payloads)]
+    for damaged in (None, 3, 4):
+        parts = records.copy()
+        if damaged is not None:
+            parts[damaged] = parts[damaged][:12] + bytes(8) + parts[damaged][20:]
+        raw = b"".join(parts)
+        for step in (len(raw), 1 << 20, 50_000):
+            got = []
+            for start in range(0, len(raw), step):
+                got += [warc.parse_record(r) for r in warc._members(pa.BufferReader(raw), start, min(start + step, len(raw)))]
+            assert [(r["page_id"], r["payload"]) for r in got] == [(k, p) for k, p in enumerate(payloads) if k != damaged]
+
+
 def brute_components(rows, n, percent):
     sets = {}
     for k, t, *_ in rows:
