@@ -12,25 +12,48 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BIN = 1 << 14
+#: Limits of a bin's width.
+LEAST_BIN, MOST_BIN = 64, 1 << 20
+
+
+def bin_size(df: DataFrame) -> int:
+    """A power of two of about the mean length, so that intervals lie in two bins on average and a bin holds no more
+    of them than can meet; one aggregate over df, which is the smaller side of a join as a rule."""
+    mean = df.agg(F.avg(F.col("e") - F.col("s"))).first()[0] or 0
+    return max(LEAST_BIN, min(MOST_BIN, 1 << max(0, int(mean) - 1).bit_length()))
+
+
+def _bins(s: Column, last: Column, size: int) -> Column:
+    return F.sequence(F.floor(s / size), F.floor(F.greatest(last, s) / size))
 
 
 def _binned(df: DataFrame, s: Column, last: Column, size: int) -> DataFrame:
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(s / size), F.floor(F.greatest(last, s) / size))))
+    return df.withColumn("__bin", F.explode(_bins(s, last, size)))
 
 
 def _renamed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int = BIN, closed: bool = False, how: str = "inner", prefix: str = "r_") -> DataFrame:
+def overlap_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int | None = None, closed: bool = False, prefix: str = "r_") -> DataFrame:
+    """Every left row at least once, beside the right rows of its bins, with ``met``: the two overlap (closed: or touch)
+    and meet here for the first time.  Left rows without an interval stay too."""
+    keys, reach, size = list(keys), 0 if closed else 1, size or bin_size(right)
+    a = left.withColumn("__bin", F.explode_outer(_bins(F.col("s"), F.col("e") - reach, size)))
+    b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"])
+    rs, re = F.col(f"{prefix}s"), F.col(f"{prefix}e")
+    met = (F.col("s") <= re) & (rs <= F.col("e")) if closed else (F.col("s") < re) & (rs < F.col("e"))
+    first = F.col("__bin") == F.floor(F.greatest(F.col("s"), rs) / size)
+    return a.join(b, [*keys, "__bin"], "left").withColumn("met", F.coalesce(met & first, F.lit(False))).drop("__bin")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int | None = None, closed: bool = False, how: str = "inner", row: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
     """Pairs that share a base (closed: or touch).  Both sides have s and e; the right side's other columns get a
-    prefix.  how: inner, left_semi or left_anti, the last two by a key on the left side that is unique per row."""
-    keys, reach = list(keys), 0 if closed else 1
+    prefix.  how: inner, left_semi or left_anti, the last two by ``row``, the columns that tell left rows apart."""
+    keys, reach, size = list(keys), 0 if closed else 1, size or bin_size(right)
     if how != "inner":
-        left = left.withColumn("__row", F.monotonically_increasing_id())
-        hit = overlap_join(left, right, keys, size, closed, "inner", prefix).select("__row").distinct()
-        return left.join(hit, "__row", how).drop("__row")
+        hit = overlap_join(left.select(*dict.fromkeys([*row, *keys, "s", "e"])), right.select(*keys, "s", "e"), keys, size, closed).select(*row).distinct()
+        return left.join(hit, list(row), how)
     a = _binned(left, F.col("s"), F.col("e") - reach, size)
     b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"])
     rs, re = F.col(f"{prefix}s"), F.col(f"{prefix}e")
@@ -39,15 +62,15 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: i
     return a.join(b, [*keys, "__bin"]).filter(met & first).drop("__bin")
 
 
-def containment_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int = BIN, prefix: str = "r_") -> DataFrame:
+def containment_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int | None = None, prefix: str = "r_") -> DataFrame:
     """Overlapping pairs with enclosed: the left interval lies within the right one."""
     met = overlap_join(left, right, keys, size, prefix=prefix)
     return met.withColumn("enclosed", (F.col(f"{prefix}s") <= F.col("s")) & (F.col("e") <= F.col(f"{prefix}e")))
 
 
-def stab_join(points: DataFrame, right: DataFrame, keys: Sequence[str], point: str = "p", size: int = BIN, strict: bool = False, prefix: str = "r_") -> DataFrame:
+def stab_join(points: DataFrame, right: DataFrame, keys: Sequence[str], point: str = "p", size: int | None = None, strict: bool = False, prefix: str = "r_") -> DataFrame:
     """Points within intervals: s <= p < e, or s < p < e where strict."""
-    keys = list(keys)
+    keys, size = list(keys), size or bin_size(right)
     a = points.withColumn("__bin", F.floor(F.col(point) / size))
     b = _renamed(_binned(right, F.col("s"), F.col("e") - 1, size), prefix, [*keys, "__bin"])
     p, rs, re = F.col(point), F.col(f"{prefix}s"), F.col(f"{prefix}e")
@@ -60,29 +83,50 @@ def tolerance_flag(points: DataFrame, known: DataFrame, keys: Sequence[str], poi
     return points.join(near, [*keys, point], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def merge(df: DataFrame, keys: Sequence[str] = ("chrom",), gap: int = 0) -> DataFrame:
-    """Union of intervals, touching ones merged: a new island starts where s is beyond every earlier e."""
+#: Windows over positions span one tile, not a whole chromosome.
+TILE = 1 << 18
+
+
+def _tiled(df: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Intervals cut at the tiles' edges, with their tile."""
+    parts = df.filter("e > s").select(*keys, "s", "e", F.explode(F.sequence(F.floor(F.col("s") / tile), F.floor((F.col("e") - 1) / tile))).alias("__tile"))
+    return parts.select(*keys, "__tile", F.greatest("s", F.col("__tile") * tile).alias("s"), F.least("e", (F.col("__tile") + 1) * tile).alias("e"))
+
+
+def _islands(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Touching intervals merged: a new island starts where s is beyond every earlier e."""
     w = Window.partitionBy(*keys).orderBy("s", "e")
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*keys, "s", "e").distinct().withColumn("__new", F.when(before.isNull() | (F.col("s") > before + gap), 1).otherwise(0))
+    marked = df.select(*keys, "s", "e").distinct().withColumn("__new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
     island = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "__island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__island")
 
 
+def merge(df: DataFrame, keys: Sequence[str] = ("chrom",), tile: int = TILE) -> DataFrame:
+    """Union of intervals, touching ones merged: tile by tile, and then, of what reaches a tile's edge, all together;
+    those are two islands a tile at most."""
+    keys = list(keys)
+    within = _islands(_tiled(df, keys, tile), [*keys, "__tile"])
+    # An island off the edges is alone in its window; the input is referred to once, so that plans don't double.
+    edge = (F.col("s") % tile == 0) | (F.col("e") % tile == 0)
+    return _islands(within.withColumn("__own", F.when(~edge, F.col("s"))), [*keys, "__own"]).drop("__own")
+
+
 def _events(df: DataFrame, keys: Sequence[str], **steps: int) -> DataFrame:
     signs = F.explode(F.array(*[F.struct(F.col(c).alias("at"), *[F.lit(sign * v).alias(k) for k, v in steps.items()]) for c, sign in (("s", 1), ("e", -1))]))
     return df.select(*keys, signs.alias("__x")).select(*keys, "__x.*")
 
 
-def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """What left covers and right does not, in one sweep over both sides' ends."""
+def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), tile: int = TILE) -> DataFrame:
+    """What left covers and right does not, in one sweep over both sides' ends within each tile."""
     keys = list(keys)
-    events = _events(left, keys, a=1, b=0).unionByName(_events(right, keys, a=0, b=1))
-    summed = events.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy(*keys).orderBy("at")
+    group = [*keys, "__tile"]
+    events = _events(_tiled(left, keys, tile), group, a=1, b=0).unionByName(_events(_tiled(right, keys, tile), group, a=0, b=1))
+    summed = events.groupBy(*group, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy(*group).orderBy("at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = summed.select(*keys, F.col("at").alias("s"), F.lead("at").over(w).alias("e"), F.sum("a").over(upto).alias("in_a"), F.sum("b").over(upto).alias("in_b"))
-    return merge(swept.filter("in_a > 0 and in_b = 0 and e > s"), keys)
+    return merge(swept.filter("in_a > 0 and in_b = 0 and e > s"), keys, tile)
 
 
 def bases(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -90,15 +134,10 @@ def bases(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def depth_segments(df: DataFrame, keys: Sequence[str] = ("chrom",), tile: int | None = None) -> DataFrame:
-    """Segments (s, e, depth) of constant depth.  With a tile, intervals are first cut at its multiples, so that a
-    window spans one tile and not a whole chromosome."""
+    """Segments (s, e, depth) of constant depth.  With a tile, intervals are first cut at its multiples."""
     keys = list(keys)
-    if tile:
-        parts = F.explode(F.sequence(F.floor(F.col("s") / tile), F.floor((F.col("e") - 1) / tile)))
-        df = df.filter("e > s").select(*keys, "s", "e", parts.alias("__tile"))
-        df = df.select(*keys, "__tile", F.greatest("s", F.col("__tile") * tile).alias("s"), F.least("e", (F.col("__tile") + 1) * tile).alias("e"))
     group = [*keys, "__tile"] if tile else keys
-    events = _events(df, group, step=1).groupBy(*group, "at").agg(F.sum("step").alias("step"))
+    events = _events(_tiled(df, keys, tile) if tile else df, group, step=1).groupBy(*group, "at").agg(F.sum("step").alias("step"))
     w = Window.partitionBy(*group).orderBy("at")
     swept = events.select(*keys, F.col("at").alias("s"), F.lead("at").over(w).alias("e"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("depth"))
     return swept.filter("depth > 0 and e is not null")
@@ -109,7 +148,7 @@ def depth_histogram(df: DataFrame, keys: Sequence[str] = ("chrom",), tile: int |
     return depth_segments(df, keys, tile).groupBy("depth").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("positions"))
 
 
-def bases_within(queries: DataFrame, merged: DataFrame, keys: Sequence[str], row: str, size: int = BIN) -> DataFrame:
+def bases_within(queries: DataFrame, merged: DataFrame, keys: Sequence[str], row: str, size: int | None = None) -> DataFrame:
     """row -> bases of the merged intervals within each query interval; queries without any are left out."""
     met = overlap_join(queries.select(row, *keys, "s", "e"), merged.select(*keys, "s", "e"), keys, size)
     return met.groupBy(row).agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).cast("long").alias("bases"))

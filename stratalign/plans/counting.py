@@ -1,24 +1,41 @@
 """Gene counting: hits, statuses, the duplication matrix.
 
-Inputs: reads with rid, flag, nh; blocks with rid, chrom, s, e; genes (exons)
-with gene_id, chrom, s, e, strand and, for biotypes, biotype.
+Inputs: blocks with what tells reads apart, flag, chrom, s, e; genes (exons) with
+gene_id, chrom, s, e, strand and, for biotypes, biotype.  A read without blocks has
+one row without an interval.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalign.functions.flags import DUPLICATE, has, is_multi, strand_matches
-from stratalign.operators.intervals import overlap_join
+from stratalign.operators.intervals import overlap_candidates
+
+
+def _met(blocks: DataFrame, exons: DataFrame, carry: Sequence[str], protocol: str, paired: bool) -> tuple[DataFrame, Column]:
+    """Blocks beside exons, and the gene of those that share a base on a fitting strand."""
+    wanted = dict.fromkeys([*carry, "flag", "chrom", "s", "e"])
+    met = overlap_candidates(blocks.select(*wanted), exons.select("gene_id", "strand", "chrom", "s", "e"), ["chrom"])
+    fits = F.col("met") if protocol == "unstranded" else F.col("met") & strand_matches(protocol, F.col("r_strand"), paired)
+    return met, F.when(fits, F.col("r_gene_id"))
+
+
+def gene_hits(blocks: DataFrame, exons: DataFrame, carry: Sequence[str], protocol: str = "unstranded", paired: bool = False) -> DataFrame:
+    """A row for each read: carry (which tells reads apart), the sorted distinct genes, their number n, and gene_id, the
+    first of them."""
+    met, gene = _met(blocks, exons, carry, protocol, paired)
+    hits = met.groupBy(*carry).agg(F.array_sort(F.collect_set(gene)).alias("genes"))
+    return hits.withColumns({"n": F.size("genes"), "gene_id": F.try_element_at("genes", F.lit(1))})
 
 
-def gene_hits(reads: DataFrame, blocks: DataFrame, exons: DataFrame, protocol: str = "unstranded", paired: bool = False) -> DataFrame:
-    """reads with genes: the sorted distinct genes that share a base with a block on a fitting strand."""
-    met = overlap_join(blocks.select("rid", "flag", "chrom", "s", "e"), exons.select("gene_id", "strand", "chrom", "s", "e"), ["chrom"])
-    kept = met.filter(strand_matches(protocol, F.col("r_strand"), paired))
-    hits = kept.groupBy("rid").agg(F.array_sort(F.collect_set("r_gene_id")).alias("genes"))
-    empty = F.array().cast(hits.schema["genes"].dataType)
-    return reads.join(hits, "rid", "left").withColumn("genes", F.coalesce("genes", empty))
+def sole_genes(blocks: DataFrame, exons: DataFrame, carry: Sequence[str], protocol: str = "unstranded", paired: bool = False) -> DataFrame:
+    """As gene_hits without the genes: n is 0, 1 or 2 (for several), and gene_id the least.  No list is made."""
+    met, gene = _met(blocks, exons, carry, protocol, paired)
+    ends = met.groupBy(*carry).agg(F.min(gene).alias("gene_id"), F.max(gene).alias("last"))
+    return ends.withColumn("n", F.when(F.col("gene_id").isNull(), 0).when(F.col("gene_id") == F.col("last"), 1).otherwise(2)).drop("last")
 
 
 def vote(a: str, b: str):
@@ -29,7 +46,7 @@ def vote(a: str, b: str):
 
 def gene_counts(hits: DataFrame) -> DataFrame:
     """gene_id with the four counters by duplicates and multimappers, of fragments with exactly one gene."""
-    one = hits.filter(F.size("genes") == 1).select(F.col("genes")[0].alias("gene_id"), has(DUPLICATE).alias("dup"), is_multi().alias("multi"))
+    one = hits.filter("n = 1").select("gene_id", has(DUPLICATE).alias("dup"), is_multi().alias("multi"))
     return one.groupBy("gene_id").agg(
         F.count("*").alias("all_multi"),
         F.count_if(~F.col("dup")).alias("filt_multi"),
@@ -55,8 +72,8 @@ def dup_matrix(counts: DataFrame, genes: DataFrame, total) -> DataFrame:
 
 def read_status(hits: DataFrame) -> DataFrame:
     """hits with status: multimapping, then by the number of genes."""
-    size = F.size("genes")
-    return hits.withColumn("status", F.when(is_multi(), "multimapping").when(size == 0, "no_features").when(size == 1, "assigned").otherwise("ambiguous"))
+    n = F.col("n")
+    return hits.withColumn("status", F.when(is_multi(), "multimapping").when(n == 0, "no_features").when(n == 1, "assigned").otherwise("ambiguous"))
 
 
 def biotype_status(hits: DataFrame, genes: DataFrame) -> DataFrame:

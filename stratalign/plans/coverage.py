@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratalign.functions.flags import PAIRED, READ1, REVERSE, clear, has
-from stratalign.operators.intervals import containment_join, depth_segments, overlap_join, stab_join
+from stratalign.operators.intervals import containment_join, depth_segments, overlap_candidates, overlap_join, stab_join
 
 
-def region_tags(tags: DataFrame, regions: DataFrame, order: Sequence[str], keys: Sequence[str], otherwise: str) -> DataFrame:
-    """region -> tags whose point p lies strictly within a region's interval; the first region in order counts."""
-    numbered = tags.withColumn("__tag", F.monotonically_increasing_id())
-    met = stab_join(numbered, regions, keys, strict=True)
-    best = F.min(F.array_position(F.array(*map(F.lit, order)), F.col("r_region")))
-    first = met.groupBy("__tag").agg(best.cast("int").alias("__best"))
-    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, order)), F.col("__best")), F.lit(otherwise))
-    return numbered.join(first, "__tag", "left").groupBy(name.alias("region")).agg(F.count("*").alias("tags"))
+def region_tags(tags: DataFrame, regions: DataFrame, order: Sequence[str], keys: Sequence[str], otherwise: str, row: Sequence[str]) -> DataFrame:
+    """region -> tags whose point p lies strictly within a region's interval; the first region in order counts.  ``row``
+    has the columns that tell tags apart."""
+    names = F.array(*map(F.lit, order))
+    # A strict stab of p is an overlap of [p, p + 1) with the open interval.
+    points = tags.select(*dict.fromkeys([*row, *keys]), F.col("p").alias("s"), (F.col("p") + 1).alias("e"))
+    inner = regions.select(*keys, "region", (F.col("s") + 1).alias("s"), "e").filter("s < e")
+    met = overlap_candidates(points, inner, keys)
+    place = F.when(F.col("met"), F.array_position(names, F.col("r_region")))
+    first = met.groupBy(*row).agg(F.min(place).cast("int").alias("__best"))
+    return first.groupBy(F.coalesce(F.try_element_at(names, F.col("__best")), F.lit(otherwise)).alias("region")).agg(F.count("*").alias("tags"))
 
 
 def strand_classes(spans: DataFrame, transcripts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,9 +90,10 @@ def exonic_grid(exons, n: int):
     return F.when(length <= n, F.array_sort(F.concat(all_bases, F.array(F.array_min(ends), F.array_max(ends))))).otherwise(F.array_sort(F.array_distinct(F.concat(picked, ends))))
 
 
-def slot_depth(grid: DataFrame, blocks: DataFrame, keys: Sequence[str], tx: str) -> DataFrame:
+def slot_depth(grid: DataFrame, blocks: DataFrame, keys: Sequence[str], tx: str, block_bases: int = 128) -> DataFrame:
     """tx, slot -> blocks over the slot's position, slots without any included."""
-    met = stab_join(grid, blocks, keys).groupBy(tx, "slot").agg(F.count("*").alias("depth"))
+    # Blocks are far more than slots: the bins are of their size, about that of a short read, and not measured.
+    met = stab_join(grid, blocks, keys, size=block_bases).groupBy(tx, "slot").agg(F.count("*").alias("depth"))
     return grid.select(tx, "slot").join(met, [tx, "slot"], "left").select(tx, "slot", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

@@ -39,7 +39,8 @@ SELECT p_partkey AS gene_id, CAST(p_partkey % 5 AS INT) AS tid, p_partkey * 40 A
        CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_type AS biotype
 FROM part
 """
-_RID = "concat_ws(':', qname, pk, sk, ln, len, flag)"
+#: What tells reads apart, as one number: the keys and the length of a line in mixed radix.
+_RID = "((((qname * 262144 + pk) * 16384 + sk) * 8 + ln) * 64 + len - 20)"
 _WITH = f"""
 WITH r AS (SELECT *, {_RID} AS rid FROM ({_READS}) x),
      g AS ({_GENES}),
@@ -81,7 +82,11 @@ class Tables:
 
     @property
     def hits(self) -> DataFrame:
-        return ct.gene_hits(self.counted, self.blocks.filter(fl.counting(False)), self.genes)
+        return ct.sole_genes(self.blocks.filter(fl.counting(False)), self.genes, ["rid", "flag", "nh"])
+
+    @property
+    def gene_sets(self) -> DataFrame:
+        return ct.gene_hits(self.blocks.filter(fl.counting(False)), self.genes, ["rid", "qname", "ln", "flag", "nh"])
 
 
 def query(name: str, oracle: str | None, shared: bool = True):
@@ -133,7 +138,7 @@ def dup_matrix_stats(t: Tables) -> DataFrame:
 
 @query("fragment_status", """SELECT count(*) AS fragments, count(*) FILTER (WHERE n = 1) AS assigned, count(*) FILTER (WHERE n > 1) AS ambiguous, count(*) FILTER (WHERE n = 0) AS no_features FROM hit""")
 def fragment_status(t: Tables) -> DataFrame:
-    n = F.size("genes")
+    n = F.col("n")
     return t.hits.agg(F.count("*").alias("fragments"), F.count_if(n == 1).alias("assigned"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n == 0).alias("no_features"))
 
 
@@ -147,13 +152,13 @@ def read_status(t: Tables) -> DataFrame:
 
 @query("gene_reads", f"SELECT gene_id, count(*) AS reads FROM hit WHERE {_STATUS} = 'assigned' GROUP BY 1")
 def gene_reads(t: Tables) -> DataFrame:
-    return ct.read_status(t.hits).filter("status = 'assigned'").groupBy(F.col("genes")[0].alias("gene_id")).agg(F.count("*").alias("reads"))
+    return ct.read_status(t.hits).filter("status = 'assigned'").groupBy("gene_id").agg(F.count("*").alias("reads"))
 
 
 @query("stranded_hits", """, h AS (SELECT bg.rid, bg.gene_id FROM bg JOIN cr ON bg.rid = cr.rid
   WHERE ((cr.flag & 16 = 0) = (cr.flag & 64 <> 0)) = (bg.strand = '-')) SELECT gene_id, count(*) AS reads FROM h GROUP BY 1""")
 def stranded_hits(t: Tables) -> DataFrame:
-    hits = ct.gene_hits(t.counted, t.blocks.filter(fl.counting(False)), t.genes, "reverse", True)
+    hits = ct.gene_hits(t.blocks.filter(fl.counting(False)), t.genes, ["rid", "flag"], "reverse", True)
     return hits.select(F.explode("genes").alias("gene_id")).groupBy("gene_id").agg(F.count("*").alias("reads"))
 
 
@@ -163,11 +168,11 @@ _BIOTYPE = """, bt AS (SELECT hit.rid, count(DISTINCT bg.biotype) AS n_types, mi
 
 @query("biotype_status", _BIOTYPE + "SELECT CASE WHEN n_types = 0 THEN 'no_features' WHEN n_types = 1 THEN 'assigned' ELSE 'ambiguous' END AS status, count(*) AS reads FROM bt GROUP BY 1")
 def biotype_status(t: Tables) -> DataFrame:
-    return ct.biotype_status(t.hits, t.genes).groupBy("status").agg(F.count("*").alias("reads"))
+    return ct.biotype_status(t.gene_sets, t.genes).groupBy("status").agg(F.count("*").alias("reads"))
 
 
 def _biotype_counts(t: Tables) -> DataFrame:
-    return ct.biotype_status(t.hits, t.genes).filter("status = 'assigned' and size(biotypes) = 1").groupBy(F.col("biotypes")[0].alias("biotype")).agg(F.count("*").alias("reads"))
+    return ct.biotype_status(t.gene_sets, t.genes).filter("status = 'assigned' and size(biotypes) = 1").groupBy(F.col("biotypes")[0].alias("biotype")).agg(F.count("*").alias("reads"))
 
 
 @query("biotype_counts", _BIOTYPE + "SELECT biotype, count(*) AS reads FROM bt WHERE n_types = 1 GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -277,17 +282,17 @@ def gc_step_hist(t: Tables) -> DataFrame:
     return sq.changes(sq.step_histogram(t.reads.filter(fl.primary()).select(gc.alias("gc"), "len"), "gc", "len", 199), "bin", "reads")
 
 
-@query("base_composition", """, d AS (SELECT lower(substr(text, 1, 60)) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT unnest(range(1, length(t) + 1)) AS cycle, t FROM d)
+@query("base_composition", """, d AS (SELECT lower(text) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT unnest(range(1, length(t) + 1)) AS cycle, t FROM d)
   SELECT cycle, CASE WHEN substr(t, cycle::int, 1) IN ('a', 'c', 'g', 't') THEN substr(t, cycle::int, 1) ELSE 'n' END AS base, count(*) AS n FROM c GROUP BY ALL""")
 def base_composition(t: Tables) -> DataFrame:
-    sequences = t.read("documents").filter("text is not null").select(F.lower(F.substring("text", 1, 60)).alias("seq"))
+    sequences = t.read("documents").filter("text is not null").select(F.lower("text").alias("seq"))
     return st.base_composition(sequences)
 
 
-@query("quality_by_cycle", """, d AS (SELECT substr(text, 1, 40) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT unnest(range(1, length(t) + 1)) AS cycle, t FROM d)
+@query("quality_by_cycle", """, d AS (SELECT text AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT unnest(range(1, length(t) + 1)) AS cycle, t FROM d)
   SELECT cycle, least(unicode(substr(t, cycle::int, 1)) - 33, 63)::int AS quality, count(*) AS n FROM c WHERE unicode(substr(t, cycle::int, 1)) >= 33 GROUP BY ALL""")
 def quality_by_cycle(t: Tables) -> DataFrame:
-    return st.quality_by_cycle(t.read("documents").filter("text is not null").select(F.substring("text", 1, 40).alias("qual")))
+    return st.quality_by_cycle(t.read("documents").filter("text is not null").select(F.col("text").alias("qual")))
 
 
 @query("seq_dup_hist", "SELECT times, count(*) AS sequences FROM (SELECT text, count(*) AS times FROM documents GROUP BY text) GROUP BY times", shared=False)
@@ -359,7 +364,7 @@ def coverage_hist(t: Tables) -> DataFrame:
 def read_distribution(t: Tables) -> DataFrame:
     tags = t.blocks.filter(fl.usable()).select("rid", "tid", F.expr("s + (e - s) div 2").alias("p"))
     regions = t.genes.select(F.when(F.col("strand") == "+", "plus").otherwise("minus").alias("region"), "tid", "s", "e")
-    return cv.region_tags(tags, regions, ["plus", "minus"], ["tid"], "intergenic")
+    return cv.region_tags(tags, regions, ["plus", "minus"], ["tid"], "intergenic", ["rid", "p"])
 
 
 @query("strandedness", """, u AS (SELECT * FROM r WHERE flag & 1796 = 0 AND mapq >= 30), j AS (SELECT u.rid, u.flag, string_agg(DISTINCT g.strand, ':' ORDER BY g.strand) AS strands FROM u JOIN g ON u.tid = g.tid AND g.s < u.pos + u.len + u.intron AND g.e > u.pos GROUP BY ALL)
@@ -391,7 +396,7 @@ def ssp_votes(t: Tables) -> DataFrame:
 @query("intron_touch", """, i AS (SELECT tid, s + 10 AS s, s + 40 AS e FROM g) SELECT count(*) AS reads FROM (SELECT DISTINCT b.rid FROM b WHERE flag & 2820 = 0 AND EXISTS (SELECT 1 FROM i WHERE i.tid = b.tid AND i.s <= b.e AND i.e >= b.s))""")
 def intron_touch(t: Tables) -> DataFrame:
     introns = t.genes.select("tid", (F.col("s") + 10).alias("s"), (F.col("s") + 40).alias("e"))
-    met = iv.overlap_join(t.blocks.filter(fl.clear(2820)), introns, ["tid"], closed=True, how="left_semi")
+    met = iv.overlap_join(t.blocks.filter(fl.clear(2820)), introns, ["tid"], closed=True, how="left_semi", row=["rid", "s"])
     return met.agg(F.count_distinct("rid").alias("reads"))
 
 
@@ -473,7 +478,7 @@ def mate_pair_inner(t: Tables) -> DataFrame:
 @query("pair_gene_vote", """, m AS (SELECT qname, (ln + 1) // 2 AS pair, flag & 64 <> 0 AS first, bg.gene_id FROM cr JOIN bg ON cr.rid = bg.rid), v AS (SELECT qname, pair, gene_id, max(first)::int + max(NOT first)::int AS score FROM m GROUP BY ALL),
   w AS (SELECT *, max(score) OVER (PARTITION BY qname, pair) AS best FROM v) SELECT qname, pair, count(*) AS genes, min(gene_id) AS least FROM w WHERE score = best GROUP BY ALL""")
 def pair_gene_vote(t: Tables) -> DataFrame:
-    hits = t.hits.withColumn("pair", F.expr("(ln + 1) div 2"))
+    hits = t.gene_sets.withColumn("pair", F.expr("(ln + 1) div 2"))
     sides = hits.groupBy("qname", "pair").agg(*[F.array_distinct(F.flatten(F.collect_list(F.when(side, F.col("genes"))))).alias(n) for n, side in (("one", fl.has(fl.READ1)), ("two", fl.clear(fl.READ1)))])
     voted = sides.withColumn("genes", ct.vote("one", "two")).filter("size(genes) > 0")
     return voted.select("qname", "pair", F.size("genes").cast("long").alias("genes"), F.array_min("genes").alias("least"))

@@ -8,6 +8,7 @@ no columns; annotation is small beside them.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -90,10 +91,10 @@ class QcSession:
     def transcripts(self) -> DataFrame:
         return gtf.transcripts(self.features).withColumn("chrom", F.upper("chrom")).persist()
 
-    def blocks(self, reads: DataFrame, walk: cg.Walk | None = None, upper: bool = False) -> DataFrame:
-        """rid, flag, nh, chrom, s, e of each aligned block."""
+    def blocks(self, reads: DataFrame, walk: cg.Walk | None = None, upper: bool = False, more: Sequence[str] = (), outer: bool = False) -> DataFrame:
+        """rid, flag, nh, chrom, s, e of each aligned block, and more; where outer, a read without any has one row."""
         array = F.col("blocks") if walk is None else cg.blocks(F.col("ops"), F.col("pos"), walk)
-        return reads.select("rid", "flag", "nh", F.col("chrom_u" if upper else "chrom").alias("chrom"), F.explode(array).alias("x")).select("*", "x.s", "x.e").drop("x")
+        return reads.select("rid", "flag", "nh", F.col("chrom_u" if upper else "chrom").alias("chrom"), (F.explode_outer if outer else F.explode)(array).alias("x"), *more).select("*", "x.s", "x.e").drop("x")
 
     # -- counting and duplication
 
@@ -102,9 +103,10 @@ class QcSession:
         """rid, flag, nh, genes of each counted fragment; mates are joined by their key and vote."""
         p = self.params
         kept = self.reads.filter(fl.counting(p.paired))
-        hits = ct.gene_hits(kept, self.blocks(kept), self.exons, p.protocol, p.paired)
+        mates = ["qname", "tid", "pos", "mtid", "mpos", "hi", "file_order"] if p.paired else []
+        hits = ct.gene_hits(self.blocks(kept, more=mates, outer=True), self.exons, ["rid", "flag", "nh", *mates], p.protocol, p.paired)
         if not p.paired:
-            return hits.select("rid", "flag", "nh", "genes").persist()
+            return hits.persist()
         own, other = F.struct("tid", "pos"), F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("pos"))
         first = F.when(fl.has(fl.READ1), own).otherwise(other)
         second = F.when(fl.has(fl.READ1), other).otherwise(own)
@@ -114,7 +116,8 @@ class QcSession:
         sides = keyed.agg(F.min("rid").alias("rid"), side("genes", r1).alias("g1"), side("genes", r2).alias("g2"), F.max(F.when(fl.has(fl.DUPLICATE), 1).otherwise(0)).alias("dup"), F.max("nh").alias("nh"))
         empty = F.array().cast("array<string>")
         genes = F.when(F.col("g1").isNull() | F.col("g2").isNull(), F.coalesce("g1", "g2", empty)).otherwise(ct.vote("g1", "g2"))
-        return sides.select("rid", (F.col("dup") * fl.DUPLICATE).alias("flag"), "nh", genes.alias("genes")).persist()
+        voted = sides.select("rid", (F.col("dup") * fl.DUPLICATE).alias("flag"), "nh", genes.alias("genes"))
+        return voted.withColumns({"n": F.size("genes"), "gene_id": F.try_element_at("genes", F.lit(1))}).persist()
 
     @cached_property
     def total_fragments(self) -> int:
@@ -125,7 +128,7 @@ class QcSession:
         check = st.duplicate_check(self.reads).first()
         if check["fails"] and not self.params.skip_dup_check:
             raise ValueError("no read is marked as a duplicate: mark duplicates first, or skip this check")
-        if check["mapped"] and self.fragments.filter(F.size("genes") > 0).isEmpty():
+        if check["mapped"] and self.fragments.filter("n > 0").isEmpty():
             raise ValueError("no read meets a gene: do the chromosome names of alignments and annotation agree?")
 
     def dup_matrix(self) -> DataFrame:
@@ -141,10 +144,10 @@ class QcSession:
     @cached_property
     def read_hits(self) -> DataFrame:
         kept = self.reads.filter(fl.counting(self.params.paired))
-        return ct.gene_hits(kept, self.blocks(kept), self.exons, self.params.protocol, self.params.paired)
+        return ct.gene_hits(self.blocks(kept, outer=True), self.exons, ["rid", "flag", "nh"], self.params.protocol, self.params.paired)
 
     def read_counts(self) -> DataFrame:
-        counts = ct.read_status(self.read_hits).filter("status = 'assigned'").groupBy(F.col("genes")[0].alias("gene_id")).agg(F.count("*").alias("reads"))
+        counts = ct.read_status(self.read_hits).filter("status = 'assigned'").groupBy("gene_id").agg(F.count("*").alias("reads"))
         return self.genes.join(counts, "gene_id", "left").select("gene_ord", "gene_id", "exons", "strand", "length", F.coalesce("reads", F.lit(0)).alias("reads")).orderBy("gene_ord")
 
     def read_summary(self) -> DataFrame:
@@ -254,8 +257,8 @@ class QcSession:
         """region, bases, tags; a tag with both untranslated regions or both flanks is unassigned, wider flanks
         include narrower ones."""
         names = ["CDS", "5UTR", "3UTR", "Intron", *[f"{s}_{k}kb" for s in ("TSS_up", "TES_down") for k in (1, 5, 10)]]
-        tags = self.blocks(self.reads.filter(fl.usable()), cg.EXONS, upper=True).select("chrom", F.expr("s + (e - s) div 2").alias("p")).withColumn("tag", F.monotonically_increasing_id()).persist()
-        met = iv.stab_join(tags, self.regions, ["chrom"], strict=True).groupBy("tag").agg(F.collect_set("r_region").alias("in"))
+        tags = self.blocks(self.reads.filter(fl.usable()), cg.EXONS, upper=True).select("rid", "chrom", F.expr("s + (e - s) div 2").alias("p"))
+        met = iv.stab_join(tags, self.regions, ["chrom"], strict=True).groupBy("rid", "p").agg(F.collect_set("r_region").alias("in"))
         inside = lambda n: F.array_contains("in", n)
         up, down = inside("TSS_up_10kb"), inside("TES_down_10kb")
         first = F.when(inside("CDS"), "CDS").when(inside("5UTR") & inside("3UTR"), "none").when(inside("5UTR"), "5UTR").when(inside("3UTR"), "3UTR").when(inside("Intron"), "Intron").when(up & down, "none").when(up, "TSS_up").when(down, "TES_down").otherwise("none")
