@@ -97,10 +97,13 @@ def slot_depth(grid: DataFrame, blocks: DataFrame, keys: Sequence[str], tx: str,
     return grid.select(tx, "slot").join(met, [tx, "slot"], "left").select(tx, "slot", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def integrity(slots: DataFrame, tx: str) -> DataFrame:
-    """tin: 100 times the exponential of the coverage's entropy over the number of slots; 0 without coverage."""
+def integrity(slots: DataFrame, tx: str, sizes: DataFrame | None = None) -> DataFrame:
+    """tin: 100 times the exponential of the coverage's entropy over the number of slots; 0 without coverage.  ``sizes``
+    (tx, slots) has the numbers where they differ from those of the rows: a position that stands in a grid
+    twice counts once in the coverage and twice in the number."""
     depth = F.col("depth").cast("double")
-    sums = slots.groupBy(tx).agg(F.count("*").alias("slots"), F.sum("depth").alias("total"), F.sum(F.when(depth > 0, depth * F.log(depth)).otherwise(0.0)).alias("ent"))
+    sums = slots.groupBy(tx).agg(F.count("*").alias("rows"), F.sum("depth").alias("total"), F.sum(F.when(depth > 0, depth * F.log(depth)).otherwise(0.0)).alias("ent"))
+    sums = sums.withColumn("slots", F.col("rows")) if sizes is None else sums.join(sizes, tx)
     tin = F.when(F.col("total") > 0, 100 * F.exp(F.log("total") - F.col("ent") / F.col("total")) / F.col("slots")).otherwise(0.0)
     return sums.select(tx, tin.alias("tin"))
 

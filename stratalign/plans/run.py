@@ -6,79 +6,159 @@ import json
 import os
 import sys
 import traceback
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from stratalign.functions import flags as fl
-from stratalign.plans import coverage as cv, pairs as pr, statistics as st
+from stratalign.plans import coverage as cv, pairs as pr
 from stratalign.plans.session import Params, QcSession
-from stratalign.sinks import text
+from stratalign.sinks import stats, text
 
 
 def stem(path: str) -> str:
     return os.path.basename(path).rsplit(".", 1)[0]
 
 
-def reports(q: QcSession, name: str) -> dict[str, tuple[str, object]]:
-    """analysis -> {file: function that renders it}; nothing runs before its function is called."""
+def reports(q: QcSession, name: str) -> dict[str, dict[str, object]]:
+    """analysis -> {file: function that renders it}; nothing runs before its function is called, and what several files
+    share is computed once."""
+    p = q.params
 
-    def matrix() -> str:
-        return text.dup_matrix(q.dup_matrix().collect())
+    @cache
+    def matrix():
+        return q.dup_matrix().collect()
+
+    @cache
+    def fitted() -> tuple[float, float]:
+        return q.fit()
+
+    def curve() -> str:
+        rpk = [r["rpk"] for r in matrix() if r["rpk"] > 0]
+        return text.dup_curve_mqc(*fitted(), min(rpk, default=None), max(rpk, default=None))
 
     def tags() -> str:
         reads = q.reads.filter(fl.usable())
         return text.read_distribution(q.read_distribution().collect(), reads.count(), q.blocks(reads).count())
 
+    @cache
     def status() -> dict[str, int]:
         return {r["status"]: r["reads"] for r in q.read_summary().collect()}
 
-    def inner_hist() -> str:
-        p = q.params
-        return text.inner_distance_histogram(pr.distance_histogram(q.inner_distance().filter("dist is not null"), p.inner_low, p.inner_high, p.inner_step).orderBy("lo").collect(), p.inner_step)
+    @cache
+    def biotypes():
+        return q.biotype_counts().collect()
+
+    @cache
+    def biotype_status() -> dict[str, int]:
+        return {r["status"]: r["reads"] for r in q.biotype_summary().collect()}
+
+    @cache
+    def duplication() -> tuple[list, list]:
+        return q.position_duplication().collect(), q.sequence_duplication().collect()
+
+    @cache
+    def junctions():
+        return q.junctions().collect()
+
+    @cache
+    def junction_classes() -> dict[str, tuple[int, int]]:
+        kinds = [(r["class"], r["reads"]) for r in junctions()]
+        return {c: (sum(n for k, n in kinds if k == c), sum(k == c for k, _ in kinds)) for c, _ in text.JUNCTION_CLASSES}
+
+    @cache
+    def saturation():
+        return q.junction_saturation().collect()
+
+    @cache
+    def distances():
+        return q.inner_distance().collect()
+
+    @cache
+    def distance_bins():
+        return pr.distance_histogram(q.inner_distance().filter("dist is not null"), p.inner_low, p.inner_high, p.inner_step).orderBy("lo").collect()
+
+    def distance_classes() -> dict[str, int]:
+        return dict(Counter(r["class"] for r in distances()))
+
+    def strands() -> str:
+        return text.strandedness(cv.strandedness_verdict(q.strandedness()).na.fill(0.0).first(), q.layout())
 
     return {
-        "dupradar": {f"{name}_dupMatrix.txt": matrix, f"{name}_intercept_slope.txt": lambda: text.intercept_slope(*q.fit())},
-        "featurecounts": {f"{name}.featureCounts.tsv": lambda: text.gene_counts(q.read_counts().collect(), name), f"{name}.featureCounts.tsv.summary": lambda: text.count_summary(status(), name), f"{name}.biotype_counts.tsv": lambda: text.biotype_counts(q.biotype_counts().collect())},
+        "dupradar": {
+            f"{name}_dupMatrix.txt": lambda: text.dup_matrix(matrix()),
+            f"{name}_intercept_slope.txt": lambda: text.intercept_slope(*fitted(), name),
+            f"{name}_dup_intercept_mqc.txt": lambda: text.intercept_mqc(fitted()[0], name),
+            f"{name}_duprateExpDensCurve_mqc.txt": curve,
+        },
+        "featurecounts": {
+            f"{name}.featureCounts.tsv": lambda: text.gene_counts(q.read_counts().collect(), name),
+            f"{name}.featureCounts.tsv.summary": lambda: text.count_summary(status(), os.path.basename(q.path)),
+            f"{name}.featureCounts.biotype.tsv.summary": lambda: text.count_summary(biotype_status(), os.path.basename(q.path)),
+            f"{name}.biotype_counts.tsv": lambda: text.biotype_counts(biotypes()),
+            f"{name}.biotype_counts_mqc.tsv": lambda: text.biotype_counts_mqc(biotypes()),
+            f"{name}.biotype_counts_rrna_mqc.tsv": lambda: text.rrna_mqc(biotypes(), biotype_status().get("assigned", 0), name),
+        },
         "bam_stat": {f"{name}.bam_stat.txt": lambda: text.bam_stat(q.bam_stat().first())},
         "flagstat": {f"{name}.flagstat": lambda: text.flagstat(q.flagstat().first())},
         "idxstats": {f"{name}.idxstats": lambda: text.idxstats(q.idxstats().collect())},
         "stats": {f"{name}.stats": lambda: stats_report(q)},
-        "infer_experiment": {f"{name}.infer_experiment.txt": lambda: text.strandedness(cv.strandedness_verdict(q.strandedness()).na.fill(0.0).first(), q.params.paired)},
-        "read_duplication": {f"{name}.pos.DupRate.xls": lambda: text.duplication_table(q.position_duplication().collect(), "positions"), f"{name}.seq.DupRate.xls": lambda: text.duplication_table(q.sequence_duplication().collect(), "sequences")},
+        "infer_experiment": {f"{name}.infer_experiment.txt": strands},
+        "read_duplication": {
+            f"{name}.pos.DupRate.xls": lambda: text.duplication_table(duplication()[0], "positions"),
+            f"{name}.seq.DupRate.xls": lambda: text.duplication_table(duplication()[1], "sequences"),
+            f"{name}.DupRate_plot.r": lambda: text.duplication_script(*duplication(), name),
+        },
         "read_distribution": {f"{name}.read_distribution.txt": tags},
-        "junction_annotation": {f"{name}.junction.xls": lambda: text.junctions(q.junctions().collect()), f"{name}.junction.bed": lambda: text.junction_bed(q.junctions().collect()), f"{name}.junction.Interact.bed": lambda: text.junction_interact(q.junctions().collect())},
-        "junction_saturation": {f"{name}.junctionSaturation_plot.r": lambda: text.saturation_script(q.junction_saturation().collect())},
-        "inner_distance": {f"{name}.inner_distance.txt": lambda: text.inner_distance(q.inner_distance().collect()), f"{name}.inner_distance_freq.txt": inner_hist},
-        "tin": {f"{name}.tin.xls": lambda: text.tin(q.tin().collect())},
-        "qualimap": {"coverage_profile_along_genes_(total).txt": lambda: text.coverage_profile(q.coverage_profile().collect())},
+        "junction_annotation": {
+            f"{name}.junction.xls": lambda: text.junctions(junctions()),
+            f"{name}.junction.bed": lambda: text.junction_bed(junctions()),
+            f"{name}.junction.Interact.bed": lambda: text.junction_interact(junctions()),
+            f"{name}.junction_plot.r": lambda: text.junction_script(junction_classes(), q.short_introns(), name),
+            f"{name}.junction_annotation.log": lambda: text.junction_log(junction_classes(), q.short_introns(), os.path.basename(q.gtf_path)),
+        },
+        "junction_saturation": {
+            f"{name}.junctionSaturation_plot.r": lambda: text.saturation_script(saturation(), name),
+            f"{name}.junctionSaturation_summary.txt": lambda: text.saturation_summary(saturation()),
+        },
+        "inner_distance": {
+            f"{name}.inner_distance.txt": lambda: text.inner_distance(distances()),
+            f"{name}.inner_distance_freq.txt": lambda: text.inner_distance_histogram(distance_bins(), p.inner_step),
+            f"{name}.inner_distance_plot.r": lambda: text.inner_distance_script(distance_bins(), p.inner_step, name),
+            f"{name}.inner_distance_summary.txt": lambda: text.inner_distance_summary(distance_classes(), distance_bins(), p.inner_step),
+            f"{name}.inner_distance_mean.txt": lambda: text.inner_distance_mean(distance_bins(), p.inner_step, name),
+        },
+        "tin": {f"{name}.tin.xls": lambda: text.tin(q.tin().collect()), f"{name}.summary.txt": lambda: text.tin_summary(q.tin_summary().first(), os.path.basename(q.path))},
+        "qualimap": {f"coverage_profile_along_genes_({tier}).txt": (lambda tier=tier: text.coverage_profile(q.coverage_profile(tier).collect())) for tier in ("total", "high", "low")},
         "preseq": {f"{name}.lc_extrap.txt": lambda: text.complexity(q.complexity_curve())},
     }
 
 
 def stats_report(q: QcSession) -> str:
-    """The sections of the statistics report, each from one aggregate."""
-    lines = [f"CHK\t{r['names']:08x}\t{r['sequences'] or 0:08x}\t{r['qualities'] or 0:08x}" for r in q.checksums().collect()]
-    sums, flags = q.length_sums().first(), q.flagstat().first()
-    lines += [f"SN\t{k}:\t{v or 0}" for k, v in (("raw total sequences", flags["primary_reads"]), ("reads mapped", flags["primary_mapped"]), ("reads paired", flags["paired"]), ("reads duplicated", flags["duplicates"]), ("non-primary alignments", flags["secondary"]), ("total length", sums["total"]), ("bases mapped", sums["mapped"]), ("bases duplicated", sums["duplicated"]), ("maximum length", sums["longest"]))]
-    cycles = q.cycle_matrices().persist()
-    for tag, which in (("FFQ", "first"), ("LFQ", "last")):
-        rows = cycles.filter(F.col("fragment") == which).groupBy("cycle").pivot("quality", list(range(64))).agg(F.sum("n")).na.fill(0).orderBy("cycle").collect()
-        lines += [f"{tag}\t{r['cycle'] + 1}\t" + "\t".join(str(r[str(k)]) for k in range(64)) for r in rows]
-    bases = ["A", "C", "G", "T", "N", "other"]
-    for tag, which in (("GCC", None), ("FBC", "first"), ("LBC", "last")):
-        part = cycles if which is None else cycles.filter(F.col("fragment") == which)
-        rows = part.groupBy("cycle").pivot("base", bases).agg(F.sum("n")).na.fill(0).orderBy("cycle").collect()
-        for r in rows:
-            total = sum(r[b] for b in bases[:4]) or 1
-            lines.append(f"{tag}\t{r['cycle'] + 1}\t" + "\t".join(f"{100 * r[b] / total:.2f}" for b in bases))
-    lines += [f"GCF\t{r['bin'] * 100 / 199:.2f}\t{r['reads']}" for r in q.gc_steps().orderBy("bin").collect()]
-    lines += [f"RL\t{r['len']}\t{r['reads']}" for r in st.histogram(q.reads.filter(fl.primary()), "len").orderBy("len").collect()]
-    lines += [f"MAPQ\t{r['mapq']}\t{r['reads']}" for r in q.mapq_histogram().orderBy("mapq").collect()]
-    lines += [f"ID\t{r['len']}\t{r['I']}\t{r['D']}" for r in q.indels().groupBy("len").pivot("kind", ["I", "D"]).agg(F.sum("n")).na.fill(0).orderBy("len").collect()]
-    lines += [f"COV\t[{r['depth']}-{r['depth']}]\t{r['depth']}\t{r['positions']}" for r in q.depth_histogram().collect()]
-    lines += [f"GCD\t{r['gc'] * 100:.1f}\t{r['depth']}" for r in q.gc_depth().orderBy("gc").collect()]
-    return "\n".join(lines) + "\n"
+    """The statistics report; every section comes from a relation whose size the read length or the genome bounds."""
+    sizes = q.template_sizes().collect()
+    mean, sd = stats.insert_moments([(r["size"], r["total"]) for r in sizes if r["size"] > 0])
+    counters = {"unmapped": q.bam_stat().first()["unmapped"], "insert_mean": mean, "insert_sd": sd, **{k: sum(r[k] for r in sizes) for k in ("inward", "outward", "other")}}
+    for part in (q.flagstat(), q.length_sums(), q.report_counters()):
+        counters |= {k: v or 0 for k, v in part.first().asDict().items()}
+    return stats.report(
+        {
+            "checksums": tuple(q.checksums().first()),
+            "counters": counters,
+            "cycles": q.cycle_matrices().collect(),
+            "gc_first": q.gc_steps().collect(),
+            "gc_last": q.gc_steps(last=True).collect(),
+            "sizes": sizes,
+            "lengths": q.read_lengths().collect(),
+            "mapq": q.mapq_histogram().collect(),
+            "indels": q.indels().collect(),
+            "indel_cycles": q.indel_cycles().collect(),
+            "depth": q.depth_histogram().collect(),
+            "gc_depth": [(r["gc"], r["depth"]) for r in q.gc_depth().orderBy("tid", "start").collect()],
+        }
+    )
 
 
 def run_file(spark: SparkSession, path: str, gtf: str, params: Params, outdir: str, skip: list[str], flat: bool) -> dict:

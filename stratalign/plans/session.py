@@ -20,6 +20,7 @@ from stratalign.functions.numeric import logistic_fit
 from stratalign.operators import intervals as iv, sequences as sq
 from stratalign.plans import complexity, counting as ct, coverage as cv, pairs as pr, statistics as st
 from stratalign.sources import bam, gtf, sam
+from stratalign.sources.probe import GZIP, first_bytes
 
 
 @dataclass
@@ -57,7 +58,7 @@ class QcSession:
 
     @cached_property
     def header(self) -> DataFrame:
-        with_bam = bytes(self.spark.read.format("binaryFile").load(self.path).select(F.substring("content", 1, 2)).first()[0]) == b"\x1f\x8b"
+        with_bam = first_bytes(self.spark, self.path, 2) == GZIP
         return bam.bam_header(self.spark, self.path) if with_bam else sam.read_header(self.spark, self.path)
 
     @cached_property
@@ -156,8 +157,16 @@ class QcSession:
         return status.unionByName(unmapped)
 
     def biotype_counts(self) -> DataFrame:
+        """Every biotype of the annotation, those without reads included."""
         known = ct.biotype_status(self.read_hits, self.genes).filter("status = 'assigned' and size(biotypes) = 1")
-        return known.groupBy(F.col("biotypes")[0].alias("biotype")).agg(F.count("*").alias("reads")).orderBy(F.col("reads").desc(), "biotype")
+        counts = known.groupBy(F.col("biotypes")[0].alias("biotype")).agg(F.count("*").alias("reads"))
+        every = self.genes.select("biotype").filter("biotype is not null").distinct()
+        return every.join(counts, "biotype", "left").select("biotype", F.coalesce("reads", F.lit(0)).alias("reads")).orderBy(F.col("reads").desc(), "biotype")
+
+    def biotype_summary(self) -> DataFrame:
+        """status -> reads, where reads of several genes of one biotype are assigned."""
+        unique = ct.biotype_status(self.read_hits, self.genes).groupBy("status").agg(F.count("*").alias("reads"))
+        return unique.unionByName(self.read_summary().filter("status in ('multimapping', 'unmapped')"))
 
     # -- statistics
 
@@ -188,33 +197,61 @@ class QcSession:
     def indels(self) -> DataFrame:
         return st.indel_histogram(self.reads.filter(fl.clear(fl.UNMAPPED | fl.SECONDARY)))
 
-    def gc_steps(self) -> DataFrame:
+    def indel_cycles(self) -> DataFrame:
+        return st.indel_cycles(self.reads.filter(fl.clear(fl.UNMAPPED | fl.SECONDARY)))
+
+    def report_counters(self) -> DataFrame:
+        return st.report_counters(self.reads)
+
+    def template_sizes(self) -> DataFrame:
+        return st.template_sizes(self.reads)
+
+    def read_lengths(self) -> DataFrame:
+        """len -> primary reads, and those of first and last fragments."""
+        last = fl.has(fl.PAIRED) & fl.has(fl.READ2)
+        return self.reads.filter(fl.primary()).groupBy("len").agg(F.count("*").alias("reads"), F.count_if(~last).alias("first"), F.count_if(last).alias("last"))
+
+    def gc_steps(self, last: bool = False) -> DataFrame:
+        """bin -> reads where the step function over 200 bins changes, of first or last fragments."""
+        which = (fl.has(fl.PAIRED) & fl.has(fl.READ2)) == F.lit(last)
+        kept = self.reads.filter(fl.primary() & which & F.col("seq").isNotNull())
         gc = F.length(F.regexp_replace("seq", "[^GC]", ""))
-        return sq.changes(sq.step_histogram(self.reads.filter(fl.primary() & F.col("seq").isNotNull()).select(gc.alias("gc"), F.length("seq").alias("n")), "gc", "n", 199), "bin", "reads")
+        return sq.changes(sq.step_histogram(kept.select(gc.alias("gc"), F.length("seq").alias("n")), "gc", "n", 199), "bin", "reads")
 
     def gc_depth(self, span: int = 20_000) -> DataFrame:
-        """Bins opened where a read starts more than span after the bin's first read: sequential per reference."""
+        """Bins opened where a read starts more than span after the bin's first read: tid, start, depth, gc (the sum of the
+        reads' shares).  A gap of more than span between reads always opens one, so runs of reads without such
+        a gap are independent of one another and are what a task gets."""
         kept = self.reads.filter(fl.clear(fl.UNMAPPED | fl.SECONDARY) & F.col("seq").isNotNull()).select("tid", "pos", F.length("seq").alias("n"), F.length(F.regexp_replace("seq", "[^GC]", "")).alias("gc"))
+        places = kept.groupBy("tid", "pos").agg(F.count("*").alias("depth"), F.sum(F.col("gc").cast("double") / F.col("n")).alias("gc"))
+        before = F.lag("pos").over(Window.partitionBy("tid").orderBy("pos"))
+        runs = places.withColumn("opens", F.when(before.isNull() | (F.col("pos") - before > span), F.col("pos")))
+        runs = runs.withColumn("run", F.last("opens", ignorenulls=True).over(Window.partitionBy("tid").orderBy("pos")))
 
         def bins(pdf):
+            import numpy as np
             import pandas as pd
 
-            pdf, out, begin = pdf.sort_values("pos"), [], None
-            for pos, n, gc in zip(pdf["pos"], pdf["n"], pdf["gc"], strict=True):
-                if begin is None or pos - begin > span:
-                    begin = pos
-                    out.append([int(pdf["tid"].iloc[0]), int(pos), 0, 0.0])
-                out[-1][2] += 1
-                out[-1][3] += gc / n
-            return pd.DataFrame([[t, s, d, g / d] for t, s, d, g in out], columns=["tid", "start", "depth", "gc"])
+            pdf = pdf.sort_values("pos")
+            pos, at, cuts = pdf["pos"].to_numpy(), 0, []
+            while at < len(pos):
+                cuts.append(at)
+                at = int(np.searchsorted(pos, pos[at] + span, "right"))
+            return pd.DataFrame({"tid": pdf["tid"].to_numpy()[cuts], "start": pos[cuts], "depth": np.add.reduceat(pdf["depth"].to_numpy(), cuts), "gc": np.add.reduceat(pdf["gc"].to_numpy(), cuts)})
 
-        return kept.groupBy("tid").applyInPandas(bins, "tid int, start long, depth long, gc double")
+        return runs.select("tid", "run", "pos", "depth", "gc").groupBy("tid", "run").applyInPandas(bins, "tid int, start long, depth long, gc double")
 
     def strandedness(self) -> DataFrame:
         kept = self.reads.filter(fl.usable(self.params.mapq)).withColumn("end", F.col("pos") + cg.query_aligned_length(F.col("ops")) + cg.intron_bases(F.col("ops")))
         spans = kept.select("rid", "flag", F.upper("chrom").alias("chrom"), F.col("pos").alias("s"), F.col("end").alias("e"))
         return cv.strand_classes(spans, self.transcripts, ["chrom"])
 
+    def layout(self) -> str:
+        """PairEnd or SingleEnd where all reads with a verdict are of one kind, else Unknown."""
+        paired = F.col("key").startswith("1") | F.col("key").startswith("2")
+        row = self.strandedness().agg(F.count_if(paired).alias("pairs"), F.count_if(~paired).alias("single")).first()
+        return "Unknown" if bool(row["pairs"]) == bool(row["single"]) else "PairEnd" if row["pairs"] else "SingleEnd"
+
     def position_duplication(self) -> DataFrame:
         keyed = self.reads.filter(fl.duplication_reads(self.params.mapq)).withColumn("key", cg.blocks(F.col("ops"), F.col("pos"), cg.POSITION_KEY))
         return sq.count_of_counts(keyed, ["chrom", "pos", "key"], "positions").orderBy("times")
@@ -266,11 +303,18 @@ class QcSession:
         counts = sorted_tags.agg(*[F.count_if((F.col("first") == n.rsplit("_", 1)[0]) & inside(n) if "kb" in n else F.col("first") == n).alias(n) for n in names]).unpivot([], names, "region", "tags")
         return self.spark.createDataFrame([(k, n) for k, n in enumerate(names)], "ord int, region string").join(counts, "region").join(iv.bases(self.regions, ["region"]), "region", "left").select("ord", "region", F.coalesce("bases", F.lit(0)).alias("bases"), "tags").orderBy("ord").drop("ord")
 
-    @cached_property
-    def junction_events(self) -> DataFrame:
+    @property
+    def introns(self) -> DataFrame:
         kept = self.reads.filter(fl.usable(self.params.mapq))
         introns = kept.select("file_order", "rid", F.col("chrom_u").alias("chrom"), F.explode(cg.blocks(F.col("ops"), F.col("pos"), cg.INTRONS)).alias("x"))
-        return introns.select("file_order", "rid", "chrom", "x.s", "x.e").filter(F.col("e") - F.col("s") >= self.params.min_intron).persist()
+        return introns.select("file_order", "rid", "chrom", "x.s", "x.e")
+
+    @cached_property
+    def junction_events(self) -> DataFrame:
+        return self.introns.filter(F.col("e") - F.col("s") >= self.params.min_intron).persist()
+
+    def short_introns(self) -> int:
+        return self.introns.filter(F.col("e") - F.col("s") < self.params.min_intron).count()
 
     @cached_property
     def known_introns(self) -> DataFrame:
@@ -313,8 +357,8 @@ class QcSession:
 
     @cached_property
     def tin_slots(self) -> DataFrame:
-        grid = self.transcripts.withColumn("grid", cv.exonic_grid(F.col("exons"), self.params.tin_samples))
-        return grid.select("tx_id", "chrom", F.posexplode("grid").alias("slot", "p")).withColumn("p", F.col("p") - 1)
+        grid = self.transcripts.select("tx_id", "chrom", cv.exonic_grid(F.col("exons"), self.params.tin_samples).alias("grid"))
+        return grid.select("tx_id", "chrom", F.size("grid").alias("slots"), F.posexplode(F.array_distinct("grid")).alias("slot", "p")).withColumn("p", F.col("p") - 1)
 
     def tin(self) -> DataFrame:
         """tx_id, tin; zero where no more than the least number of distinct starts lies within the transcript."""
@@ -325,9 +369,13 @@ class QcSession:
         enough = iv.stab_join(starts.distinct(), spans, ["chrom"]).groupBy(F.col("r_tx_id").alias("tx_id")).agg(F.count_distinct("p").alias("starts")).filter(F.col("starts") > p.tin_min_coverage)
         blocks = self.blocks(kept.filter(fl.clear(fl.DUPLICATE)), upper=True).select("chrom", "s", "e")
         slots = self.tin_slots.join(enough.select("tx_id"), "tx_id", "left_semi")
-        scores = cv.integrity(cv.slot_depth(slots, blocks, ["chrom"], "tx_id"), "tx_id")
+        scores = cv.integrity(cv.slot_depth(slots, blocks, ["chrom"], "tx_id"), "tx_id", self.tin_slots.select("tx_id", "slots").distinct())
         return self.transcripts.select("tx_id", "chrom", "s", "e").join(scores, "tx_id", "left").select("tx_id", "chrom", "s", "e", F.coalesce("tin", F.lit(0.0)).alias("tin"), F.col("tin").isNotNull().alias("passed"))
 
+    def tin_summary(self) -> DataFrame:
+        """Mean, median and population deviation over transcripts that passed."""
+        return self.tin().filter("passed").agg(F.avg("tin").alias("mean"), F.median("tin").alias("median"), F.stddev_pop("tin").alias("sd"))
+
     @cached_property
     def gene_body_blocks(self) -> DataFrame:
         return self.blocks(self.reads.filter(fl.gene_body_reads()), cg.GENE_BODY)
@@ -346,9 +394,13 @@ class QcSession:
         inside = met.select(F.col("r_tx_id").alias("tx_id"), (F.greatest("s", "r_s") - F.col("r_s") + F.col("r_before")).alias("s"), (F.least("e", "r_e") - F.col("r_s") + F.col("r_before")).alias("e"))
         return iv.depth_segments(inside, ["tx_id"])
 
-    def coverage_profile(self) -> DataFrame:
-        depth = self.transcript_depth().persist()
+    def coverage_profile(self, tier: str = "total") -> DataFrame:
+        """bin -> depth over all transcripts, or the 500 with the highest or lowest mean, of equal means one."""
+        depth = self.transcript_depth()
         lengths = self.exons.select("tx_id", "s", "e").distinct().groupBy("tx_id").agg(F.sum(F.col("e") - F.col("s")).alias("length"))
+        if tier != "total":
+            means = cv.mean_coverage(depth, lengths, "tx_id").filter("mean > 0")
+            depth = depth.join(sq.tiers(means, "mean", "tx_id", 500).filter(tier).select("tx_id"), "tx_id", "left_semi")
         return cv.coverage_profile(depth, lengths, "tx_id").orderBy("bin")
 
     # -- complexity

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalign.functions import cigar as cg
-from stratalign.functions.flags import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER_PAIR, QC_FAIL, READ1, READ2, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, clear, has, primary
+from stratalign.functions.flags import DUPLICATE, MATE_REVERSE, MATE_UNMAPPED, PAIRED, PROPER_PAIR, QC_FAIL, READ1, READ2, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, clear, has, primary
 
 
 def read_class(cut: int = 30) -> Column:
@@ -29,6 +29,7 @@ def flagstat(reads: DataFrame) -> DataFrame:
         "secondary": has(SECONDARY),
         "supplementary": has(SUPPLEMENTARY),
         "duplicates": has(DUPLICATE) & clear(QC_FAIL),
+        "primary_duplicates": primary() & has(DUPLICATE),
         "mapped": clear(UNMAPPED),
         "primary_reads": primary(),
         "primary_mapped": primary() & clear(UNMAPPED),
@@ -113,13 +114,55 @@ def indel_histogram(reads: DataFrame) -> DataFrame:
 
 
 def indel_cycles(reads: DataFrame) -> DataFrame:
-    """cycle x (insertions, deletions) x (first, last); reverse reads count from their other end, and deletions
-    before the first cycle are left out."""
-    each = reads.select(has(READ2).alias("last"), has(REVERSE).alias("reverse"), cg.query_aligned_length(F.col("ops")).alias("n"), F.explode(cg.indels(F.col("ops"))).alias("x"))
-    back = F.col("n") - F.col("x.cycle") - F.when(F.col("x.op") == "I", F.col("x.len")).otherwise(0)
-    cycle = F.when(F.col("reverse"), back).otherwise(F.col("x.cycle"))
-    each = each.withColumn("cycle", cycle).filter((F.col("x.op") == "I") | (F.col("cycle") > 0))
-    return each.groupBy("cycle").agg(*[F.count_if((F.col("x.op") == op) & (F.col("last") == which)).alias(f"{name}_{end}") for op, name in (("I", "insertions"), ("D", "deletions")) for end, which in (("first", F.lit(False)), ("last", F.lit(True)))])
+    """cycle (from 1) x (insertions, deletions) x (first, last).  An insertion counts at its first base in read order, a
+    deletion at the base before it; deletions before the first base are left out, and reads marked as both
+    ends or, in pairs, as none."""
+    order = F.when(clear(PAIRED) | (has(READ1) & clear(READ2)), "first").when(clear(READ1) & has(READ2), "last")
+    each = reads.select(order.alias("end"), has(REVERSE).alias("reverse"), F.col("len").alias("n"), F.explode(cg.indels(F.col("ops"))).alias("x")).filter("end is not null")
+    insertion, at = F.col("x.op") == "I", F.col("x.cycle")
+    back = F.greatest(F.col("n") - at - F.when(insertion, F.col("x.len")).otherwise(1), F.lit(0)) + 1
+    cycle = F.when(F.col("reverse"), back).when(insertion, at + 1).otherwise(at)
+    counted = each.filter(insertion | (at > 0)).groupBy(cycle.alias("cycle"))
+    return counted.agg(*[F.count_if((F.col("x.op") == op) & (F.col("end") == end)).alias(f"{name}_{end}") for op, name in (("I", "insertions"), ("D", "deletions")) for end in ("first", "last")])
+
+
+def _mapped_and_primary() -> Column:
+    return primary() & clear(UNMAPPED)
+
+
+def template_orientation() -> Column:
+    """inward, outward or other, as one mate sees it."""
+    first = F.when(has(READ1), 1).otherwise(-1)
+    apart, forward = first * F.signum(F.col("mpos") - F.col("pos")), F.when(has(REVERSE), -1).otherwise(1)
+    return F.when(has(REVERSE) == has(MATE_REVERSE), "other").when((apart == 0) | (apart == first * forward), "inward").otherwise("outward")
+
+
+def templates(reads: DataFrame) -> DataFrame:
+    """size (absolute, at most 8000) and orientation of each primary read whose mate is mapped too; both mates count."""
+    kept = reads.filter(_mapped_and_primary() & has(PAIRED) & clear(MATE_UNMAPPED) & ((F.col("tlen") != 0) | (F.col("tid") == F.col("mtid"))))
+    return kept.select(F.least(F.abs("tlen"), F.lit(8000)).alias("size"), template_orientation().alias("orientation"))
+
+
+def template_sizes(reads: DataFrame) -> DataFrame:
+    """size -> total, inward, outward, other."""
+    return templates(reads).groupBy("size").agg(F.count("*").alias("total"), *[F.count_if(F.col("orientation") == o).alias(o) for o in ("inward", "outward", "other")])
+
+
+def report_counters(reads: DataFrame) -> DataFrame:
+    """What the statistics report sums up in one pass: fragments, mates, bases, mismatches, qualities."""
+    p, mapped, last = primary(), _mapped_and_primary(), has(PAIRED) & has(READ2)
+    codes = F.transform(F.split(F.hex("qual"), "(?<=\\G..)"), lambda h: F.coalesce(F.conv(h, 16, 10).cast("long"), F.lit(0)))
+    quality = F.when(p & clear(QC_FAIL) & F.col("qual").isNotNull(), F.aggregate(codes, F.lit(0).cast("long"), lambda x, y: x + y))
+    aligned = F.when(clear(UNMAPPED | SECONDARY), cg.query_aligned_length(F.col("ops")))
+    counts = {
+        "qc_failed": has(QC_FAIL),
+        "first_fragments": p & ~last,
+        "last_fragments": p & last,
+        "mapped_and_paired": mapped & has(PAIRED) & clear(QC_FAIL | MATE_UNMAPPED),
+        "mapq0": mapped & (F.col("mapq") == 0),
+    }
+    sums = {"bases_aligned": aligned, "mismatches": F.when(mapped, F.greatest(F.col("nm"), F.lit(0))), "quality_sum": quality, "quality_bases": F.when(quality.isNotNull(), F.octet_length("qual"))}
+    return reads.agg(*[F.count_if(c).alias(n) for n, c in counts.items()], *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
 
 
 def duplicate_check(reads: DataFrame) -> DataFrame:

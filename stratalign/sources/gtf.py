@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalign.operators.intervals import bases, merge
+from stratalign.sources.probe import GZIP, first_bytes
 
 FEATURES = ("exon", "CDS", "start_codon", "stop_codon")
 
@@ -17,21 +18,23 @@ def attribute(name: str, column: str = "attributes") -> Column:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a plain or gzip file, the latter known by its first bytes and not by its name."""
-    raw = spark.read.format("binaryFile").load(path)
-    if not path.endswith(".gz") and bytes(raw.select(F.substring("content", 1, 2)).first()[0] or b"") == b"\x1f\x8b":
+    """Lines of a plain or gzip file, known by its first bytes and not by its name."""
+    zipped = first_bytes(spark, path, 2) == GZIP
+    if zipped == path.endswith(".gz"):  # Spark goes by the name
+        return spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
+
+    def lines(batches):
         import gzip
 
-        def unpack(batches):
-            import pyarrow as pa
+        import pyarrow as pa
 
-            for batch in batches:
-                for content in batch.column(0):
-                    lines = gzip.decompress(content.as_py()).decode().splitlines()
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string()), "row": pa.array(range(len(lines)), pa.int64())})
+        for batch in batches:
+            for content in batch.column(0):
+                raw = content.as_py()
+                found = (gzip.decompress(raw) if zipped else raw).decode().splitlines()
+                yield pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string()), "row": pa.array(range(len(found)), pa.int64())})
 
-        return raw.select("content").mapInArrow(unpack, "value string, row long")
-    return spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string, row long")
 
 
 def read_gtf(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> DataFrame:

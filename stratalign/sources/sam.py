@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from stratalign.functions import cigar as cg
+from stratalign.sources.probe import first_bytes
 
 #: What every alignment source gives.
 ALIGNMENTS_DDL = (
@@ -25,6 +28,15 @@ def _tag(name: str) -> Column:
     return F.try_element_at(F.regexp_extract_all("value", F.lit(rf"\t{name}:[iIcCsS]:(-?\d+)"), F.lit(1)), F.lit(1)).cast("int")
 
 
+#: Quality characters are 33 above their values.  Spark's own translate deletes what would become the value 0.
+_SHIFT = bytes(max(0, b - 33) for b in range(256))
+
+
+@F.pandas_udf(BinaryType())
+def _values(quals: pd.Series) -> pd.Series:
+    return quals.map(lambda q: None if q is None else q.encode().translate(_SHIFT))
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of a SAM file, with the parsed CIGAR in ops."""
     header = read_header(spark, path)
@@ -52,9 +64,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
     names = {r["name"]: r["tid"] for r in header.collect()}
     number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,int>")
-    # Quality characters are 33 above their values: shifted by a translation of the whole printable range.
-    shift_from, shift_to = "".join(map(chr, range(33, 127))), "".join(map(chr, range(0, 94)))
-    rows = rows.withColumns({"tid": F.coalesce(F.try_element_at(number, "chrom"), F.lit(-1)), "mtid": F.coalesce(F.try_element_at(number, "mate_chrom"), F.lit(-1)), "qual": F.translate("quals", shift_from, shift_to).cast("binary")})
+    rows = rows.withColumns({"tid": F.coalesce(F.try_element_at(number, "chrom"), F.lit(-1)), "mtid": F.coalesce(F.try_element_at(number, "mate_chrom"), F.lit(-1)), "qual": _values("quals")})
     columns = [f.split()[0] for f in ALIGNMENTS_DDL.replace("struct<file:string,start:bigint,row:bigint>", "x").split(", ")]
     return rows.select(*columns).withColumn("ops", cg.parse(F.col("cigar")))
 
@@ -69,7 +79,7 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """SAM or BAM, by the file's first bytes; CRAM has no reader here and is refused."""
     from .bam import read_bam
 
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4)).first()[0])
+    head = first_bytes(spark, path, 4)
     if head == b"CRAM":
         raise ValueError(f"{path}: CRAM needs a reference-based decoder, which is not part of this library; convert it to BAM")
     return read_bam(spark, path) if head[:2] == b"\x1f\x8b" else read_sam(spark, path)

@@ -1,10 +1,14 @@
 """Known results on the small single-end sample, and SAM = BAM."""
 
+import gzip
 import math
+import zlib
 
 import pytest
 
+from stratalign.plans import run
 from stratalign.plans.session import Params, QcSession
+from stratalign.sinks import stats, text
 from stratalign.sources import bam, gtf, sam
 
 from . import samples
@@ -119,3 +123,71 @@ def test_thick_ranges(spark, tmp_path):
     (tmp_path / "t.gtf").write_text(text)
     got = {r["tx_id"]: (r["cds_start"], r["cds_end"]) for r in gtf.transcripts(gtf.read_gtf(spark, str(tmp_path / "t.gtf"))).collect()}
     assert got == {"p": (1199, 3503), "m": (1496, 3800), "n": (None, None)}
+
+
+def test_qualities_of_zero(spark, tmp_path):
+    """The character ! is the value 0 and counts as one."""
+    line = "r\t0\tchr1\t101\t60\t5M\t*\t0\t0\tACGTN\t!!I!#\n"
+    (tmp_path / "q.sam").write_text(samples.HEADER + line)
+    rows = sam.read_sam(spark, str(tmp_path / "q.sam"))
+    assert bytes(rows.first()["qual"]) == bytes([0, 0, 40, 0, 2])
+    q = QcSession(spark, str(tmp_path / "q.sam"), str(tmp_path / "none.gtf"))
+    found = {(r["cycle"], r["base"]): r["quality"] for r in q.cycle_matrices().collect()}
+    assert found == {(0, "A"): 0, (1, "C"): 0, (2, "G"): 40, (3, "T"): 0, (4, "N"): 2}
+    counters = q.report_counters().first()
+    assert (counters["quality_sum"], counters["quality_bases"], counters["bases_aligned"]) == (42, 5, 5)
+    assert q.checksums().first()["qualities"] == zlib.crc32(bytes([0, 0, 40, 0, 2]))
+
+
+def test_gtf_goes_by_content(spark, tmp_path, files):
+    plain = (files / "a.gtf").read_bytes()
+    (tmp_path / "plain.gtf.gz").write_bytes(plain)
+    (tmp_path / "zipped.gtf").write_bytes(gzip.compress(plain))
+    (tmp_path / "zipped.gtf.gz").write_bytes(gzip.compress(plain))
+    expected = sorted(map(str, gtf.read_gtf(spark, str(files / "a.gtf")).drop("row").collect()))
+    for name in ("plain.gtf.gz", "zipped.gtf", "zipped.gtf.gz"):
+        assert sorted(map(str, gtf.read_gtf(spark, str(tmp_path / name)).drop("row").collect())) == expected
+
+
+def test_every_report(spark, files, tmp_path):
+    """All files of a run, and what they say."""
+    (summary,) = run.run(spark, [str(files / "a.sam")], str(files / "a.gtf"), Params(complexity_max=2000, complexity_step=500, complexity_bootstraps=5), str(tmp_path), flat=True)
+    assert summary["status"] == "ok"
+    out = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert len(out) >= 36
+    assert out["a_intercept_slope.txt"].startswith("a - dupRadar Int (duprate at low read counts): 0.5972778764")
+    assert out["a_dup_intercept_mqc.txt"].splitlines()[-2:] == ["Sample\tdupRadar_intercept", "a\t" + out["a_intercept_slope.txt"].split(": ")[1].split("\n")[0]]
+    curve = [list(map(float, x.split("\t"))) for x in out["a_duprateExpDensCurve_mqc.txt"].splitlines() if not x.startswith("#")]
+    assert len(curve) == 101 and curve[0][0] == pytest.approx(9.96677740863787) and curve[-1][0] == pytest.approx(990.09900990099)
+    a, b = math.log(0.597277876400675), math.log(0.967140186993884)
+    assert all(y == pytest.approx(100 / (1 + math.exp(-(a + b * math.log10(x)))), rel=1e-5) for x, y in curve)
+    assert out["a.featureCounts.tsv.summary"].splitlines()[:3] == ["Status\ta.sam", "Assigned\t473", "Unassigned_Unmapped\t5"]
+    assert out["a.flagstat"].splitlines()[4:6] == ["137 + 0 duplicates", "137 + 0 primary duplicates"]
+    assert out["a.infer_experiment.txt"].splitlines()[2] == "This is SingleEnd Data"
+    assert out["a.junction_annotation.log"].splitlines()[4:6] == ["Total splicing  Events:\t0", "Known Splicing Events:\t0"]
+    assert out["a.junctionSaturation_summary.txt"].splitlines()[-1] == "100\t0\t0\t0"
+    assert out["a.inner_distance_mean.txt"].startswith("Name\tMean\tMedian\tsd")
+    assert out["a.inner_distance_summary.txt"].startswith("Total read pairs: 0\nDifferent chromosome: 0\n")
+    assert out["a.summary.txt"].splitlines()[0] == "Bam_file\tTIN(mean)\tTIN(median)\tTIN(stdev)"
+    assert out["a.DupRate_plot.r"].count("\n") == 14 and "seq_uniqRead=c(1)" in out["a.DupRate_plot.r"]
+    assert out["a.biotype_counts.tsv"].splitlines()[0] == "Biotype\tCount"
+    stats = out["a.stats"].splitlines()
+    named = {x.split("\t")[1]: x.split("\t")[2] for x in stats if x.startswith("SN")}
+    assert (named["raw total sequences:"], named["reads mapped:"], named["reads duplicated:"], named["total length:"], named["bases mapped (cigar):"], named["average quality:"], named["error rate:"]) == ("488", "483", "137", "24400", "24150", "40.0", "0.000000e+00")
+    tags = list(dict.fromkeys(x.split("\t")[0] for x in stats if not x.startswith("#")))
+    assert tags == ["CHK", "SN", "FFQ", "GCF", "GCC", "GCT", "FBC", "FTC", "LTC", "RL", "FRL", "MAPQ", "COV", "GCD"]
+    assert "FTC\t24400\t0\t0\t0\t0" in stats and "RL\t50\t488" in stats and "MAPQ\t255\t346" in stats
+    assert [x for x in stats if x.startswith("GCF")] == ["GCF\t1.01\t488"] or [x for x in stats if x.startswith("GCF")][0].endswith("\t488")
+
+
+def test_statistics_formats():
+    assert stats.insert_moments([(100, 50), (200, 50), (5000, 1)]) == pytest.approx((150, 50))
+    lines = stats.gc_depth_lines([(0.5 * 10, 10), (0.5 * 20, 20), (0.4 * 30, 30), (0.7, 1)], 100.0)
+    assert [x.split("\t")[1] for x in lines[1:]] == ["0.0", "0.7", "40.0", "50.0"]
+    assert text.shortest(5.0) == "5" and text.shortest(1e-7) == "0.0000001" and text.shortest(0.1) == "0.1"
+    bins = [{"lo": -5, "pairs": 1}, {"lo": 0, "pairs": 3}, {"lo": 5, "pairs": 2}]
+    assert text.inner_distance_mean(bins, 5, "s").splitlines()[1].split("\t")[:3] == ["s", "3.33333333333333", "2.5"]
+    log = text.junction_log({"annotated": (7, 2), "partial_novel": (1, 1)}, 3, "x.gtf")
+    assert "Total splicing  Events:\t11\n" in log and "Total splicing  Junctions:\t3\n" in log
+    script = text.junction_script({"annotated": (7, 2), "partial_novel": (1, 2)}, 2, "p")
+    assert "events=c(10,0,70)" in script and "junction=c(50,0,50)" in script

@@ -93,6 +93,13 @@ def test_integrity(spark, depths, tin):
     assert cv.integrity(slots, "tx").first()["tin"] == pytest.approx(tin)
 
 
+def test_integrity_of_short_transcripts(spark):
+    """A boundary that stands in the grid twice counts once in the coverage and twice in the number of slots."""
+    slots = spark.createDataFrame([("t", k, 5 if k < 5 else 1) for k in range(10)], "tx string, slot int, depth long")
+    sizes = spark.createDataFrame([("t", 12)], "tx string, slots int")
+    assert cv.integrity(slots, "tx", sizes).first()["tin"] == pytest.approx(65.38, abs=0.01)
+
+
 @pytest.mark.parametrize(("exons", "n", "size"), [([(100, 110)], 5, 6), ([(100, 105), (200, 205)], 10, 12), ([(100, 103)], 100, 5)])
 def test_integrity_grid(spark, exons, n, size):
     df = spark.createDataFrame([([{"s": s, "e": e} for s, e in exons],)], "x array<struct<s:bigint,e:bigint>>")
