@@ -52,6 +52,11 @@ def logistic_predict(x: float, intercept: float, slope: float) -> float:
     return 1 / (1 + math.exp(-(intercept + slope * math.log10(x))))
 
 
+def logistic_curve(log_x, intercept: float, slope: float):
+    """The same prediction as a column expression of log10(x)."""
+    return 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * log_x)))
+
+
 def percentile_p(values: list[float], percent: float) -> float:
     """The p(n+1)/100 percentile, kept within the values."""
     ordered = sorted(values)

@@ -86,3 +86,14 @@ def best_per_group(df: DataFrame, keys: Sequence[str], by: Sequence[str], value:
 
 def last_by(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(n) for n, c in columns.items()])
+
+
+def percentiles_p(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
+    """keys, p, value: the p(n+1)/100 percentile of each group, between its least and largest values.  A group's ranks
+    come from one window; only the two rows beside each percentile go on."""
+    w = Window.partitionBy(*keys)
+    ranked_ = df.select(*keys, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).alias("rn"), F.count("*").over(w).alias("n"))
+    spread = ranked_.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents])))
+    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("p") * (F.col("n") + 1) / 100))
+    part = F.greatest(F.lit(0.0), 1 - F.abs(F.col("rn") - at))
+    return spread.filter(F.abs(F.col("rn") - at) < 1).groupBy(*keys, "p").agg(F.sum(F.col("x") * part).alias("value"))

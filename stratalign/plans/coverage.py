@@ -67,6 +67,18 @@ def classify_junctions(junctions: DataFrame, starts: DataFrame, ends: DataFrame,
     return known.withColumn("class", F.when(n == 2, "annotated").when(n == 1, "partial_novel").otherwise("complete_novel")).drop("__ks", "__ke")
 
 
+def mark_known(events: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds known: the event's keys are among those of the annotation."""
+    listed = known.select(*keys).distinct().withColumn("known", F.lit(True))
+    return events.join(listed, list(keys), "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def distinct_starts(starts: DataFrame, spans: DataFrame, keys: Sequence[str], tx: str) -> DataFrame:
+    """tx -> how many distinct positions p of reads' starts lie within the transcript."""
+    met = stab_join(starts.select(*keys, "p").distinct(), spans, keys)
+    return met.groupBy(F.col(f"r_{tx}").alias(tx)).agg(F.count_distinct("p").alias("starts"))
+
+
 def introns(exons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gaps between consecutive exons of a transcript."""
     before = F.lag("e").over(Window.partitionBy(*keys).orderBy("s", "e"))

@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalign.functions import flags as fl
+from stratalign.functions import cigar as cg, flags as fl, sequences
+from stratalign.functions.numeric import logistic_curve
 from stratalign.operators import intervals as iv, sequences as sq
 from stratalign.plans import complexity, counting as ct, coverage as cv, pairs as pr, statistics as st
+from stratalign.sources import gtf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -305,16 +307,17 @@ def pos_dup_hist(t: Tables) -> DataFrame:
     return sq.count_of_counts(t.reads.filter(fl.duplication_reads(30)), ["tid", "pos", "len", "intron"], "positions")
 
 
-@query("indel_hist", "SELECT kind, len, count(*) AS n FROM (SELECT CASE WHEN ln % 2 = 0 THEN 'I' ELSE 'D' END AS kind, 1 + pk % 7 AS len FROM r WHERE flag & 260 = 0 AND ln IN (4, 5)) GROUP BY ALL")
+@query("indel_hist", "SELECT kind, len, count(*) AS n FROM (SELECT CASE WHEN ln % 2 = 0 THEN 'I' ELSE 'D' END AS kind, 1 + pk % 7 AS len FROM r WHERE flag & 260 = 0) GROUP BY ALL")
 def indel_hist(t: Tables) -> DataFrame:
     ops = F.array(F.struct((1 + F.col("pk") % 7).alias("len"), F.when(F.col("ln") % 2 == 0, "I").otherwise("D").alias("op")))
-    return st.indel_histogram(t.reads.filter(fl.clear(fl.UNMAPPED | fl.SECONDARY) & F.col("ln").isin(4, 5)).withColumn("ops", ops))
+    return st.indel_histogram(t.reads.filter(fl.clear(fl.UNMAPPED | fl.SECONDARY)).withColumn("ops", ops))
 
 
-@query("insert_size_hist", """, p AS (SELECT qname, min(pos) AS a, max(pos + len) AS z, min(CASE WHEN flag & 16 = 0 THEN pos END) AS f, min(CASE WHEN flag & 16 <> 0 THEN pos END) AS v FROM r WHERE flag & 2308 = 0 AND ln <= 2 GROUP BY qname, tid HAVING count(*) = 2)
+@query("insert_size_hist", """, p AS (SELECT qname, min(pos) AS a, max(pos + len) AS z, min(CASE WHEN flag & 16 = 0 THEN pos END) AS f, min(CASE WHEN flag & 16 <> 0 THEN pos END) AS v FROM r WHERE flag & 2308 = 0 GROUP BY qname, (ln + 1) // 2, tid HAVING count(*) = 2)
   SELECT least(z - a, 8000) AS size, count(*) AS total, count(*) FILTER (WHERE f < v) AS inward, count(*) FILTER (WHERE f > v) AS outward, count(*) FILTER (WHERE f IS NULL OR v IS NULL OR f = v) AS other FROM p GROUP BY 1""")
 def insert_size_hist(t: Tables) -> DataFrame:
-    return pr.insert_sizes(t.reads.filter(fl.primary() & fl.clear(fl.UNMAPPED) & (F.col("ln") <= 2)), ["qname", "tid"])
+    kept = t.reads.filter(fl.primary() & fl.clear(fl.UNMAPPED)).withColumn("pair", F.expr("(ln + 1) div 2"))
+    return pr.insert_sizes(kept, ["qname", "pair", "tid"])
 
 
 @query("insert_size_bulk", """, h AS (SELECT len, count(*) AS n FROM r WHERE flag & 2304 = 0 GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY len) / sum(n) OVER ()::double AS upto FROM h), l AS (SELECT *, lag(upto, 1, 0.0) OVER (ORDER BY len) AS prev FROM c)
@@ -484,18 +487,18 @@ def pair_gene_vote(t: Tables) -> DataFrame:
     return voted.select("qname", "pair", F.size("genes").cast("long").alias("genes"), F.array_min("genes").alias("least"))
 
 
-@query("fragment_freq_of_freq", """, f AS (SELECT qname, tid, min(pos) AS a, max(pos + len + intron) AS z FROM r WHERE flag & 2304 = 0 AND ln <= 2 GROUP BY qname, tid), c AS (SELECT tid, a // 50 AS a, z // 50 AS z, count(*) AS j FROM f GROUP BY ALL) SELECT j, count(*) AS n_j FROM c GROUP BY 1""")
+@query("fragment_freq_of_freq", """, f AS (SELECT qname, tid, min(pos) AS a, max(pos + len + intron) AS z FROM r WHERE flag & 2304 = 0 GROUP BY qname, (ln + 1) // 2, tid), c AS (SELECT tid, a // 50 AS a, z // 50 AS z, count(*) AS j FROM f GROUP BY ALL) SELECT j, count(*) AS n_j FROM c GROUP BY 1""")
 def fragment_freq_of_freq(t: Tables) -> DataFrame:
     return complexity.frequency_of_frequencies(_fragments(t), ["tid", "a", "z"])
 
 
 def _fragments(t: Tables) -> DataFrame:
-    kept = t.reads.filter(fl.complexity_reads() & (F.col("ln") <= 2))
-    spans = kept.groupBy("qname", "tid").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("len") + F.col("intron")).alias("z"))
+    kept = t.reads.filter(fl.complexity_reads()).withColumn("pair", F.expr("(ln + 1) div 2"))
+    spans = kept.groupBy("qname", "pair", "tid").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("len") + F.col("intron")).alias("z"))
     return spans.select("tid", F.expr("a div 50").alias("a"), F.expr("z div 50").alias("z"))
 
 
-@query("good_toulmin_2x", """, f AS (SELECT qname, tid, min(pos) AS a, max(pos + len + intron) AS z FROM r WHERE flag & 2304 = 0 AND ln <= 2 GROUP BY qname, tid), c AS (SELECT count(*) AS j FROM f GROUP BY tid, a // 50, z // 50), h AS (SELECT j, count(*) AS n FROM c GROUP BY 1)
+@query("good_toulmin_2x", """, f AS (SELECT qname, tid, min(pos) AS a, max(pos + len + intron) AS z FROM r WHERE flag & 2304 = 0 GROUP BY qname, (ln + 1) // 2, tid), c AS (SELECT count(*) AS j FROM f GROUP BY tid, a // 50, z // 50), h AS (SELECT j, count(*) AS n FROM c GROUP BY 1)
   SELECT sum(n)::bigint AS "distinct", sum(j * n)::bigint AS total, sum(CASE WHEN j % 2 = 1 THEN n ELSE -n END)::bigint AS gain FROM h""")
 def good_toulmin_2x(t: Tables) -> DataFrame:
     return complexity.good_toulmin(fragment_freq_of_freq(t))
@@ -507,21 +510,22 @@ def lc_extrap(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([tuple(map(float, x)) for x in curve], "total double, expected double, lower double, upper double")
 
 
-_INNER = """, pq AS (SELECT qname, max(CASE WHEN ln = 1 THEN rid END) AS id1, max(CASE WHEN ln = 2 THEN rid END) AS id2 FROM r WHERE flag & 2308 = 0 AND ln <= 2 GROUP BY qname HAVING count(*) = 2 AND count(DISTINCT ln) = 2),
-  d0 AS (SELECT pq.qname, x.tid AS t1, y.tid AS t2, least(x.pos + x.len + x.intron, y.pos + y.len + y.intron) AS a, greatest(x.pos, y.pos) AS z FROM pq JOIN r x ON x.rid = pq.id1 JOIN r y ON y.rid = pq.id2),
+_INNER = """, pq AS (SELECT qname * 4 + (ln + 1) // 2 - 1 AS mates, min(rid) AS id1, max(rid) AS id2 FROM r WHERE flag & 2308 = 0 GROUP BY 1 HAVING count(*) = 2 AND count(DISTINCT ln) = 2),
+  d0 AS (SELECT pq.mates, x.tid AS t1, y.tid AS t2, least(x.pos + x.len + x.intron, y.pos + y.len + y.intron) AS a, greatest(x.pos, y.pos) AS z FROM pq JOIN r x ON x.rid = pq.id1 JOIN r y ON y.rid = pq.id2),
   d1 AS (SELECT *, CASE WHEN t1 = t2 THEN z - a END AS dist FROM d0)
 """
 
 
 def _inner(t: Tables) -> DataFrame:
-    kept = t.reads.filter(fl.primary() & fl.clear(fl.UNMAPPED) & (F.col("ln") <= 2)).withColumn("end", F.col("pos") + F.col("len") + F.col("intron"))
-    return pr.inner_distances(kept, "qname")
+    """Lines 1 and 2, 3 and 4, 5 and 6 of an order are mates."""
+    kept = t.reads.filter(fl.primary() & fl.clear(fl.UNMAPPED)).withColumn("end", F.col("pos") + F.col("len") + F.col("intron"))
+    return pr.inner_distances(kept.withColumn("mates", F.expr("qname * 4 + (ln + 1) div 2 - 1")), "mates")
 
 
-@query("inner_distance", _INNER + _ISLANDS + """, q AS (SELECT qname, t1 AS tid, a AS s, z AS e FROM d1 WHERE dist > 0 AND dist < 2000), x AS (SELECT q.qname, sum(least(q.e, isl.e) - greatest(q.s, isl.s))::bigint AS bases FROM q JOIN isl ON q.tid = isl.tid AND q.s < isl.e AND isl.s < q.e GROUP BY 1) SELECT q.qname, q.e - q.s AS dist, coalesce(bases, 0) AS exonic FROM q LEFT JOIN x ON q.qname = x.qname""")
+@query("inner_distance", _INNER + _ISLANDS + """, q AS (SELECT mates, t1 AS tid, a AS s, z AS e FROM d1 WHERE dist > 0), x AS (SELECT q.mates, sum(least(q.e, isl.e) - greatest(q.s, isl.s))::bigint AS bases FROM q JOIN isl ON q.tid = isl.tid AND q.s < isl.e AND isl.s < q.e GROUP BY 1) SELECT q.mates, q.e - q.s AS dist, coalesce(bases, 0) AS exonic FROM q LEFT JOIN x ON q.mates = x.mates""")
 def inner_distance(t: Tables) -> DataFrame:
-    gaps = _inner(t).filter("dist > 0 and dist < 2000").select("qname", "tid", F.col("a").alias("s"), F.col("z").alias("e"), "dist")
-    return gaps.join(iv.bases_within(gaps, _islands(t), ["tid"], "qname"), "qname", "left").select("qname", "dist", F.coalesce("bases", F.lit(0)).alias("exonic"))
+    gaps = _inner(t).filter("dist > 0").select("mates", "tid", F.col("a").alias("s"), F.col("z").alias("e"), "dist")
+    return gaps.join(iv.bases_within(gaps, _islands(t), ["tid"], "mates"), "mates", "left").select("mates", "dist", F.coalesce("bases", F.lit(0)).alias("exonic"))
 
 
 @query("inner_distance_class", _INNER + "SELECT CASE WHEN dist IS NULL THEN 'sameChrom=No' WHEN dist > 0 THEN 'apart' ELSE 'readPairOverlap' END AS class, count(*) AS pairs FROM d1 GROUP BY 1")
@@ -529,7 +533,7 @@ def inner_distance_class(t: Tables) -> DataFrame:
     return _inner(t).groupBy(F.when(F.col("dist").isNull(), "sameChrom=No").when(F.col("dist") > 0, "apart").otherwise("readPairOverlap").alias("class")).agg(F.count("*").alias("pairs"))
 
 
-@query("inner_distance_hist", _INNER + """, bins AS (SELECT unnest(range(-20000, 20000, 2500)) AS lo) SELECT lo, count(d1.qname) AS pairs FROM bins LEFT JOIN d1 ON dist > lo AND dist <= lo + 2500 GROUP BY 1""")
+@query("inner_distance_hist", _INNER + """, bins AS (SELECT unnest(range(-20000, 20000, 2500)) AS lo) SELECT lo, count(d1.mates) AS pairs FROM bins LEFT JOIN d1 ON dist > lo AND dist <= lo + 2500 GROUP BY 1""")
 def inner_distance_hist(t: Tables) -> DataFrame:
     return pr.distance_histogram(_inner(t), -20000, 20000, 2500)
 
@@ -540,10 +544,10 @@ def inner_distance_mean(t: Tables) -> DataFrame:
     return _inner(t).agg(_r(F.avg(d)).alias("mean"), F.median(d).alias("median"), _r(F.stddev_samp(d)).alias("sd"))
 
 
-@query("pair_cap", _INNER + "SELECT qname, dist FROM d1 ORDER BY qname LIMIT 100")
+@query("pair_cap", _INNER + "SELECT mates, dist FROM d1 ORDER BY mates LIMIT 100")
 def pair_cap(t: Tables) -> DataFrame:
     """The sampling operator: the first pairs in scan order."""
-    return _inner(t).select("qname", "dist").orderBy("qname").limit(100)
+    return _inner(t).select("mates", "dist").orderBy("mates").limit(100)
 
 
 # --- coverage by transcript ----------------------------------------------------------------------------------
@@ -647,3 +651,141 @@ def thick_range(t: Tables) -> DataFrame:
 @query("chrom_mapping", "SELECT coalesce(m.name, 'chr' || r.tid) AS chrom, count(*) AS reads FROM r LEFT JOIN (VALUES (0, 'one'), (1, 'two')) m(tid, name) ON r.tid = m.tid GROUP BY 1")
 def chrom_mapping(t: Tables) -> DataFrame:
     return st.map_names(t.reads, {"0": "one", "1": "two"}, "chr", "tid").groupBy("chrom").agg(F.count("*").alias("reads"))
+
+
+# --- filters, CIGAR walks and report parts -------------------------------------------------------------------
+
+# Mate flags for the predicates that need them: the mate of a read on reference 3 is not mapped.
+_FLAGGED = """, fr AS (SELECT *, flag | (CASE WHEN tid = 3 THEN 8 ELSE 0 END) AS fl, CASE WHEN pk % 2 = 0 THEN '+' WHEN pk % 3 = 0 THEN '-' ELSE '.' END AS gs FROM r)
+"""
+
+
+def _flagged(t: Tables) -> DataFrame:
+    strand = F.when(F.col("pk") % 2 == 0, "+").when(F.col("pk") % 3 == 0, "-").otherwise(".")
+    return t.reads.withColumns({"flag": F.col("flag").bitwiseOR(F.when(F.col("tid") == 3, fl.MATE_UNMAPPED).otherwise(0)), "gs": strand})
+
+
+@query("read_filters", _FLAGGED + """SELECT count(*) FILTER (WHERE fl & 2564 = 0) AS counting, count(*) FILTER (WHERE fl & 2564 = 0 AND fl & 1 = 1) AS counting_paired, count(*) FILTER (WHERE fl & 2304 = 0) AS primary_reads,
+  count(*) FILTER (WHERE fl & 1796 = 0) AS usable, count(*) FILTER (WHERE fl & 1796 = 0 AND mapq >= 30) AS usable_unique, count(*) FILTER (WHERE fl & 516 = 0 AND mapq >= 30) AS duplication,
+  count(*) FILTER (WHERE fl & 1804 = 0 AND fl & 1 = 1 AND mapq >= 30) AS inner_distance, count(*) FILTER (WHERE fl & 772 = 0) AS integrity, count(*) FILTER (WHERE fl & 2304 = 0 AND tid >= 0) AS complexity,
+  count(*) FILTER (WHERE fl & 2820 = 0 AND nh <= 1) AS gene_body, count(*) FILTER (WHERE nh > 1) AS multi FROM fr""")
+def read_filters(t: Tables) -> DataFrame:
+    each = {"counting": fl.counting(False), "counting_paired": fl.counting(True), "primary_reads": fl.primary(), "usable": fl.usable(), "usable_unique": fl.usable(30), "duplication": fl.duplication_reads(30), "inner_distance": fl.inner_distance_reads(30), "integrity": fl.integrity_reads(), "complexity": fl.complexity_reads(), "gene_body": fl.gene_body_reads(), "multi": fl.is_multi()}
+    return _flagged(t).agg(*[F.count_if(c).alias(n) for n, c in each.items()])
+
+
+@query("strand_rules", _FLAGGED + """, w AS (SELECT gs, (fl & 16 = 0) = (fl & 64 <> 0) AS fragment_plus, (fl & 16 = 0) = (fl & 1 = 0 OR fl & 64 <> 0) AS body_plus, (fl & 16 = 0) AS read_plus FROM fr)
+  SELECT gs, count(*) FILTER (WHERE gs = '.' OR (gs = '+') = fragment_plus) AS forward_paired, count(*) FILTER (WHERE gs = '.' OR (gs = '+') <> fragment_plus) AS reverse_paired, count(*) FILTER (WHERE gs = '.' OR (gs = '+') = read_plus) AS forward_single,
+  count(*) FILTER (WHERE gs <> '.' AND (gs = '+') = body_plus) AS body_forward, count(*) FILTER (WHERE gs <> '.' AND (gs = '+') <> body_plus) AS body_reverse FROM w GROUP BY gs""")
+def strand_rules(t: Tables) -> DataFrame:
+    gs = F.col("gs")
+    each = {"forward_paired": fl.strand_matches("forward", gs, True), "reverse_paired": fl.strand_matches("reverse", gs, True), "forward_single": fl.strand_matches("forward", gs, False), "body_forward": fl.gene_body_strand_matches("forward", gs), "body_reverse": fl.gene_body_strand_matches("reverse", gs)}
+    return _flagged(t).groupBy("gs").agg(*[F.count_if(c).alias(n) for n, c in each.items()])
+
+
+# A read of every line: c clipped bases, a matched, then by the line an insertion, a deletion or an intron of k, then b matched.
+_WALKED = """, cw AS (SELECT rid, tid, pos, flag, ln, 1 + sk % 5 AS c, 10 + pk % 20 AS a, 10 + sk % 30 AS b, 1 + pk % 60 AS k, CASE ln % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'I' ELSE 'D' END AS op FROM r),
+  cg AS (SELECT *, c || 'S' || a || 'M' || k || op || b || 'M' AS cigar, CASE WHEN op = 'I' THEN 0 ELSE k END AS gap FROM cw)
+"""
+
+
+def _walked(t: Tables) -> DataFrame:
+    r = t.reads.withColumns({"c": 1 + F.col("sk") % 5, "a": 10 + F.col("pk") % 20, "b": 10 + F.col("sk") % 30, "k": 1 + F.col("pk") % 60, "op": F.when(F.col("ln") % 3 == 0, "N").when(F.col("ln") % 3 == 1, "I").otherwise("D")})
+    r = r.withColumn("cigar", F.concat(F.col("c"), F.lit("S"), F.col("a"), F.lit("M"), F.col("k"), F.col("op"), F.col("b"), F.lit("M")))
+    return r.withColumn("ops", cg.parse(F.col("cigar")))
+
+
+@query("cigar_lengths", _WALKED + """SELECT op, sum(a + b + CASE WHEN op = 'I' THEN k ELSE 0 END)::bigint AS aligned, sum(CASE WHEN op = 'N' THEN k ELSE 0 END)::bigint AS intron, sum(pos + a + gap + b)::bigint AS ends, count(*) FILTER (WHERE op = 'N') AS spliced FROM cg GROUP BY op""")
+def cigar_lengths(t: Tables) -> DataFrame:
+    ops = F.col("ops")
+    return _walked(t).groupBy("op").agg(F.sum(cg.query_aligned_length(ops)).alias("aligned"), F.sum(cg.intron_bases(ops)).alias("intron"), F.sum(cg.reference_end(ops, F.col("pos"))).alias("ends"), F.count_if(cg.is_spliced(ops)).alias("spliced"))
+
+
+@query("cigar_blocks", _WALKED + """, bl AS (SELECT rid, pos AS s, pos + a AS e FROM cg UNION ALL SELECT rid, pos + a + gap, pos + a + gap + b FROM cg) SELECT rid, s, e FROM bl""")
+def cigar_blocks(t: Tables) -> DataFrame:
+    return _walked(t).select("rid", F.explode(cg.blocks(F.col("ops"), F.col("pos"))).alias("x")).select("rid", "x.s", "x.e")
+
+
+@query("cigar_introns", _WALKED + "SELECT tid, pos + a AS s, pos + a + k AS e, count(*) AS reads FROM cg WHERE op = 'N' GROUP BY ALL")
+def cigar_introns(t: Tables) -> DataFrame:
+    found = _walked(t).select("tid", F.explode(cg.blocks(F.col("ops"), F.col("pos"), cg.INTRONS)).alias("x"))
+    return found.groupBy("tid", F.col("x.s").alias("s"), F.col("x.e").alias("e")).agg(F.count("*").alias("reads"))
+
+
+@query("junction_sites", _WALKED + "SELECT tid, c + a AS seq_pos, pos + a AS s, pos + a + k AS e, count(*) AS reads FROM cg WHERE op = 'N' GROUP BY ALL")
+def junction_sites(t: Tables) -> DataFrame:
+    found = _walked(t).select("tid", F.explode(cg.junction_sites(F.col("ops"), F.col("pos"))).alias("x"))
+    return found.groupBy("tid", F.col("x.seq_pos").alias("seq_pos"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).agg(F.count("*").alias("reads"))
+
+
+@query("indel_cycles", _WALKED + """, x AS (SELECT op, k, c + a AS cy, c + a + b + CASE WHEN op = 'I' THEN k ELSE 0 END AS n, flag & 16 <> 0 AS rev, flag & 64 <> 0 AS first FROM cg WHERE op <> 'N'),
+  y AS (SELECT op, first, CASE WHEN rev THEN n - cy - (CASE WHEN op = 'I' THEN k ELSE 1 END) + 1 WHEN op = 'I' THEN cy + 1 ELSE cy END AS cycle FROM x)
+  SELECT cycle, count(*) FILTER (WHERE op = 'I' AND first) AS insertions_first, count(*) FILTER (WHERE op = 'I' AND NOT first) AS insertions_last, count(*) FILTER (WHERE op = 'D' AND first) AS deletions_first, count(*) FILTER (WHERE op = 'D' AND NOT first) AS deletions_last FROM y GROUP BY cycle""")
+def indel_cycles(t: Tables) -> DataFrame:
+    read_bases = F.col("c") + F.col("a") + F.col("b") + F.when(F.col("op") == "I", F.col("k")).otherwise(0)
+    return st.indel_cycles(_walked(t).withColumn("len", read_bases))
+
+
+@query("template_sizes", """, w AS (SELECT flag, pk, sk, ln, CASE WHEN sk % 7 = 0 THEN 0 ELSE (sk * 37 % 9000) * (CASE WHEN ln % 2 = 0 THEN 1 ELSE -1 END) END AS tlen, tid, sk % 5 AS mtid, pk * 40 AS p1, pk * 40 + sk % 3 - 1 AS p2, ln % 4 >= 2 AS mrev FROM r WHERE flag & 2308 = 0),
+  o AS (SELECT least(abs(tlen), 8000) AS size, CASE WHEN (flag & 16 <> 0) = mrev THEN 'other' WHEN p1 = p2 THEN 'inward' WHEN sign(p2 - p1) * (CASE WHEN flag & 64 <> 0 THEN 1 ELSE -1 END) = (CASE WHEN flag & 64 <> 0 THEN 1 ELSE -1 END) * (CASE WHEN flag & 16 = 0 THEN 1 ELSE -1 END) THEN 'inward' ELSE 'outward' END AS orientation FROM w WHERE tlen <> 0 OR tid = mtid)
+  SELECT size, count(*) AS total, count(*) FILTER (WHERE orientation = 'inward') AS inward, count(*) FILTER (WHERE orientation = 'outward') AS outward, count(*) FILTER (WHERE orientation = 'other') AS other FROM o GROUP BY size""")
+def template_sizes(t: Tables) -> DataFrame:
+    signed = F.when(F.col("sk") % 7 == 0, 0).otherwise((F.col("sk") * 37 % 9000) * F.when(F.col("ln") % 2 == 0, 1).otherwise(-1))
+    mates = t.reads.withColumns({"tlen": signed, "mtid": (F.col("sk") % 5).cast("int"), "pos": F.col("pk") * 40, "mpos": F.col("pk") * 40 + F.col("sk") % 3 - 1, "flag": F.col("flag").bitwiseOR(F.when(F.col("ln") % 4 >= 2, fl.MATE_REVERSE).otherwise(0))})
+    return st.template_sizes(mates)
+
+
+@query("base_totals", "SELECT base, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS base FROM documents WHERE text IS NOT NULL) WHERE base IN ('a', 'c', 'g', 't') GROUP BY base", shared=False)
+def base_totals(t: Tables) -> DataFrame:
+    composition = st.base_composition(t.read("documents").filter("text is not null").select(F.lower("text").alias("seq")))
+    return composition.filter("base <> 'n'").groupBy("base").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("quality_mean", "SELECT count(*) AS bases, round(avg(unicode(q) - 33), 6) AS mean FROM (SELECT unnest(string_split(text, '')) AS q FROM documents WHERE text IS NOT NULL) WHERE unicode(q) BETWEEN 33 AND 126", shared=False)
+def quality_mean(t: Tables) -> DataFrame:
+    by_cycle = st.quality_by_cycle(t.read("documents").filter("text is not null").select(F.col("text").alias("qual")), most=94).filter("quality < 94")
+    return by_cycle.agg(F.sum("n").cast("long").alias("bases"), _r(F.sum(F.col("quality") * F.col("n")) / F.sum("n")).alias("mean"))
+
+
+@query("start_in_transcript", "SELECT gene_id, count(DISTINCT pos) AS starts FROM g JOIN r ON r.tid = g.tid AND g.s <= r.pos AND r.pos < g.e WHERE r.flag & 772 = 0 GROUP BY gene_id")
+def start_in_transcript(t: Tables) -> DataFrame:
+    return cv.distinct_starts(t.reads.filter(fl.integrity_reads()).select("tid", F.col("pos").alias("p")), t.genes.select("gene_id", "tid", "s", "e"), ["tid"], "gene_id")
+
+
+@query("known_junction_events", _JUNCTIONS + """, ki AS (SELECT DISTINCT tid, s + 15 AS s, s + 15 + 60 + gene_id % 300 AS e FROM g) SELECT (ki.s IS NOT NULL) AS known, count(*) AS events FROM j LEFT JOIN ki ON j.tid = ki.tid AND j.s = ki.s AND j.e = ki.e GROUP BY 1""")
+def known_junction_events(t: Tables) -> DataFrame:
+    known = t.genes.select("tid", (F.col("s") + 15).alias("s"), (F.col("s") + 75 + F.col("gene_id") % 300).alias("e"))
+    return cv.mark_known(_junctions(t), known, ["tid", "s", "e"]).groupBy("known").agg(F.count("*").alias("events"))
+
+
+@query("depth_percentiles", """, gd AS (SELECT biotype, list_sort(list(e - s)) AS d, count(*) AS n FROM g GROUP BY biotype), x AS (SELECT biotype, d, n, p, p * (n + 1) / 100.0::double AS cy FROM gd, (SELECT unnest([10, 25, 50, 75, 90]) AS p))
+  SELECT biotype, p::int AS p, round(CASE WHEN cy < 1 THEN d[1] WHEN cy >= n THEN d[n] ELSE d[floor(cy)::int] + (cy - floor(cy)) * (d[floor(cy)::int + 1] - d[floor(cy)::int]) END, 6) AS value FROM x""")
+def depth_percentiles(t: Tables) -> DataFrame:
+    return sq.percentiles_p(t.genes.select("biotype", (F.col("e") - F.col("s")).cast("double").alias("d")), ["biotype"], "d", [10, 25, 50, 75, 90]).withColumn("value", _r("value"))
+
+
+@query("gtf_attributes", """SELECT p_partkey AS gene_id, nullif(p_brand, '') AS brand, cast(p_size AS varchar) AS size, NULL::varchar AS absent FROM part""", shared=False)
+def gtf_attributes(t: Tables) -> DataFrame:
+    line = F.format_string('gene_id "G%s"; brand "%s"; p_size %s; absent "";', F.col("p_partkey"), F.col("p_brand"), F.col("p_size"))
+    found = t.read("part").select("p_partkey", line.alias("attributes"))
+    return found.select(F.col("p_partkey").alias("gene_id"), gtf.attribute("brand").alias("brand"), gtf.attribute("p_size").alias("size"), gtf.attribute("absent").alias("absent"))
+
+
+@query("sequence_functions", """SELECT p_partkey AS id, reverse(translate(upper(p_name), 'ACGTN', 'TGCAN')) AS complement, list_reduce(list_prepend(0::bigint, [unicode(c)::bigint FOR c IN string_split(p_name, '')]), lambda x, y: (x * 31 + y) % 4294967296) AS hash FROM part""", shared=False)
+def sequence_functions(t: Tables) -> DataFrame:
+    return t.read("part").select(F.col("p_partkey").alias("id"), sequences.reverse_complement(F.upper("p_name")).alias("complement"), sequences.java_hash(F.col("p_name")).alias("hash"))
+
+
+@query("scientific", "SELECT p_partkey AS id, printf('%.6e', p_retailprice / 7) AS e, printf('%.1f', p_retailprice / 7) AS one FROM part", shared=False)
+def scientific(t: Tables) -> DataFrame:
+    x = F.col("p_retailprice") / 7
+    return t.read("part").select(F.col("p_partkey").alias("id"), F.format_string("%.6e", x).alias("e"), F.format_string("%.1f", x).alias("one"))
+
+
+@query("dup_curve", _MATRIX + """, lo AS (SELECT log10(min(all_unique * (1000.0::double / length))) AS a, log10(max(all_unique * (1000.0::double / length))) AS z FROM m WHERE all_unique > 0)
+  SELECT k::int AS k, round(100 / (1 + exp(-(-2.5 + 0.75 * (a + (z - a) * k / 100.0::double)))), 6) AS percent FROM lo, (SELECT unnest(range(0, 101)) AS k)""")
+def dup_curve(t: Tables) -> DataFrame:
+    """The logistic curve at log-spaced expressions, for given coefficients."""
+    ends = _matrix(t).filter("rpk > 0").agg(F.log10(F.min("rpk")).alias("a"), F.log10(F.max("rpk")).alias("z"))
+    x = F.col("a") + (F.col("z") - F.col("a")) * F.col("k") / 100
+    return ends.select("a", "z", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")).select("k", _r(logistic_curve(x, -2.5, 0.75) * 100).alias("percent"))

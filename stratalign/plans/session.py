@@ -330,8 +330,7 @@ class QcSession:
         p = self.params
         percents = sorted({*range(p.saturation_step, 101, p.saturation_step), 100})
         order = (F.xxhash64("rid", "s", F.lit(p.saturation_seed)), F.col("rid"), F.col("s"))
-        known = self.known_introns.select("chrom", "s", "e").distinct().withColumn("known", F.lit(True))
-        events = self.junction_events.join(known, ["chrom", "s", "e"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        events = cv.mark_known(self.junction_events, self.known_introns, ["chrom", "s", "e"])
         numbered = sq.ranked(events, order)
         first = numbered.groupBy("chrom", "s", "e", "known").agg(F.min("rn").alias("first"), F.first("total").alias("total"))
         grid = self.spark.createDataFrame([(x,) for x in percents], "pct int")
@@ -366,7 +365,7 @@ class QcSession:
         kept = self.reads.filter(fl.integrity_reads())
         starts = kept.select(F.col("chrom_u").alias("chrom"), F.col("pos").alias("p"))
         spans = self.transcripts.select("tx_id", "chrom", "s", "e")
-        enough = iv.stab_join(starts.distinct(), spans, ["chrom"]).groupBy(F.col("r_tx_id").alias("tx_id")).agg(F.count_distinct("p").alias("starts")).filter(F.col("starts") > p.tin_min_coverage)
+        enough = cv.distinct_starts(starts, spans, ["chrom"], "tx_id").filter(F.col("starts") > p.tin_min_coverage)
         blocks = self.blocks(kept.filter(fl.clear(fl.DUPLICATE)), upper=True).select("chrom", "s", "e")
         slots = self.tin_slots.join(enough.select("tx_id"), "tx_id", "left_semi")
         scores = cv.integrity(cv.slot_depth(slots, blocks, ["chrom"], "tx_id"), "tx_id", self.tin_slots.select("tx_id", "slots").distinct())
