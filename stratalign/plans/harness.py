@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalign.functions import cigar as cg, flags as fl, sequences
 from stratalign.functions.numeric import logistic_curve
 from stratalign.operators import intervals as iv, sequences as sq
-from stratalign.plans import complexity, counting as ct, coverage as cv, pairs as pr, statistics as st
+from stratalign.plans import complexity, counting as ct, coverage as cv, gene_body as gb, pairs as pr, statistics as st
 from stratalign.sources import gtf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -789,3 +789,89 @@ def dup_curve(t: Tables) -> DataFrame:
     ends = _matrix(t).filter("rpk > 0").agg(F.log10(F.min("rpk")).alias("a"), F.log10(F.max("rpk")).alias("z"))
     x = F.col("a") + (F.col("z") - F.col("a")) * F.col("k") / 100
     return ends.select("a", "z", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")).select("k", _r(logistic_curve(x, -2.5, 0.75) * 100).alias("percent"))
+
+
+# --- fragments over genes ------------------------------------------------------------------------------------
+
+# Reads of two in three suppliers are proper pairs with the other line of their order's pair.
+_FRAGMENTS = """, gbr AS (SELECT *, sk % 3 <> 0 AS proper FROM r WHERE flag & 2820 = 0 AND nh <= 1),
+  pb AS (SELECT CASE WHEN x.proper THEN 'p' || (x.qname * 4 + (x.ln + 1) // 2) ELSE 'r' || x.rid END AS frag, x.proper, x.rid, x.flag, b.tid, b.s, b.e FROM gbr x JOIN b ON x.rid = b.rid),
+  wf AS (SELECT frag, count(*) AS blocks, count(DISTINCT rid) AS reads FROM pb GROUP BY frag, proper HAVING NOT proper OR count(DISTINCT rid) = 2),
+  bx AS (SELECT pb.frag, pb.rid, pb.flag, pb.s, g.gene_id, g.strand, g.s <= pb.s AND pb.e <= g.e AS enclosed, (g.strand = '+') = ((pb.flag & 16 = 0) = (pb.flag & 64 <> 0)) AS fits FROM pb JOIN g ON pb.tid = g.tid AND pb.s < g.e AND g.s < pb.e),
+  og AS (SELECT wf.frag, wf.reads, wf.blocks, bx.gene_id, count(*) FILTER (WHERE enclosed) AS inside, count(*) FILTER (WHERE enclosed AND fits) AS inside_fitting, coalesce(bool_or(NOT enclosed), false) AS crossed FROM wf LEFT JOIN bx ON wf.frag = bx.frag GROUP BY ALL),
+  oi AS (SELECT DISTINCT pb.frag FROM pb JOIN g ON pb.tid = g.tid AND g.s + 10 <= pb.e AND g.s + 40 >= pb.s),
+  oc AS (SELECT og.frag, og.reads, count(*) FILTER (WHERE inside = blocks) AS genes, count(*) FILTER (WHERE inside_fitting = blocks) AS genes_fitting, bool_or(crossed) AS crossed FROM og GROUP BY ALL),
+  od AS (SELECT oc.*, oi.frag IS NOT NULL AS intron FROM oc LEFT JOIN oi ON oc.frag = oi.frag)
+"""
+
+
+def _fragment_blocks(t: Tables) -> DataFrame:
+    kept = t.reads.filter(fl.gene_body_reads()).select("rid", "qname", "ln", (F.col("sk") % 3 != 0).alias("proper"))
+    frag = F.when(F.col("proper"), F.concat(F.lit("p"), F.expr("qname * 4 + (ln + 1) div 2"))).otherwise(F.concat(F.lit("r"), F.col("rid")))
+    return t.blocks.drop("qname", "ln").join(kept.withColumn("frag", frag), "rid")
+
+
+def _introns(t: Tables) -> DataFrame:
+    return t.genes.select("chrom", (F.col("s") + 10).alias("s"), (F.col("s") + 40).alias("e"))
+
+
+def _origin_sql(genes: str) -> str:
+    return f"""SELECT CASE WHEN {genes} = 1 THEN 'exonic' WHEN {genes} > 1 THEN 'ambiguous' WHEN intron THEN 'intronic' ELSE 'intergenic' END AS origin, sum(reads)::bigint AS reads, count(*) FILTER (WHERE crossed) AS crossed FROM od GROUP BY 1"""
+
+
+def _origins(t: Tables, protocol: str) -> DataFrame:
+    found = gb.assign(_fragment_blocks(t), t.genes, _introns(t), protocol)
+    return found.groupBy("origin").agg(F.sum("reads").alias("reads"), F.count_if("crossed").alias("crossed"))
+
+
+@query("fragment_origin", _FRAGMENTS + _origin_sql("genes"))
+def fragment_origin(t: Tables) -> DataFrame:
+    return _origins(t, "unstranded")
+
+
+@query("fragment_origin_stranded", _FRAGMENTS + _origin_sql("genes_fitting"))
+def fragment_origin_stranded(t: Tables) -> DataFrame:
+    return _origins(t, "forward")
+
+
+@query("fragment_origin_totals", _FRAGMENTS + """SELECT coalesce(sum(reads) FILTER (WHERE genes = 1), 0)::bigint AS exonic, coalesce(sum(reads) FILTER (WHERE genes > 1), 0)::bigint AS ambiguous, coalesce(sum(reads) FILTER (WHERE genes = 0 AND intron), 0)::bigint AS intronic,
+  coalesce(sum(reads) FILTER (WHERE genes = 0 AND NOT intron), 0)::bigint AS intergenic, coalesce(sum(reads) FILTER (WHERE genes = 0), 0)::bigint AS no_feature, count(*) FILTER (WHERE crossed) AS overlapping_exon FROM od""")
+def fragment_origin_totals(t: Tables) -> DataFrame:
+    return gb.origins(gb.assign(_fragment_blocks(t), t.genes, _introns(t)))
+
+
+@query("fragment_strand_votes", _FRAGMENTS + """SELECT count(*) FILTER (WHERE v) AS forward, count(*) FILTER (WHERE NOT v) AS reverse FROM (SELECT ((flag & 16 <> 0) = (strand = '-')) = (flag & 64 <> 0) AS v FROM bx JOIN wf ON bx.frag = wf.frag WHERE enclosed)""")
+def fragment_strand_votes(t: Tables) -> DataFrame:
+    return gb.strand_votes(_fragment_blocks(t), t.genes)
+
+
+@query("whole_fragments", _FRAGMENTS + "SELECT reads, count(*) AS fragments, sum(blocks)::bigint AS blocks FROM wf GROUP BY reads")
+def whole_fragments(t: Tables) -> DataFrame:
+    return gb.whole_fragments(_fragment_blocks(t)).groupBy("reads").agg(F.count("*").alias("fragments"), F.sum("blocks").alias("blocks"))
+
+
+@query("gene_body_counters", """SELECT count(*) FILTER (WHERE flag & 4 <> 0) AS not_aligned, count(*) FILTER (WHERE flag & 4 = 0 AND nh > 1) AS non_unique, count(*) FILTER (WHERE flag & 260 = 256) AS secondary, count(*) FILTER (WHERE flag & 260 = 0) AS "primary",
+  count(*) FILTER (WHERE flag & 260 = 0 AND flag & 65 = 65) AS "left", count(*) FILTER (WHERE flag & 260 = 0 AND flag & 129 = 129) AS "right", count(*) FILTER (WHERE flag & 260 = 0 AND flag & 3 = 3) AS proper, count(*) FILTER (WHERE flag & 2820 = 0) AS reads FROM r""")
+def gene_body_counters(t: Tables) -> DataFrame:
+    return gb.alignment_counters(t.reads)
+
+
+_SITES = _WALKED + """, js AS (SELECT tid, pos + 1 + c + a AS first, pos + 1 + c + a + k AS last, substr(repeat('ACGGT', 30), c + a - 1, 2) || '/' || substr(repeat('ACGGT', 30), c + a + 1, 2) AS motif FROM cg WHERE op = 'N'),
+  kp AS (SELECT DISTINCT tid, unnest([s + 25, e + 1]) AS p FROM g)
+"""
+
+
+def _sites(t: Tables) -> DataFrame:
+    return gb.junctions(_walked(t).withColumn("seq", F.repeat(F.lit("ACGGT"), 30)))
+
+
+@query("junction_event_classes", _SITES + """, x AS (SELECT (EXISTS (SELECT 1 FROM kp WHERE kp.tid = js.tid AND abs(kp.p - js.first) <= 1))::int + (EXISTS (SELECT 1 FROM kp WHERE kp.tid = js.tid AND abs(kp.p - js.last) <= 1))::int AS n FROM js)
+  SELECT count(*) AS events, count(*) FILTER (WHERE n = 2) AS known, count(*) FILTER (WHERE n = 1) AS partly, count(*) FILTER (WHERE n = 0) AS novel FROM x""")
+def junction_event_classes(t: Tables) -> DataFrame:
+    known = gb.known_positions(t.genes.select("tid", (F.col("s") + 25).alias("s"), "e"), ["tid"])
+    return gb.junction_events(_sites(t), known, ["tid"])
+
+
+@query("junction_motif_shares", _SITES + "SELECT motif, events, round(events * 100.0::double / (SELECT count(*) FROM js), 6) AS percent FROM (SELECT motif, count(*) AS events FROM js GROUP BY motif) ORDER BY events DESC, motif LIMIT 11")
+def junction_motif_shares(t: Tables) -> DataFrame:
+    return gb.motif_shares(_sites(t)).withColumn("percent", _r("percent"))

@@ -86,6 +86,10 @@ def reports(q: QcSession, name: str) -> dict[str, dict[str, object]]:
     def strands() -> str:
         return text.strandedness(cv.strandedness_verdict(q.strandedness()).na.fill(0.0).first(), q.layout())
 
+    def gene_body() -> str:
+        events = q.junction_event_classes().first()["events"]
+        return text.gene_body_report(q.path, q.gtf_path, p.protocol, p.paired, q.gene_body_counters().first(), q.read_origin().first(), q.strand_votes().first(), q.prime_bias().first(), events, q.junction_motifs().collect())
+
     return {
         "dupradar": {
             f"{name}_dupMatrix.txt": lambda: text.dup_matrix(matrix()),
@@ -131,7 +135,7 @@ def reports(q: QcSession, name: str) -> dict[str, dict[str, object]]:
             f"{name}.inner_distance_mean.txt": lambda: text.inner_distance_mean(distance_bins(), p.inner_step, name),
         },
         "tin": {f"{name}.tin.xls": lambda: text.tin(q.tin().collect()), f"{name}.summary.txt": lambda: text.tin_summary(q.tin_summary().first(), os.path.basename(q.path))},
-        "qualimap": {f"coverage_profile_along_genes_({tier}).txt": (lambda tier=tier: text.coverage_profile(q.coverage_profile(tier).collect())) for tier in ("total", "high", "low")},
+        "qualimap": {"rnaseq_qc_results.txt": gene_body} | {f"coverage_profile_along_genes_({tier}).txt": (lambda tier=tier: text.coverage_profile(q.coverage_profile(tier).collect())) for tier in ("total", "high", "low")},
         "preseq": {f"{name}.lc_extrap.txt": lambda: text.complexity(q.complexity_curve())},
     }
 

@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from stratalign.functions import cigar as cg, flags as fl
 from stratalign.functions.numeric import logistic_fit
 from stratalign.operators import intervals as iv, sequences as sq
-from stratalign.plans import complexity, counting as ct, coverage as cv, pairs as pr, statistics as st
+from stratalign.plans import complexity, counting as ct, coverage as cv, gene_body as gb, pairs as pr, statistics as st
 from stratalign.sources import bam, gtf, sam
 from stratalign.sources.probe import GZIP, first_bytes
 
@@ -375,21 +375,64 @@ class QcSession:
         """Mean, median and population deviation over transcripts that passed."""
         return self.tin().filter("passed").agg(F.avg("tin").alias("mean"), F.median("tin").alias("median"), F.stddev_pop("tin").alias("sd"))
 
+    @cached_property
+    def gene_body_reads(self) -> DataFrame:
+        return gb.fragment_key(self.reads.filter(fl.gene_body_reads()))
+
+    @cached_property
+    def merged_exons(self) -> DataFrame:
+        return iv.merge(self.exons, ["gene_id", "strand", "chrom"]).persist()
+
     @cached_property
     def gene_body_blocks(self) -> DataFrame:
-        return self.blocks(self.reads.filter(fl.gene_body_reads()), cg.GENE_BODY)
+        """Blocks of whole fragments with frag and proper."""
+        blocks = self.gene_body_reads.select("frag", "proper", "rid", "flag", "chrom", F.explode(cg.blocks(F.col("ops"), F.col("pos"), cg.GENE_BODY)).alias("x")).select("*", "x.s", "x.e").drop("x")
+        return blocks.join(gb.whole_fragments(blocks).select("frag"), "frag", "left_semi").persist()
+
+    def gene_body_counters(self) -> DataFrame:
+        return gb.alignment_counters(self.reads)
 
     def read_origin(self) -> DataFrame:
-        return cv.read_origin(self.gene_body_blocks, iv.merge(self.exons, ["chrom"]), ["chrom"])
+        return gb.origins(gb.assign(self.gene_body_blocks, self.merged_exons, self.known_introns_as_named, self.params.protocol))
+
+    def strand_votes(self) -> DataFrame:
+        return gb.strand_votes(self.gene_body_blocks, self.merged_exons)
+
+    @cached_property
+    def known_introns_as_named(self) -> DataFrame:
+        """Introns of all transcripts, under the annotation's own chromosome names."""
+        return cv.introns(self.exons.select("tx_id", "chrom", "s", "e").distinct(), ["tx_id", "chrom"])
+
+    @cached_property
+    def gene_body_junctions(self) -> DataFrame:
+        return gb.junctions(self.gene_body_reads.filter(F.size(cg.blocks(F.col("ops"), F.col("pos"), cg.GENE_BODY)) > 0)).select("chrom", "first", "last", "motif").persist()
+
+    def junction_event_classes(self) -> DataFrame:
+        return gb.junction_events(self.gene_body_junctions, gb.known_positions(self.known_introns_as_named, ["chrom"]), ["chrom"])
+
+    def junction_motifs(self) -> DataFrame:
+        return gb.motif_shares(self.gene_body_junctions)
+
+    def prime_bias(self) -> DataFrame:
+        """five, three, five_three: medians over the best transcript of each gene, of the 1000 with the highest mean."""
+        depth = self.transcript_depth()
+        lengths = self.exons.select("gene_id", "tx_id", "s", "e").distinct().groupBy("gene_id", "tx_id").agg(F.sum(F.col("e") - F.col("s")).alias("length"))
+        means = cv.mean_coverage(depth, lengths, "tx_id").filter("length >= 500 and mean >= 1").join(lengths.select("gene_id", "tx_id"), "tx_id")
+        best = means.join(sq.best_per_group(means, ["gene_id"], ["mean", "tx_id"], "tx_id"), ["gene_id", "tx_id"])
+        each = cv.prime_bias(depth, sq.top(best.select("tx_id", "mean", "length"), "mean", ["tx_id"], 1000), "tx_id", 100)
+        ratio = F.when((F.col("three") != 0) | (F.col("five") != 0), F.when(F.col("three") == 0, F.lit(float("inf"))).otherwise(F.try_divide("five", "three")))
+        return each.agg(F.median("five").alias("five"), F.median("three").alias("three"), F.median(ratio).alias("five_three"))
 
     def transcript_depth(self) -> DataFrame:
         """Depth in exon-concatenated offsets; exons of the minus strand are taken in reverse, and the last base of
-        each block does not count."""
-        exons = self.exons.select("tx_id", "chrom", "strand", "s", "e").distinct()
+        each block does not count.  A block counts for the transcripts of genes that enclose it, on either strand."""
+        exons = self.exons.select("gene_id", "tx_id", "chrom", "strand", "s", "e").distinct()
         order = F.when(F.col("strand") == "-", -F.col("s")).otherwise(F.col("s"))
         before = F.coalesce(F.sum(F.col("e") - F.col("s")).over(Window.partitionBy("tx_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         placed = exons.withColumn("before", before)
-        met = iv.overlap_join(self.gene_body_blocks.withColumn("e", F.col("e") - 1).filter("s < e"), placed, ["chrom"])
+        enclosed = iv.containment_join(self.gene_body_blocks.select("rid", "chrom", "s", "e"), self.merged_exons, ["chrom"]).filter("enclosed")
+        blocks = enclosed.select("rid", F.col("r_gene_id").alias("gene_id"), "chrom", "s", (F.col("e") - 1).alias("e")).filter("s < e")
+        met = iv.overlap_join(blocks, placed, ["chrom", "gene_id"])
         inside = met.select(F.col("r_tx_id").alias("tx_id"), (F.greatest("s", "r_s") - F.col("r_s") + F.col("r_before")).alias("s"), (F.least("e", "r_e") - F.col("r_s") + F.col("r_before")).alias("e"))
         return iv.depth_segments(inside, ["tx_id"])
 

@@ -381,5 +381,41 @@ def coverage_profile(rows) -> str:
     return table(["#Transcript position", "Transcript coverage profile"], ([float(r["bin"]), float(r["depth"])] for r in rows))
 
 
+def trimmed(x: float) -> str:
+    """Two decimals without zeros at the end, one at least; NaN as it is."""
+    if math.isnan(x) or math.isinf(x):
+        return "NaN" if math.isnan(x) else "inf" if x > 0 else "-inf"
+    whole, _, part = f"{x:.2f}".partition(".")
+    return f"{whole}.{part.rstrip('0') or '0'}"
+
+
+#: Names of the protocols in the gene-body report.
+PROTOCOLS = {"forward": "strand-specific-forward", "reverse": "strand-specific-reverse", "unstranded": "non-strand-specific"}
+
+
+def gene_body_report(alignments: str, annotation: str, protocol: str, paired: bool, counters, origin, votes, bias, events: int, motifs) -> str:
+    """Six sections; counters, origin, votes and bias are rows, motifs have motif and percent."""
+    many = lambda n: f"{n:,}"
+    aligned = [f"reads aligned (left/right) = {many(counters['left'])} / {many(counters['right'])}", f"read pairs aligned  = {many(counters['proper'] // 2)}"] if paired else [f"reads aligned  = {many(counters['reads'])}"]
+    aligned += [f"{name} = {many(n)}" for name, n in (("total alignments", counters["primary"] + counters["secondary"]), ("secondary alignments", counters["secondary"]), ("non-unique alignments", counters["non_unique"]), ("aligned to genes ", origin["exonic"]), ("ambiguous alignments", origin["ambiguous"]), ("no feature assigned", origin["no_feature"]), ("not aligned", counters["not_aligned"]))]
+    voted = votes["forward"] + votes["reverse"]
+    if protocol == "unstranded" and voted:
+        aligned.append(f"SSP estimation (fwd/rev) = {votes['forward'] / voted:.2f} / {votes['reverse'] / voted:.2f}")
+    whole = origin["exonic"] + origin["intronic"] + origin["intergenic"]
+    shares = [f"{name} = {many(origin[key])} ({trimmed(100 * origin[key] / whole)}%)" for name, key in (("exonic", "exonic"), ("intronic", "intronic"), ("intergenic", "intergenic"), ("overlapping exon", "overlapping_exon"))] if whole else []
+    shares = [x.replace("exonic = ", "exonic =  ", 1) if x.startswith("exonic") else x for x in shares]
+    sections = {
+        "Input": [f"bam file = {alignments}", f"gff file = {annotation}", "counting algorithm = uniquely-mapped-reads", f"protocol = {PROTOCOLS[protocol]}", "5'-3' bias region size = 100", "5'-3' bias number of top transcripts = 1000"],
+        "Reads alignment": aligned,
+        "Reads genomic origin": shares,
+        "Transcript coverage profile": [f"{name} bias = {trimmed(math.nan if x is None else x)}" for name, x in (("5'", bias["five"]), ("3'", bias["three"]), ("5'-3'", bias["five_three"]))],
+    }
+    out = ["RNA-Seq QC report", "-" * 35, ""]
+    for name, lines in sections.items():
+        out += [f">>>>>>> {name}", "", *(f"    {x}" for x in lines), "", ""]
+    out += [">>>>>>> Junction analysis", "", f"    reads at junctions = {many(events)}", "", *(f"    {r['motif']} : {trimmed(r['percent'])}%" for r in motifs)]
+    return "\n".join(out) + "\n"
+
+
 def utc_now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")

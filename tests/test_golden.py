@@ -154,7 +154,7 @@ def test_every_report(spark, files, tmp_path):
     (summary,) = run.run(spark, [str(files / "a.sam")], str(files / "a.gtf"), Params(complexity_max=2000, complexity_step=500, complexity_bootstraps=5), str(tmp_path), flat=True)
     assert summary["status"] == "ok"
     out = {p.name: p.read_text() for p in tmp_path.iterdir()}
-    assert len(out) >= 36
+    assert len(out) == 38
     assert out["a_intercept_slope.txt"].startswith("a - dupRadar Int (duprate at low read counts): 0.5972778764")
     assert out["a_dup_intercept_mqc.txt"].splitlines()[-2:] == ["Sample\tdupRadar_intercept", "a\t" + out["a_intercept_slope.txt"].split(": ")[1].split("\n")[0]]
     curve = [list(map(float, x.split("\t"))) for x in out["a_duprateExpDensCurve_mqc.txt"].splitlines() if not x.startswith("#")]
@@ -171,6 +171,9 @@ def test_every_report(spark, files, tmp_path):
     assert out["a.summary.txt"].splitlines()[0] == "Bam_file\tTIN(mean)\tTIN(median)\tTIN(stdev)"
     assert out["a.DupRate_plot.r"].count("\n") == 14 and "seq_uniqRead=c(1)" in out["a.DupRate_plot.r"]
     assert out["a.biotype_counts.tsv"].splitlines()[0] == "Biotype\tCount"
+    body = out["rnaseq_qc_results.txt"]
+    assert "    reads aligned  = 483\n" in body and "    non-unique alignments = 10\n" in body and "    aligned to genes  = 473\n" in body
+    assert "    exonic =  473 (100.0%)\n" in body and "    overlapping exon = 0 (0.0%)\n" in body and "    reads at junctions = 0\n" in body
     stats = out["a.stats"].splitlines()
     named = {x.split("\t")[1]: x.split("\t")[2] for x in stats if x.startswith("SN")}
     assert (named["raw total sequences:"], named["reads mapped:"], named["reads duplicated:"], named["total length:"], named["bases mapped (cigar):"], named["average quality:"], named["error rate:"]) == ("488", "483", "137", "24400", "24150", "40.0", "0.000000e+00")
