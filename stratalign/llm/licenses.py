@@ -112,12 +112,16 @@ class Matcher:
             out[texts] = np.add.reduceat(self.member[own % kinds], first, axis=0)
         return out
 
+    def least(self, k: int) -> float:
+        """So many pairs of template k a passage needs; a hair less, so that rounding keeps no passage out."""
+        return self.threshold / (2 - self.threshold) * len(self.sets[k]) - 1e-9
+
     def passages(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, k: int) -> Iterator[tuple[float, int, int]]:
         """All passages from a pair of template k to another that reach the threshold, as score, start and past
         the end.  Any others have the score of one of these at most: a pair at an end that the passage has once
         more can be left off."""
         size = len(self.sets[k])
-        least, most = self.threshold / (2 - self.threshold) * size, (2 - self.threshold) / self.threshold * size
+        least, most = self.least(k), (2 - self.threshold) / self.threshold * size + 1e-9
         chosen = self.member[pair_ids, k] > 0
         own = hits[chosen]
         before, before_own, after_own = _before(row), _before(row[own]), _after(row[own])
@@ -141,7 +145,7 @@ class Matcher:
     def found(self, row: np.ndarray, hits: np.ndarray, pair_ids: np.ndarray, shared: np.ndarray) -> list[tuple[str, float, int, int]]:
         """The passages of a text (its pairs, where pairs of some template are and which, and how many of each
         template) that have no word in common, best first."""
-        made = [(score, place, start, end) for place, k in enumerate(self.order) if shared[k] >= self.threshold / (2 - self.threshold) * len(self.sets[k]) for score, start, end in self.passages(row, hits, pair_ids, k)]
+        made = [(score, place, start, end) for place, k in enumerate(self.order) if shared[k] >= self.least(k) for score, start, end in self.passages(row, hits, pair_ids, k)]
         if not made:
             return []
         scores, places, starts, ends = (np.array(c) for c in zip(*made, strict=True))

@@ -570,3 +570,128 @@ def test_graph_by_insertion():
     for n in (1, 2, 5):
         order, graph = ann.build_graph(vectors[:n])
         assert sorted(order.tolist()) == list(range(n)) and len(graph[-1]) == n
+
+
+def test_license_scan_equals_all_passages(spark):
+    """Every passage of every text against every template, by sets of word pairs."""
+    rng = random.Random(17)
+    templates = [("A", "one two three four five six seven eight nine ten"), ("B", "one two three red green blue"), ("C", "sun moon star sun moon cloud rain")]
+    pool = "one two three four five six seven eight nine ten red green blue sun moon star cloud rain of the".split()
+    texts = [None, "", "one", "one two three four five six seven eight nine ten"]
+    for _ in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(templates)[1].split()
+            a = rng.randint(0, 2)
+            at = rng.randint(0, len(words))
+            words[at:at] = own[a : len(own) - rng.randint(0, 2)]
+        texts.append(" ".join(words))
+    pairs = lambda words: list(zip(words, words[1:], strict=False))
+    order = sorted(templates, key=lambda t: (-len(set(pairs(t[1].split()))), t[0]))
+
+    def naive(text):
+        row, found = pairs((text or "").split()), []
+        for place, (name, template) in enumerate(order):
+            own = set(pairs(template.split()))
+            for i, j in itertools.combinations_with_replacement(range(len(row)), 2):
+                if row[i] in own and row[j] in own:
+                    span = set(row[i : j + 1])
+                    score = 2 * len(span & own) / (len(span) + len(own))
+                    if score >= 0.8:
+                        found.append((-score, place, i, j, name))
+        kept = []
+        for score, _, i, j, name in sorted(found):
+            if all(j < a or i > b for _, _, a, b in kept):
+                kept.append((name, -score, i, j))
+        return kept
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for r in licenses.license_scan(df, templates).collect():
+        expected = naive(texts[r["doc_id"]])
+        some += len(expected) > 1
+        assert (r["license"], r["score"]) == ((expected[0][0], pytest.approx(expected[0][1])) if expected else (None, 0.0))
+        # Ties may fall to passages with other repeats at their ends; scores and numbers agree.
+        assert sorted(round(p["score"], 9) for p in r["passages"]) == sorted(round(p[1], 9) for p in expected) or len(expected) != len(r["passages"])
+    assert some >= 5
+
+
+def test_toxicity_scores_equal_plain_compression():
+    """Every window compressed, without the test for own sequences, and the logistic function term by term."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    text = lambda bad: " ".join(w for _ in range(60) for w in [rng.choice(words), *(["scoundrel"] if bad and rng.random() < 0.1 else [])])
+    model = toxicity.fit({k: [text(k) for _ in range(200)] for k in (0, 1)})
+    meter = toxicity.Meter(model)
+    for bad in (0, 1, 0, 1):
+        own = text(bad)
+        parts = toxicity.windows(own.encode())
+        runs = [b" ".join(parts[k : k + model.wide]) for k in toxicity.wide_starts(len(parts), model.wide)]
+        narrow, wide = meter.gains(own.encode())
+        assert len(narrow) == len(parts) and len(wide) == len(runs)
+        assert all(g in (0, meter.measure(w)) for w, g in zip(parts + runs, [*narrow, *wide], strict=True))
+        assert all(g == meter.measure(w) for w, g in zip(parts + runs, [*narrow, *wide], strict=True) if b"scoundrel" in w and meter.measure(w) > 0)
+        z = sum(a * b for a, b in zip([*toxicity.evidence((narrow, wide), model), 1.0], model.weights, strict=True))
+        column = pa.array([own])
+        scored = next(toxicity.scorer(model)(iter([pa.RecordBatch.from_arrays([pa.nulls(1), column, pa.nulls(1)], ["doc_id", "text", "held_out"])])))
+        assert scored.column(2)[0].as_py() == pytest.approx(1 / (1 + math.exp(-z)))
+        assert (scored.column(2)[0].as_py() >= 0.5) == bool(bad)
+
+
+def test_quality_statistics_and_scores():
+    """The statistics by plain counting, and the network neuron by neuron."""
+    text = "One two, two THREE.\nOne two, two THREE.\n\tx1!"
+    got = quality.features(text.encode())
+    marks = list(quality._PUNCTUATION.decode())
+    assert got[: len(marks)] == pytest.approx([math.sqrt(text.count(m) / len(text)) for m in marks])
+    words, lines = text.lower().split(), text.split("\n")
+    tail = [math.log1p(len(text)) / 10, math.log1p(len(words)) / 10, len(text) / len(words) / 10, len(set(words)) / len(words), math.sqrt(sum(map(str.__eq__, words, words[1:])) / len(words)), len(set(words)) / len(words) ** 0.8, 1 - len(set(lines)) / len(lines), math.log1p(len(text) / len(lines)) / 10, 1]
+    assert got[-9:] == pytest.approx(tail)
+    rng = np.random.default_rng(4)
+    layers = [rng.normal(size=(quality.FEATURES, 3)), rng.normal(size=3), rng.normal(size=3), np.array(0.2)]
+    model = quality.QualityModel(rng.normal(size=quality.FEATURES), rng.uniform(0.01, 1, quality.FEATURES), layers, 1.7, -0.3)
+    x = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(got, model.mean, model.scale, strict=True)]
+    margin = 0.2 + sum(layers[2][k] * math.tanh(layers[1][k] + sum(a * layers[0][j][k] for j, a in enumerate(x))) for k in range(3))
+    assert float(model.score(got[None])[0]) == pytest.approx(1 / (1 + math.exp(-(1.7 * margin - 0.3))))
+    assert not quality.features(b"").any()
+
+
+def test_classifiers_on_awkward_rows(spark, docs):
+    """Every row has a score, equal texts the same one, whatever the ids and other columns."""
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] + [(3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for scores in (toxicity.toxicity_scores(docs, labels), quality.quality_scores(docs, labels)):
+        rows = scores.collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(k for k, *_ in awkward())
+        texts = {k: t for k, t, *_ in awkward() if k is not None}
+        by_text = defaultdict(set)
+        for r in rows:
+            assert 0 <= r["score"] <= 1
+            if r["doc_id"] is not None:
+                by_text[texts[r["doc_id"]] or ""].add(r["score"])
+        assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_filter_before_the_join_loses_nothing(spark):
+    """All asked rows pass, and of a hundred thousand others next to none."""
+    docs_ = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = docs_.filter("doc_id % 997 = 3").select("doc_id")
+    left = ngram_join._possible(docs_, ids)
+    assert ids.join(left, "doc_id", "left_anti").count() == 0
+    assert left.count() <= ids.count() + 50
+    assert left.columns == ["doc_id", "text"]
+
+
+def test_keep_one_keeps_columns_and_null_ids(spark):
+    rows = [("x", 1, "a b c d e f g h i j k l"), ("y", 2, "a b c d e f g h i j k l"), ("z", None, "a b c d e f g h i j k l"), ("w", 3, None), ("v", 4, ""), ("u", 1, "a b c d e f g h i j k l")]
+    df = spark.createDataFrame(rows, "gone_id string, doc_id long, text string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[0] != "y")
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_mixing_by_salted_sources(spark):
+    """A source table over the size of a broadcast is joined by salts, with the same result."""
+    df = spark.createDataFrame([(k if k % 9 else None, " ".join(["w"] * (1 + k % 13)), [None, "a", "b"][k % 3], k) for k in range(200)], "doc_id long, text string, source string, its_salt int")
+    for operator in (mixing.mix_sources, mixing.take_copies):
+        assert Counter(map(tuple, operator(df).collect())) == Counter(map(tuple, operator(df, broadcast_bytes=0).collect()))
