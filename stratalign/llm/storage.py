@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -27,12 +28,33 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+#: Folders that end with this process.
+_OWN: set[str] = set()
+
+
+def session_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it is removed when the driver's process ends."""
+    path = f"{shared_root(spark)}/stratalign-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, configuration, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        where.getFileSystem(configuration).delete(where, True)
+    except Exception as error:  # the process is ending: what is left is said, and does no harm
+        print(f"{path} was not removed: {error}", file=sys.stderr)
+
+
 class Scratch:
-    """Named tables below one fresh folder of the shared root."""
+    """Named tables below one fresh folder of the session's."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{session_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd")
@@ -46,10 +68,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(self.spark._jvm, self.spark._jsc.hadoopConfiguration(), f"{self.path}/{name}")
 
     def keep_only(self, *names: str) -> None:
         """Remove all other tables, when the results that are left are written."""

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.taskcontext import TaskContext
 
-from .storage import Scratch, keep_columns
+from .storage import Scratch, keep_columns, session_root
 
 MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 16
@@ -238,7 +238,5 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20
 
 
 def archive_folder(spark: SparkSession) -> str:
-    from .storage import shared_root
-
-    root = shared_root(spark)
+    root = session_root(spark)
     return f"{root if '://' in root else 'file://' + root}/warc-{uuid.uuid4().hex}"
