@@ -12,6 +12,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
@@ -118,22 +119,74 @@ def _tags(data: bytes, at: int, end: int) -> dict[str, int]:
     return out
 
 
-def parse_record(data: bytes, at: int, names: list[str]) -> dict:
-    size, tid, pos, name, mapq, _, ops, flag, seq, mtid, mpos, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
-    end, at = at + 4 + size, at + 36
-    qname, at = data[at : at + name - 1].decode(), at + name
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at)) or "*"
-    at += 4 * ops
-    packed, at = bytes(data[at : at + (seq + 1) // 2]), at + (seq + 1) // 2
-    bases = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:seq]
-    qual, at = bytes(data[at : at + seq]), at + seq
-    tags = _tags(data, at, end)
-    name_of = lambda k: names[k] if k >= 0 else None
-    return {"qname": qname, "flag": flag, "tid": tid, "chrom": name_of(tid), "pos": pos, "mapq": mapq, "cigar": cigar, "mtid": mtid, "mate_chrom": name_of(mtid), "mpos": mpos, "tlen": tlen, "seq": bases or None, "qual": qual or None, "nh": tags.get("NH"), "hi": tags.get("HI"), "nm": tags.get("NM")}
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after another, and each place's number within its range."""
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(starts, lengths) + within, within
+
+
+def _strings(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType, known: np.ndarray) -> pa.Array:
+    """An Arrow column of strings or bytes from their bytes one after another; null where not known."""
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    bits = None if known.all() else pa.py_buffer(np.packbits(known, bitorder="little").tobytes())
+    return pa.Array.from_buffers(kind, len(lengths), [bits, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.uint8).tobytes())])
+
+
+_LETTERS = np.frombuffer(_BASES.encode(), np.uint8)
+
+
+def decode(data: bytes, at: np.ndarray, names: list[str]) -> list[pa.Array]:
+    """Columns from qname to nm of the records at these places.  Fixed fields, names, bases and qualities are taken for all
+    records at once; CIGARs once for each that differs; tags record by record."""
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[at[:, None] + np.arange(36)]
+
+    def field(start: int, kind: str) -> np.ndarray:
+        return np.ascontiguousarray(head[:, start : start + np.dtype(kind).itemsize]).view(kind).ravel().astype(np.int64)
+
+    tid, mtid, size, bases, ops = field(4, "<i4"), field(24, "<i4"), field(0, "<i4"), field(20, "<i4"), field(16, "<u2")
+    name_size = field(12, "u1") - 1
+    name_at = at + 36
+    ops_at = name_at + name_size + 1
+    seq_at = ops_at + 4 * ops
+    qual_at = seq_at + (bases + 1) // 2
+    some, every = bases > 0, np.ones(len(at), bool)
+    places, within = _ranges(seq_at, bases)  # seq_at + k for base k: its byte is at seq_at + k // 2
+    packed = raw[places - within + within // 2]
+    letters = _LETTERS[np.where(within % 2 == 0, packed >> 4, packed & 15)]
+    known: dict[bytes, str] = {}
+
+    def cigar(start: int, stop: int) -> str:
+        content = data[start:stop]
+        if content not in known:
+            known[content] = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack(f"<{len(content) // 4}I", content)) or "*"
+        return known[content]
+
+    tags = [_tags(data, start, stop) for start, stop in zip((qual_at + bases).tolist(), (at + 4 + size).tolist(), strict=True)]
+    chrom = pa.array(names, pa.string())
+    named = lambda k: chrom.take(pa.array(np.maximum(k, 0), mask=k < 0)) if len(names) else pa.nulls(len(k), pa.string())
+    ints = lambda x, kind=pa.int32(): pa.array(x).cast(kind)
+    return [
+        _strings(raw[_ranges(name_at, name_size)[0]], name_size, pa.string(), every),
+        ints(field(18, "<u2")),
+        ints(tid),
+        named(tid),
+        ints(field(8, "<i4"), pa.int64()),
+        ints(field(13, "u1")),
+        pa.array([cigar(x, y) for x, y in zip(ops_at.tolist(), seq_at.tolist(), strict=True)], pa.string()),
+        ints(mtid),
+        named(mtid),
+        ints(field(28, "<i4"), pa.int64()),
+        ints(field(32, "<i4"), pa.int64()),
+        _strings(letters, bases, pa.string(), some),
+        _strings(raw[_ranges(qual_at, bases)[0]], bases, pa.binary(), some),
+        *(pa.array([t.get(n) for t in tags], pa.int32()) for n in ("NH", "HI", "NM")),
+    ]
 
 
-def _records(stream, start: int, end: int, header: int, names: list[str]) -> Iterator[dict]:
-    """Records that start in the blocks of [start, end): those blocks are held, and what the last one needs."""
+def _records(stream, start: int, end: int, header: int, names: list[str]) -> tuple[bytes, np.ndarray]:
+    """Records that start in the blocks of [start, end): those blocks' content, with what the last record needs, and where
+    each record is in it."""
     blocks = _blocks(stream, start, stream.size())
     data, edge, after = bytearray(), None, None
     for place, content in blocks:
@@ -148,14 +201,16 @@ def _records(stream, start: int, end: int, header: int, names: list[str]) -> Ite
         at = header
     else:
         at = next((k for k in range(edge) if _plausible(data, k, len(names))), edge)
+    found = []
     while at < edge:
         while len(data) < at + 4 or len(data) < at + 4 + struct.unpack_from("<i", data, at)[0]:
             more = next(blocks, None)
             if more is None:
                 raise ValueError(f"a record at {at} of the blocks from {start} is cut off")
             data += more[1]
-        yield parse_record(data, at, names)
+        found.append(at)
         at += 4 + struct.unpack_from("<i", data, at)[0]
+    return bytes(data), np.array(found, np.int64)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +218,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for split in batch.to_pylist():
             fs, name = pafs.FileSystem.from_uri(split["path"])
             with fs.open_input_file(name) as stream:
-                out, row = [], 0
-                for record in _records(stream, split["start"], split["end"], split["header"], split["names"]):
-                    out.append({"file_order": {"file": split["path"], "start": split["start"], "row": row}} | record)
-                    row += 1
-                    if len(out) == 4096:
-                        yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                data, places = _records(stream, split["start"], split["end"], split["header"], split["names"])
+            for first in range(0, len(places), 4096):
+                at = places[first : first + 4096]
+                order = pa.StructArray.from_arrays([pa.array([split["path"]] * len(at), pa.string()), pa.array([split["start"]] * len(at), pa.int64()), pa.array(np.arange(first, first + len(at)))], ["file", "start", "row"])
+                yield pa.RecordBatch.from_arrays([order, *decode(data, at, split["names"])], schema=_SCHEMA)
 
 
 def _uri(path: str) -> str:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
 from stratalign.functions import cigar as cg
 from stratalign.sources.probe import first_bytes
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: What every alignment source gives.
 ALIGNMENTS_DDL = (
     "file_order struct<file:string,start:bigint,row:bigint>, qname string, flag int, tid int, chrom string, pos bigint, mapq int, cigar string, "

@@ -2,8 +2,10 @@
 
 import gzip
 import math
+import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from stratalign.plans import run
@@ -194,3 +196,22 @@ def test_statistics_formats():
     assert "Total splicing  Events:\t11\n" in log and "Total splicing  Junctions:\t3\n" in log
     script = text.junction_script({"annotated": (7, 2), "partial_novel": (1, 2)}, 2, "p")
     assert "events=c(10,0,70)" in script and "junction=c(50,0,50)" in script
+
+
+def test_decoded_records():
+    """Names, bases, qualities, CIGARs and tags of records of every length, one after another."""
+    letters, kinds = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+    rows = [("a", 0, 5, 3, "ACGTN", [(5, "M")], b"NHC\x02HIc\x01"), ("longer/name", 1, 0, 1027, "A", [(2, "S"), (1, "M"), (70, "N")], b"XXZtext NHC\0NMi\x07\0\0\0"), ("none", -1, -1, 4, "", [], b""), ("b" * 40, 0, 9, 16, "ACGTACGTACG", [(11, "=")], b"XBBc\x02\0\0\0\x01\x02NHS\x2c\x01")]
+    data, at = b"", []
+    for name, tid, pos, flag, seq, ops, tags in rows:
+        codes = [letters.index(x) for x in seq] + [0] * (len(seq) % 2)
+        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        body = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, 7, 0, len(ops), flag, len(seq), -1, -1, -12) + name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | kinds.index(k)) for n, k in ops) + packed + bytes(range(len(seq))) + tags
+        at.append(len(data))
+        data += struct.pack("<i", len(body)) + body
+    columns = [c.to_pylist() for c in bam.decode(data, np.array(at), ["chr1", "chr2"])]
+    for k, (name, tid, pos, flag, seq, ops, _) in enumerate(rows):
+        chrom = ["chr1", "chr2"][tid] if tid >= 0 else None
+        expected = [name, flag, tid, chrom, pos, 7, "".join(f"{n}{x}" for n, x in ops) or "*", -1, None, -1, -12, seq or None, bytes(range(len(seq))) if seq else None]
+        assert [c[k] for c in columns[:13]] == expected
+    assert columns[13:] == [[2, None, None, 300], [1, None, None, None], [None, 7, None, None]]
