@@ -41,6 +41,13 @@ def strandedness_verdict(classes: DataFrame, cut: float = 0.75) -> DataFrame:
     return shares.withColumn("verdict", F.when(F.col("sense") > cut, "forward").when(F.col("antisense") > cut, "reverse").otherwise("unstranded"))
 
 
+def strandedness_suggestion(shares, protocol: str) -> str | None:
+    """What the reads say where it is something else than the given protocol; shares is a row of the verdict."""
+    if shares["verdict"] is None or shares["sense"] + shares["antisense"] + shares["failed"] == 0:
+        return None
+    return None if shares["verdict"] == protocol else shares["verdict"]
+
+
 def enclosing_genes(blocks: DataFrame, exons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rid, gene_id: genes one of whose exons encloses each block of the read (relational division by count)."""
     met = containment_join(blocks.select("rid", *keys, "s", "e"), exons.select(*keys, "s", "e", "gene_id"), keys).filter("enclosed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import time
 import traceback
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -166,12 +167,10 @@ def stats_report(q: QcSession) -> str:
 
 
 def run_file(spark: SparkSession, path: str, gtf: str, params: Params, outdir: str, skip: list[str], flat: bool) -> dict:
-    q, name = QcSession(spark, path, gtf, params), stem(path)
+    started, q, name = time.monotonic(), QcSession(spark, path, gtf, params), stem(path)
     q.validate()
-    written = []
-    for tool, files in reports(q, name).items():
-        if tool in skip:
-            continue
+    written, wanted = [], {tool: files for tool, files in reports(q, name).items() if tool not in skip}
+    for tool, files in wanted.items():
         folder = outdir if flat else os.path.join(outdir, tool)
         os.makedirs(folder, exist_ok=True)
         for file, render in files.items():
@@ -182,9 +181,24 @@ def run_file(spark: SparkSession, path: str, gtf: str, params: Params, outdir: s
                 continue
             with open(os.path.join(folder, file), "w", encoding="utf-8") as out:
                 out.write(content)
-            written.append(os.path.join(folder, file))
+            written.append({"tool": tool, "path": os.path.join(folder, file)})
+    summary = {"sample": name, "input": path, "status": "ok", "counting": q.counting_summary()}
+    if "dupradar" in wanted:
+        summary["dupradar"] = q.duplication_summary() | dict(zip(("intercept", "slope"), _fit(q), strict=True))
+    if "infer_experiment" in wanted:
+        found = cv.strandedness_suggestion(cv.strandedness_verdict(q.strandedness()).na.fill(0.0).first(), params.protocol)
+        if found:
+            summary["suggested_protocol"] = found
+            print(f"{name}: the reads look {found}, but the protocol is given as {params.protocol}", file=sys.stderr)
     q.reads.unpersist()
-    return {"sample": name, "input": path, "time": text.utc_now(), "outputs": written, "status": "ok"}
+    return summary | {"time": text.utc_now(), "runtime_seconds": round(time.monotonic() - started, 3), "outputs": written}
+
+
+def _fit(q: QcSession) -> tuple[float | None, float | None]:
+    try:
+        return q.fit()
+    except ValueError:  # too few genes for a curve
+        return None, None
 
 
 def run(spark: SparkSession, inputs: list[str], gtf: str, params: Params, outdir: str = ".", skip: list[str] = (), flat: bool = False) -> list[dict]:
@@ -193,6 +207,8 @@ def run(spark: SparkSession, inputs: list[str], gtf: str, params: Params, outdir
     if len(set(names)) < len(names):
         raise ValueError("inputs with equal names: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
 
+    os.makedirs(outdir, exist_ok=True)
+
     def one(path: str) -> dict:
         try:
             return run_file(spark, path, gtf, params, outdir, list(skip), flat)
@@ -201,7 +217,10 @@ def run(spark: SparkSession, inputs: list[str], gtf: str, params: Params, outdir
             return {"sample": stem(path), "input": path, "time": text.utc_now(), "outputs": [], "status": f"failed: {error}"}
 
     with ThreadPoolExecutor(max_workers=min(4, len(inputs))) as pool:
-        return list(pool.map(one, inputs))
+        results = list(pool.map(one, inputs))
+    with open(os.path.join(outdir, "CITATIONS.md"), "w", encoding="utf-8") as out:
+        out.write(text.citations({o["tool"] for r in results for o in r["outputs"]}))
+    return results
 
 
 def main(argv: list[str] | None = None) -> int:

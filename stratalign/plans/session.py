@@ -137,6 +137,19 @@ class QcSession:
         matrix = ct.dup_matrix(ct.gene_counts(self.fragments), genes, F.lit(float(self.total_fragments)))
         return matrix.join(genes.select("gene_id", "gene_ord"), "gene_id").orderBy("gene_ord").drop("gene_ord")
 
+    def counting_summary(self) -> dict[str, float]:
+        """Reads, fragments by what they were assigned to, and shares, for the run's summary."""
+        reads = self.reads.agg(F.count("*").alias("total_reads"), F.count_if(fl.clear(fl.UNMAPPED)).alias("mapped_reads")).first().asDict()
+        n = F.col("n")
+        each = {"assigned": n == 1, "no_features": n == 0, "ambiguous": n > 1, "duplicates": fl.has(fl.DUPLICATE), "multimappers": fl.is_multi()}
+        out = reads | self.fragments.agg(F.count("*").alias("fragments"), *[F.count_if(c).alias(k) for k, c in each.items()]).first().asDict()
+        share = lambda k: 100.0 * out[k] / out["fragments"] if out["fragments"] else 0.0
+        return out | {"assigned_pct": share("assigned"), "duplicate_pct": share("duplicates")}
+
+    def duplication_summary(self) -> dict[str, int]:
+        rate = F.col("dup_rate")
+        return self.dup_matrix().agg(F.count("*").alias("total_genes"), F.count_if(F.col("all_unique") > 0).alias("genes_with_reads"), F.count_if((rate > 0) | F.isnan(rate)).alias("genes_with_duplication")).first().asDict()
+
     def fit(self) -> tuple[float, float]:
         """Intercept and slope as they are reported: exponentials of the coefficients."""
         intercept, slope = logistic_fit(self.dup_matrix())

@@ -417,5 +417,22 @@ def gene_body_report(alignments: str, annotation: str, protocol: str, paired: bo
     return "\n".join(out) + "\n"
 
 
+# The published tools whose results the analyses give, with the analyses that ask for them.
+CITATIONS = [
+    ({"dupradar"}, "dupRadar", "Sayols S, Scherzinger D, Klein H. dupRadar: a Bioconductor package for the assessment of PCR artifacts in RNA-Seq data. *BMC Bioinformatics*. 2016;17(1):428.", "10.1186/s12859-016-1276-2"),
+    ({"featurecounts"}, "featureCounts", "Liao Y, Smyth GK, Shi W. featureCounts: an efficient general purpose program for assigning sequence reads to genomic features. *Bioinformatics*. 2014;30(7):923-930.", "10.1093/bioinformatics/btt656"),
+    ({"bam_stat", "infer_experiment", "read_duplication", "read_distribution", "junction_annotation", "junction_saturation", "inner_distance", "tin"}, "RSeQC", "Wang L, Wang S, Li W. RSeQC: quality control of RNA-seq experiments. *Bioinformatics*. 2012;28(16):2184-2185.", "10.1093/bioinformatics/bts356"),
+    ({"preseq"}, "Preseq", "Daley T, Smith AD. Predicting the molecular complexity of sequencing libraries. *Nature Methods*. 2013;10(4):325-327.", "10.1038/nmeth.2375"),
+    ({"flagstat", "idxstats", "stats"}, "Samtools", "Danecek P, Bonfield JK, Liddle J, et al. Twelve years of Samtools and BCFtools. *GigaScience*. 2021;10(2):giab008.", "10.1093/gigascience/giab008"),
+    ({"qualimap"}, "Qualimap", "Garcia-Alcalde F, Okonechnikov K, Carbonell J, et al. Qualimap: evaluating next-generation sequencing alignment data. *Bioinformatics*. 2012;28(20):2678-2679.", "10.1093/bioinformatics/bts503"),
+]
+
+
+def citations(analyses: Iterable[str]) -> str:
+    """The tools to cite for the analyses that were run."""
+    run = set(analyses)
+    return "# Citations\n\n" + "".join(f"## {name}\n\n> {reference}\n\n- DOI: [{doi}](https://doi.org/{doi})\n\n" for asked, name, reference, doi in CITATIONS if asked & run)
+
+
 def utc_now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")

@@ -156,7 +156,11 @@ def test_every_report(spark, files, tmp_path):
     (summary,) = run.run(spark, [str(files / "a.sam")], str(files / "a.gtf"), Params(complexity_max=2000, complexity_step=500, complexity_bootstraps=5), str(tmp_path), flat=True)
     assert summary["status"] == "ok"
     out = {p.name: p.read_text() for p in tmp_path.iterdir()}
-    assert len(out) == 38
+    assert len(out) == 39 and len(summary["outputs"]) == 38
+    assert [x for x in out["CITATIONS.md"].splitlines() if x.startswith("## ")] == ["## dupRadar", "## featureCounts", "## RSeQC", "## Preseq", "## Samtools", "## Qualimap"]
+    assert {k: summary["counting"][k] for k in ("total_reads", "mapped_reads", "fragments", "assigned", "no_features", "ambiguous", "duplicates", "multimappers")} == {"total_reads": 488, "mapped_reads": 483, "fragments": 483, "assigned": 483, "no_features": 0, "ambiguous": 0, "duplicates": 137, "multimappers": 10}
+    assert (summary["dupradar"]["total_genes"], summary["dupradar"]["genes_with_reads"], summary["dupradar"]["genes_with_duplication"]) == (8, 7, 8)
+    assert summary["suggested_protocol"] == "forward"
     assert out["a_intercept_slope.txt"].startswith("a - dupRadar Int (duprate at low read counts): 0.5972778764")
     assert out["a_dup_intercept_mqc.txt"].splitlines()[-2:] == ["Sample\tdupRadar_intercept", "a\t" + out["a_intercept_slope.txt"].split(": ")[1].split("\n")[0]]
     curve = [list(map(float, x.split("\t"))) for x in out["a_duprateExpDensCurve_mqc.txt"].splitlines() if not x.startswith("#")]
