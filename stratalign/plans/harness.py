@@ -244,7 +244,7 @@ def bam_stat(t: Tables) -> DataFrame:
 
 
 @query("flagstat", """SELECT count(*) AS total, count(*) FILTER (WHERE flag & 256 <> 0) AS secondary, count(*) FILTER (WHERE flag & 2048 <> 0) AS supplementary,
-  count(*) FILTER (WHERE flag & 1024 <> 0 AND flag & 512 = 0) AS duplicates, count(*) FILTER (WHERE flag & 4 = 0) AS mapped, count(*) FILTER (WHERE flag & 2304 = 0) AS primary_reads,
+  count(*) FILTER (WHERE flag & 1024 <> 0 AND flag & 512 = 0) AS duplicates, count(*) FILTER (WHERE flag & 3328 = 1024) AS primary_duplicates, count(*) FILTER (WHERE flag & 4 = 0) AS mapped, count(*) FILTER (WHERE flag & 2304 = 0) AS primary_reads,
   count(*) FILTER (WHERE flag & 2308 = 0) AS primary_mapped, count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 1 <> 0) AS paired, count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 65 = 65) AS read1,
   count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 129 = 129) AS read2, count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 3 = 3) AS properly_paired,
   count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 13 = 1) AS both_mapped, count(*) FILTER (WHERE flag & 2304 = 0 AND flag & 13 = 9) AS singletons FROM r""")
