@@ -12,12 +12,18 @@ def count_of_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> Data
     return df.groupBy(*keys).agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias(name))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint: range bounds come from samples, and rows of a lost executor made anew
+    could lie elsewhere.  A session without a checkpoint folder, as in tests, holds the rows instead."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """A global row number without a single-partition window: range partitions in order, each numbered from the
     number of rows before it."""
     keyed = df.withColumns({f"__k{i}": c for i, c in enumerate(order)})
     keys = [f"__k{i}" for i in range(len(order))]
-    held = keyed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()).persist()
+    held = _written(keyed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     counts = held.groupBy("__part").agg(F.count("*").alias("n")).collect()  # a row a partition
     before, total = [], 0
     for row in sorted(counts):

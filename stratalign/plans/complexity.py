@@ -35,7 +35,7 @@ def continued_fraction(series: Sequence[float]) -> np.ndarray:
     """a with series(t) = a0 / (1 + a1 t / (1 + a2 t / ...)), by repeated division of power series."""
     if not len(series):
         return np.zeros(0)
-    above, below = np.array([1.0] + [0.0] * (len(series) - 1)), np.array(series, np.float64)
+    below = np.array(series, np.float64)
     out = [below[0]]
     # series = a0 / (1 + t * rest): the next level's series is what the division leaves, shifted by one power.
     current = below
@@ -51,7 +51,6 @@ def continued_fraction(series: Sequence[float]) -> np.ndarray:
         if not len(current) or not np.isfinite(current).all():
             break
         out.append(current[0])
-    del above
     return np.array(out + [0.0] * (len(series) - len(out)))
 
 
