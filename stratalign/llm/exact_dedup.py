@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
 from .storage import Scratch, column, fresh_names, keep_columns
+from .textkit import trimmed
 
 _LAST = (1 << 63) - 1
 _FIELDS = [("doc_id", pa.int64()), ("uid", pa.int64()), ("local", pa.int64()), ("into", pa.int64()), ("keep_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())]
@@ -130,10 +131,10 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(df.sparkSession, "exact")
     narrow = keep_columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    local = narrow.mapInArrow(_local, _DDL)
+    local = narrow.mapInArrow(trimmed(_local), _DDL)
     # A winner's salt comes from its partition; a row that only follows its winner is dealt by its own number.
     salt = F.when(F.col("content").isNotNull(), F.pmod(F.shiftright("uid", 33), F.lit(salts))).otherwise(F.col("uid"))
-    salted = local.repartition(F.col("digest"), salt).sortWithinPartitions("digest").mapInArrow(_combine, _DDL)
+    salted = local.repartition(F.col("digest"), salt).sortWithinPartitions("digest").mapInArrow(trimmed(_combine), _DDL)
     salted = scratch.save(salted, "salted")
     firsts = salted.filter("content is not null")
     final = firsts.repartition("digest").sortWithinPartitions("digest").mapInArrow(_combine, _DDL).drop("content")

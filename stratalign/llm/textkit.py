@@ -8,6 +8,7 @@ object is made for a word.  Texts are handled in segments of bounded size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trimmed(function):
+    """A function over batches that hands what it has freed back to the system when a task ends: a worker process goes on
+    to other tasks, and what the allocator keeps would count as its memory for good."""
+
+    def run(batches):
+        yield from function(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library: it has its own ways
+            pass
+
+    return run
+
+
 class _Tables:
     """Byte tables and powers, made once a process."""
 

@@ -301,7 +301,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts, _ = labelled_texts(docs, labels, label_col, rows_per_class, id_col, text_col)
     model = fit(texts)
     rows = keep_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold(F.col("doc_id")) == 0).alias("held_out"))
-    scored = rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(textkit.trimmed(scorer(model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -320,4 +320,4 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             scored = next(score(iter([pa.RecordBatch.from_arrays([empty, text, empty], ["doc_id", "text", "held_out"])])))
             yield batch.filter(pa.array(np.array(scored.column(2)) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(textkit.trimmed(keep), docs.schema)
