@@ -16,11 +16,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 LEAST_BIN, MOST_BIN = 64, 1 << 20
 
 
-def bin_size(df: DataFrame) -> int:
-    """A power of two of about the mean length, so that intervals lie in two bins on average and a bin holds no more
-    of them than can meet; one aggregate over df, which is the smaller side of a join as a rule."""
-    mean = df.agg(F.avg(F.col("e") - F.col("s"))).first()[0] or 0
-    return max(LEAST_BIN, min(MOST_BIN, 1 << max(0, int(mean) - 1).bit_length()))
+#: A side of so many rows at most is broadcast; the planner's estimate does not see that rows are spread over bins.
+FEW = 100_000
+
+
+def _sized(right: DataFrame, size: int | None) -> tuple[int, str]:
+    """The bins' width, and how the right side's rows in their bins are joined: sent to all tasks if they are measured
+    and few, else shuffled with the left side's.  The width is a power of two of about the mean length, so that
+    intervals lie in two bins on average and a bin holds no more of them than can meet; one aggregate over the
+    right side, which is the smaller one as a rule."""
+    if size:
+        return size, "merge"
+    mean, rows = right.agg(F.avg(F.col("e") - F.col("s")), F.count("*")).first()
+    size = max(LEAST_BIN, min(MOST_BIN, 1 << max(0, int(mean or 0) - 1).bit_length()))
+    return size, "broadcast" if rows * (2 + (mean or 0) / size) <= FEW else "merge"
 
 
 def _bins(s: Column, last: Column, size: int) -> Column:
@@ -38,9 +47,9 @@ def _renamed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
 def overlap_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int | None = None, closed: bool = False, prefix: str = "r_") -> DataFrame:
     """Every left row at least once, beside the right rows of its bins, with ``met``: the two overlap (closed: or touch)
     and meet here for the first time.  Left rows without an interval stay too."""
-    keys, reach, size = list(keys), 0 if closed else 1, size or bin_size(right)
+    keys, reach, (size, way) = list(keys), 0 if closed else 1, _sized(right, size)
     a = left.withColumn("__bin", F.explode_outer(_bins(F.col("s"), F.col("e") - reach, size)))
-    b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"])
+    b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"]).hint(way)
     rs, re = F.col(f"{prefix}s"), F.col(f"{prefix}e")
     met = (F.col("s") <= re) & (rs <= F.col("e")) if closed else (F.col("s") < re) & (rs < F.col("e"))
     first = F.col("__bin") == F.floor(F.greatest(F.col("s"), rs) / size)
@@ -50,12 +59,13 @@ def overlap_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], s
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int | None = None, closed: bool = False, how: str = "inner", row: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
     """Pairs that share a base (closed: or touch).  Both sides have s and e; the right side's other columns get a
     prefix.  how: inner, left_semi or left_anti, the last two by ``row``, the columns that tell left rows apart."""
-    keys, reach, size = list(keys), 0 if closed else 1, size or bin_size(right)
+    keys, reach = list(keys), 0 if closed else 1
     if how != "inner":
         hit = overlap_join(left.select(*dict.fromkeys([*row, *keys, "s", "e"])), right.select(*keys, "s", "e"), keys, size, closed).select(*row).distinct()
         return left.join(hit, list(row), how)
+    size, way = _sized(right, size)
     a = _binned(left, F.col("s"), F.col("e") - reach, size)
-    b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"])
+    b = _renamed(_binned(right, F.col("s"), F.col("e") - reach, size), prefix, [*keys, "__bin"]).hint(way)
     rs, re = F.col(f"{prefix}s"), F.col(f"{prefix}e")
     met = (F.col("s") <= re) & (rs <= F.col("e")) if closed else (F.col("s") < re) & (rs < F.col("e"))
     first = F.col("__bin") == F.floor(F.greatest(F.col("s"), rs) / size)
@@ -70,9 +80,9 @@ def containment_join(left: DataFrame, right: DataFrame, keys: Sequence[str], siz
 
 def stab_join(points: DataFrame, right: DataFrame, keys: Sequence[str], point: str = "p", size: int | None = None, strict: bool = False, prefix: str = "r_") -> DataFrame:
     """Points within intervals: s <= p < e, or s < p < e where strict."""
-    keys, size = list(keys), size or bin_size(right)
+    keys, (size, way) = list(keys), _sized(right, size)
     a = points.withColumn("__bin", F.floor(F.col(point) / size))
-    b = _renamed(_binned(right, F.col("s"), F.col("e") - 1, size), prefix, [*keys, "__bin"])
+    b = _renamed(_binned(right, F.col("s"), F.col("e") - 1, size), prefix, [*keys, "__bin"]).hint(way)
     p, rs, re = F.col(point), F.col(f"{prefix}s"), F.col(f"{prefix}e")
     return a.join(b, [*keys, "__bin"]).filter(((rs < p) if strict else (rs <= p)) & (p < re)).drop("__bin")
 

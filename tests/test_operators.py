@@ -71,6 +71,27 @@ def test_joins_equal_nested_loops(spark, closed):
     assert got == sorted((a[0], a[1], a[2], b[1], b[2]) for a in left for b in right if a[0] == b[0] and meets(a, b))
 
 
+def test_spread_rows_are_not_broadcast_unmeasured(spark):
+    genes = frame(spark, [("a", 40 * i, 40 * i + 100) for i in range(20)]).withColumn("gene_id", F.col("s"))
+    blocks = frame(spark, [("a", 10 * i, 10 * i + 30) for i in range(60)])
+    slots = cv.slot_depth(cv.sampling_grid(genes, 10, 30), blocks, ["chrom"], "gene_id")
+    met = slots._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in met and "strategy=broadcast" not in met
+    expected = {(40 * g, k, sum(10 * i <= 40 * g + 10 * k < 10 * i + 30 for i in range(60))) for g in range(20) for k in range(10)}
+    assert {tuple(r) for r in slots.collect()} == expected
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_joins_by_either_way_agree(spark, monkeypatch, few):
+    monkeypatch.setattr(iv, "FEW", few)
+    left = [(c, s, s + n) for c in "ab" for s in range(0, 600, 7) for n in (1, 90)]
+    right = [(c, s, s + n) for c in "ab" for s in range(3, 600, 31) for n in (5, 200)]
+    found = iv.overlap_join(frame(spark, left), frame(spark, right), ["chrom"])
+    assert ("strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()) == (few == 0)
+    expected = sorted((c, a, z, s, e) for c, a, z in left for d, s, e in right if c == d and a < e and s < z)
+    assert sorted(tuple(r) for r in found.select("chrom", "s", "e", "r_s", "r_e").collect()) == expected
+
+
 @pytest.mark.parametrize("tile", [None, 64])
 def test_depth_equals_counting(spark, tile):
     random.seed(5)
