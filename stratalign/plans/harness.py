@@ -57,14 +57,15 @@ WITH r AS (SELECT *, {_RID} AS rid FROM ({_READS}) x),
 
 
 class Tables:
-    """The projections as DataFrames."""
+    """The projections as DataFrames.  rid tells reads apart by the keys themselves, of any size, in the order of the
+    SQL's number, which holds orders below 2^22 and parts below 2^18."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         def read(name: str) -> DataFrame:
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
         self.spark, self.read = spark, read
-        self.reads = self._sql(read("lineitem"), "lineitem", _READS).withColumn("rid", F.expr(_RID))
+        self.reads = self._sql(read("lineitem"), "lineitem", _READS).withColumn("rid", F.when(F.expr("qname + pk + sk + ln + len").isNotNull(), F.struct("qname", "pk", F.expr("(sk * 8 + ln) * 64 + len - 20").alias("line"))))
         self.genes = self._sql(read("part"), "part", _GENES).withColumn("chrom", F.col("tid"))
 
     def _sql(self, df: DataFrame, name: str, text: str) -> DataFrame:
@@ -701,9 +702,19 @@ def cigar_lengths(t: Tables) -> DataFrame:
     return _walked(t).groupBy("op").agg(F.sum(cg.query_aligned_length(ops)).alias("aligned"), F.sum(cg.intron_bases(ops)).alias("intron"), F.sum(cg.reference_end(ops, F.col("pos"))).alias("ends"), F.count_if(cg.is_spliced(ops)).alias("spliced"))
 
 
+def _numbered(t: Tables) -> DataFrame:
+    """Walked reads with the SQL's number as rid: a long, or a decimal where a number does not fit, as then in the whole
+    column."""
+    r = _walked(t)
+    tried = F.expr("try_add(try_multiply(try_add(try_multiply(try_add(try_multiply(try_add(try_multiply(qname, 262144L), pk), 16384L), sk), 8L), ln), 64L), len - 20)")
+    if r.filter(F.col("rid").isNotNull() & tried.isNull()).isEmpty():
+        return r.withColumn("rid", F.expr(_RID))
+    return r.withColumn("rid", F.expr(_RID.replace("qname", "cast(qname as decimal(38, 0))")).cast("decimal(38, 0)"))
+
+
 @query("cigar_blocks", _WALKED + """, bl AS (SELECT rid, pos AS s, pos + a AS e FROM cg UNION ALL SELECT rid, pos + a + gap, pos + a + gap + b FROM cg) SELECT rid, s, e FROM bl""")
 def cigar_blocks(t: Tables) -> DataFrame:
-    return _walked(t).select("rid", F.explode(cg.blocks(F.col("ops"), F.col("pos"))).alias("x")).select("rid", "x.s", "x.e")
+    return _numbered(t).select("rid", F.explode(cg.blocks(F.col("ops"), F.col("pos"))).alias("x")).select("rid", "x.s", "x.e")
 
 
 @query("cigar_introns", _WALKED + "SELECT tid, pos + a AS s, pos + a + k AS e, count(*) AS reads FROM cg WHERE op = 'N' GROUP BY ALL")
@@ -807,7 +818,7 @@ _FRAGMENTS = """, gbr AS (SELECT *, sk % 3 <> 0 AS proper FROM r WHERE flag & 28
 
 def _fragment_blocks(t: Tables) -> DataFrame:
     kept = t.reads.filter(fl.gene_body_reads()).select("rid", "qname", "ln", (F.col("sk") % 3 != 0).alias("proper"))
-    frag = F.when(F.col("proper"), F.concat(F.lit("p"), F.expr("qname * 4 + (ln + 1) div 2"))).otherwise(F.concat(F.lit("r"), F.col("rid")))
+    frag = F.when(F.col("proper"), F.concat(F.lit("p"), F.expr("qname * 4 + (ln + 1) div 2"))).otherwise(F.concat(F.lit("r"), F.col("rid").cast("string")))
     return t.blocks.drop("qname", "ln").join(kept.withColumn("frag", frag), "rid")
 
 
