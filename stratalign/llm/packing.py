@@ -1,15 +1,15 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Every partition packs its pieces best-fit, longest first.  Nearly full bins are
-done.  The others are items of the next level, where the bins of ``fan_in``
-partitions meet, and so on up a tree until one partition is left.
-
+Every partition packs its pieces best-fit, longest first.  Full bins are done.
 Two bins of at most half the capacity never survive one pass together, so a
-group has one such bin at most; a fuller bin can only take in one of those.  No
-more than ``fan_in`` bins of any one fill can therefore be of use to the next
-level, and the rest are done as they are: what goes up is bounded, and nothing
-is lost.  A task of more than ``_BLOCK`` items packs them in as many groups as that
-takes, each of which sends up its own.
+group has one such bin at most; a fuller bin can only take in some of those.
+
+Small bins go up and meet, with bins of every fill that could take one in, as many
+of a fill as there are small bins in all: more cannot be of use to them.  What goes
+up is so bounded by the number of groups, and nothing that could still be put
+together is left out.  One task packs it, or, if it is more than ``_BLOCK`` items,
+one for ``fan_in`` of the level below, and so on up a tree until one group is left.
+A task of more than ``_BLOCK`` items packs them in as many groups as that takes.
 
 Documents longer than the capacity are cut into pieces of exactly the capacity,
 of which the first may be shorter; no other document is cut.  Null is the empty
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import textkit
@@ -33,9 +33,9 @@ from .storage import Scratch, keep_columns
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Level rows: an item and its bin (into, shift), and the bin's fill with its first item; up: it goes on.
-_PLACED = pa.schema([("uid", pa.int64()), ("into", pa.int64()), ("shift", pa.int64()), ("fill", pa.int64()), ("up", pa.bool_())])
-_PLACED_DDL = "uid long, into long, shift long, fill long, up boolean"
+#: Level rows: an item and its bin (into, shift), and the bin's fill with its first item, else 0.
+_PLACED = pa.schema([("uid", pa.int64()), ("into", pa.int64()), ("shift", pa.int64()), ("fill", pa.int64())])
+_PLACED_DDL = "uid long, into long, shift long, fill long"
 #: Items packed at a time.
 _BLOCK = 400_000
 
@@ -100,7 +100,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, fills
 
 
-def _pack(capacity: int, nearly: int, fan_in: int):
+def _pack(capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, lengths, held = [], [], 0
 
@@ -113,13 +113,10 @@ def _pack(capacity: int, nearly: int, fan_in: int):
             lead = np.full(len(fill), -1, np.int64)
             first = offsets == 0
             lead[bins[first]] = uid[first]  # a bin bears the name of its first item
-            up = np.zeros(len(fill), bool)
-            for size in np.unique(fill[fill < nearly]).tolist():
-                up[np.flatnonzero(fill == size)[:fan_in]] = True
             for start in range(0, len(uid), 1 << 16):
                 part = slice(start, start + (1 << 16))
                 lead_item = first[part]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[part]), pa.array(lead[bins[part]]), pa.array(offsets[part]), pa.array(np.where(lead_item, fill[bins[part]], 0)), pa.array(up[bins[part]] & lead_item)], schema=_PLACED)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[part]), pa.array(lead[bins[part]]), pa.array(offsets[part]), pa.array(np.where(lead_item, fill[bins[part]], 0))], schema=_PLACED)
 
         for batch in batches:
             uids.append(batch.column(0).to_numpy())
@@ -134,24 +131,36 @@ def _pack(capacity: int, nearly: int, fan_in: int):
     return pack
 
 
-def pack(items: DataFrame, capacity: int = 1024, nearly: int | None = None, fan_in: int = 8, block_rows: int = 200_000) -> DataFrame:
+def _useful(placed: DataFrame, capacity: int) -> DataFrame | None:
+    """(uid, length) of the small bins, and of bins that could take one in; None without small bins."""
+    number, least = placed.filter(F.col("fill").between(1, capacity // 2)).agg(F.count("*"), F.min("fill")).first()
+    if not number:
+        return None
+    bins = placed.filter(F.col("fill").between(1, capacity - least)).select(F.col("into").alias("uid"), F.col("fill").alias("length"))
+    place = F.row_number().over(Window.partitionBy("length").orderBy("uid"))
+    return bins.withColumn("place", place).filter(F.col("place") <= number).select("uid", "length")
+
+
+def pack(items: DataFrame, capacity: int = 1024, fan_in: int = 8, block_rows: int = 200_000) -> DataFrame:
     """uid, sequence_id, offset of items (uid, length); uids are distinct."""
     scratch = Scratch(items.sparkSession, "pack")
-    nearly = capacity - capacity // 128 if nearly is None else nearly
-    parts = max(1, -(-items.count() // block_rows))
     current, level, moves = items.select("uid", "length"), 0, None
+    rows = current.count()
+    parts = max(1, -(-rows // block_rows))
     while True:
         dealt = current.repartition(parts, F.xxhash64("uid"))
-        placed = scratch.save(dealt.mapInArrow(_pack(capacity, nearly, fan_in), _PLACED_DDL), f"level{level}")
+        placed = scratch.save(dealt.mapInArrow(_pack(capacity), _PLACED_DDL), f"level{level}")
         step = placed.select("uid", F.col("into").alias("sequence_id"), F.col("shift").alias("offset"))
         if moves is None:
             moves = step
         else:  # the bins of the level below move as wholes; those that did not go up stay
             step = step.select(F.col("uid").alias("moved"), F.col("sequence_id").alias("to"), F.col("offset").alias("by"))
             moves = moves.join(step, F.col("sequence_id") == F.col("moved"), "left").select("uid", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
-        if parts == 1:
+        if parts == 1 and rows < _BLOCK or (useful := _useful(placed, capacity)) is None:
             return moves
-        current, parts, level = placed.filter("up").select(F.col("into").alias("uid"), F.col("fill").alias("length")), -(-parts // fan_in), level + 1
+        current = scratch.save(useful, f"up{level}")
+        rows = current.count()
+        parts, level = 1 if rows < _BLOCK else -(-parts // fan_in), level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalign.llm import ann, bytebpe, exact_dedup, licenses, lm, mixing, ngram_join, packing, quality, textkit, toxicity, warc
+from stratalign.llm import ann, bytebpe, exact_dedup, licenses, lm, mixing, ngram_join, packing, quality, storage, textkit, toxicity, warc
 
 random.seed(9)
 WORDS = ["".join(random.choice("abcdefghij") for _ in range(random.randint(1, 8))) for _ in range(400)]
@@ -286,6 +287,30 @@ def test_packing_over_levels(spark):
     assert all(sum(n for _, n in sorted(p)[:k]) == sorted(p)[k][0] for p in seen.values() for k in range(len(p)))
 
 
+def test_packing_where_one_task_has_all_the_room(spark):
+    """Sixteen tasks have one small item each, and all bins that can take them in are another task's."""
+    parts = 18
+    ids = defaultdict(list)
+    for r in spark.range(8000).select("id", F.pmod(F.hash(F.xxhash64("id")), F.lit(parts)).alias("part")).collect():
+        ids[r["part"]].append(r["id"])
+    lengths = dict.fromkeys(ids[0][:162], 800) | {ids[k][0]: 224 - k % 3 for k in range(1, parts)}
+    rows = packing.pack(spark.createDataFrame(list(lengths.items()), "uid long, length long"), block_rows=10, fan_in=4).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += lengths[r["uid"]]
+    assert len(rows) == len(lengths) and max(fill.values()) <= 1024
+    assert len(fill) == 162
+
+
+def test_packing_fills_the_last_place(spark):
+    """A sequence with room for one token more takes it from another task."""
+    ids = defaultdict(list)
+    for r in spark.range(100).select("id", F.pmod(F.hash(F.xxhash64("id")), F.lit(2)).alias("part")).collect():
+        ids[r["part"]].append(r["id"])
+    rows = packing.pack(spark.createDataFrame([(ids[0][0], 1023), (ids[1][0], 1)], "uid long, length long"), block_rows=1).collect()
+    assert len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_byte_bpe_equals_library():
     tokenizers = pytest.importorskip("tokenizers")
     with open(packing.public_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file:
