@@ -706,6 +706,25 @@ def test_filter_before_the_join_loses_nothing(spark):
     assert left.columns == ["doc_id", "text"]
 
 
+def test_keep_one_shuffles_only_what_may_go(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % 990) for k in range(9)]).alias("text"))
+    kept = ngram_join.keep_one(df)
+    assert "bit_get" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"] for r in kept.collect()} == set(range(990))
+
+
+def test_shuffle_files_of_finished_steps_go(spark):
+    tracker, scratch = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), storage.Scratch(spark, "test")
+    scratch.save(spark.range(1000).repartition(7, "id"), "dealt")
+    assert tracker.shuffleStatuses().size() > 0
+    for _ in range(50):
+        scratch.release()
+        if not tracker.shuffleStatuses().size():
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() == 0
+
+
 def test_keep_one_keeps_columns_and_null_ids(spark):
     rows = [("x", 1, "a b c d e f g h i j k l"), ("y", 2, "a b c d e f g h i j k l"), ("z", None, "a b c d e f g h i j k l"), ("w", 3, None), ("v", 4, ""), ("u", 1, "a b c d e f g h i j k l")]
     df = spark.createDataFrame(rows, "gone_id string, doc_id long, text string")
