@@ -136,6 +136,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salt = F.when(F.col("content").isNotNull(), F.pmod(F.shiftright("uid", 33), F.lit(salts))).otherwise(F.col("uid"))
     salted = local.repartition(F.col("digest"), salt).sortWithinPartitions("digest").mapInArrow(trimmed(_combine), _DDL)
     salted = scratch.save(salted, "salted")
+    scratch.release()
     firsts = salted.filter("content is not null")
     final = firsts.repartition("digest").sortWithinPartitions("digest").mapInArrow(_combine, _DDL).drop("content")
     # local winner -> salt winner -> the row that stays

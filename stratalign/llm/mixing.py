@@ -87,7 +87,9 @@ def _plan(sizes: DataFrame, weights: Sequence[int], most: int, seed: str, broadc
     totals = drawn.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("whole")).alias("held"), *(F.sum(f"extra{k}").alias(f"extra{k}") for k in range(SEEDS)))
     miss = F.array(*(F.struct(F.abs((F.col("held") + F.col(f"extra{k}")).cast("double") - F.col("target")).alias("miss"), F.lit(k).alias("number")) for k in range(SEEDS)))
     chosen = totals.select(F.col("source").alias("its_source"), F.array_min(miss)["number"].alias("number"))
-    return scratch.save(targets.join(chosen, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source"), "plan")
+    plan = scratch.save(targets.join(chosen, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source"), "plan")
+    scratch.release()
+    return plan
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

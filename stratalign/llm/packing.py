@@ -167,6 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
     """All pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     scratch = Scratch(docs.sparkSession, "pieces")
     cut_up = scratch.save(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    scratch.release()
     whole = cut_up.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long")})
     short = cut_up.filter(F.col("length") < capacity)
     placed = short.join(pack(short, capacity), "uid")

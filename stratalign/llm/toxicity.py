@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit
 from .labelled import fold, labelled_texts
-from .storage import keep_columns
+from .storage import keep_columns, release
 
 
 @dataclass
@@ -309,6 +309,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The rows of docs, with all their columns, whose score is below the threshold: a null or empty text has
     the score of no evidence, and equal texts stay or go together."""
     model = fit(labelled_texts(docs, labels, label_col, rows_per_class, id_col, text_col)[0])
+    release(docs.sparkSession)  # the texts, and what was counted in them
     if model is None:
         return docs
     text_at, score = docs.columns.index(text_col), scorer(model)

@@ -1,8 +1,10 @@
 """Each operator on awkward rows, against brute force, round trips or held-out labels."""
 
+import ctypes
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -725,6 +727,22 @@ def test_shuffle_files_of_finished_steps_go(spark):
     assert tracker.shuffleStatuses().size() == 0
 
 
+def _resident() -> int:
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/statm") or not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs Linux with glibc")
+def test_freed_memory_goes_back(spark):
+    held = [bytes([k % 250 + 1]) * 2000 for k in range(100_000)]
+    rest, full = held[::1000], _resident()  # what is left keeps the allocator from giving all back by itself
+    del held
+    storage.Scratch(spark, "test").release()
+    assert _resident() < full - 100_000_000
+    assert len(rest) == 100
+    assert "Trim native heap" in storage._trim_jvm(spark)
+
+
 def test_keep_one_keeps_columns_and_null_ids(spark):
     rows = [("x", 1, "a b c d e f g h i j k l"), ("y", 2, "a b c d e f g h i j k l"), ("z", None, "a b c d e f g h i j k l"), ("w", 3, None), ("v", 4, ""), ("u", 1, "a b c d e f g h i j k l")]
     df = spark.createDataFrame(rows, "gone_id string, doc_id long, text string")
