@@ -36,7 +36,7 @@ from pyspark.taskcontext import TaskContext
 
 from . import textkit
 from .labelled import fold
-from .storage import Scratch, keep_columns
+from .storage import Scratch, keep_columns, release
 
 U64 = np.uint64
 START = U64(0x1234567887654321)
@@ -49,6 +49,8 @@ LEVELS = (9, 2, 1)
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.1
+#: So many of the table's rows are worked on at a time: they stay in a core's own cache.
+BLOCK = 2048
 
 
 @dataclass
@@ -63,6 +65,27 @@ class Vocabulary:
     bias: np.ndarray  # classes x WIDTH
     rows: int  # of the weight table
     rest_total: float  # sum of (count + 1) over words outside the table, and 1 for all unknown ones
+    starts: np.ndarray | None = None  # by the first bits of a hash, how many hashes have smaller ones; made when first used
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes are, or would be, in the sorted ones, and whether they are there.  Hashes are spread evenly, so
+        that their first bits lead next to the place, and few are left to search for."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        bits = U64(64 - len(self.hashes).bit_length())
+        if self.starts is None:
+            each = np.bincount((self.hashes >> bits).view(np.int64), minlength=1 << (64 - int(bits)))
+            self.starts = (np.cumsum(each) - each).astype(np.int32)
+        place = np.take(self.starts, (hashes >> bits).view(np.int64)).astype(np.int64)
+        found = np.take(self.hashes, place, mode="clip")
+        left = np.flatnonzero(found < hashes)
+        for _ in range(2):
+            place[left] += 1
+            found[left] = np.take(self.hashes, place[left], mode="clip")
+            left = left[found[left] < hashes[left]]
+        place[left] = np.searchsorted(self.hashes, hashes[left])
+        found[left] = np.take(self.hashes, place[left], mode="clip")
+        return place, found == hashes
 
 
 def class_tree(mass: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +180,7 @@ class Stream:
     """A slice's tokens with what the model needs of them."""
 
     def __init__(self, vocabulary: Vocabulary, hashes: np.ndarray, rows: np.ndarray):
-        place = np.searchsorted(vocabulary.hashes, hashes)
-        known = np.append(vocabulary.hashes, U64(0))[place] == hashes
-        known &= place < len(vocabulary.hashes)
+        place, known = vocabulary.places(hashes)
         self.vocabulary, self.hashes, self.rows, self.known = vocabulary, hashes, rows, known
         self.place = np.where(known, place, len(vocabulary.hashes))
         firsts = rows[:-1]
@@ -203,22 +224,26 @@ def odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return logits, logits @ _ONES
 
 
-def sums_by_row(rows: list[np.ndarray], values: np.ndarray, short: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sums_by_row(rows: list[np.ndarray], values: np.ndarray, short: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, how often each occurs, and the sum of its values; each of ``rows`` is for the first so many
     values.  Runs of equal rows are added up one place at a time for all runs, long ones at once."""
-    flat = np.concatenate(rows)
-    order = np.argsort(flat)
-    ordered = flat[order]
+    bits = len(values).bit_length()
+    keys = np.concatenate([r.astype(np.int64) << bits | np.arange(len(r)) for r in rows])
+    keys.sort()
+    ordered, source = keys >> bits, keys & ((1 << bits) - 1)
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     length = np.diff(np.r_[first, len(ordered)])
-    longest = np.argsort(-length)
+    kind = np.minimum(length, short + 1).astype(np.int8)
+    longest = np.argsort(-kind, kind="stable")
     first, length = first[longest], length[longest]
-    source = np.concatenate([np.arange(len(r)) for r in rows])[order]
+    over = len(first) - np.cumsum(np.bincount(kind, minlength=short + 1))  # how many runs are longer
     total = np.take(values, source[first], axis=0)
     for k in range(1, short):
-        some = int(np.searchsorted(-length, -k))  # runs of more than k
+        some = over[k]
+        if not some:
+            break
         total[:some] += np.take(values, source[first[:some] + k], axis=0)
-    for k in range(int(np.searchsorted(-length, -short))):
+    for k in range(over[short]):
         total[k] += np.take(values, source[first[k] + short : first[k] + length[k]], axis=0).sum(0)
     return ordered[first], length, total
 
@@ -230,30 +255,44 @@ class Table:
         self.weights = weights
         self.squares = np.full(len(weights), 1e-2, np.float32) if squares is None else squares
         self.updates = np.zeros(len(weights), np.float32)
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.take(self.weights, rows[0], axis=0)
-        for row in rows[1:]:
-            out[: len(row)] += np.take(self.weights, row, axis=0)
-        return out
+        self.held, self.spare = np.empty((0, WIDTH), np.float32), np.empty((BLOCK, WIDTH), np.float32)
+
+    def taken(self, source: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Up to BLOCK rows, until the next call."""
+        return np.take(source, rows, axis=0, out=self.spare[: len(rows)], mode="clip")
+
+    def odds(self, bias: np.ndarray, classes: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """By blocks of decisions: which, ``odds`` of their logits, and the sums; ``held`` has those of all decisions."""
+        if len(self.held) < len(classes):
+            self.held = np.empty((len(classes), WIDTH), np.float32)
+        for start in range(0, len(classes), BLOCK):
+            part = slice(start, min(start + BLOCK, len(classes)))
+            own = np.take(self.weights, rows[0][part], axis=0, out=self.held[part], mode="clip")
+            for row in rows[1:]:
+                if start < len(row):
+                    own[: len(row) - start] += self.taken(self.weights, row[part])
+            own += self.taken(bias, classes[part])
+            yield part, *odds(own)
 
     def step(self, rows: list[np.ndarray], gradient: np.ndarray) -> None:
         at, times, total = sums_by_row(rows, gradient)
-        squares = self.squares[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
-        self.squares[at] = squares
-        total *= (RATE / np.sqrt(squares))[:, None]
-        weights = np.take(self.weights, at, axis=0)
-        weights -= total
-        self.weights[at] = weights
+        for start in range(0, len(at), BLOCK):
+            some, change = at[start : start + BLOCK], total[start : start + BLOCK]
+            squares = self.squares[some] + np.einsum("ij,ij->i", change, change) / change.shape[1]
+            self.squares[some] = squares
+            change *= (RATE / np.sqrt(squares))[:, None]
+            weights = self.taken(self.weights, some)
+            weights -= change
+            self.weights[some] = weights
         self.updates[at] += times
 
 
 def train_step(stream: Stream, part: slice, table: Table) -> None:
     _, classes, branches, rows = stream.decisions(part)
-    gradient, total = odds(table.logits(rows) + np.take(stream.vocabulary.bias, classes, axis=0))
-    gradient /= total[:, None]
-    gradient[np.arange(len(gradient)), branches] -= 1
-    table.step(rows, gradient)
+    for some, gradient, total in table.odds(stream.vocabulary.bias, classes, rows):
+        gradient /= total[:, None]
+        gradient.reshape(-1)[np.arange(len(gradient)) * WIDTH + branches[some]] -= 1
+    table.step(rows, table.held[: len(classes)])
 
 
 _BLOCKS = pa.schema([("block", pa.int32()), ("weights", pa.binary()), ("squares", pa.binary()), ("updates", pa.binary())])
@@ -326,6 +365,8 @@ def train_table(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS)
             weights[at] = np.frombuffer(row["weights"], "<f2").reshape(-1, WIDTH)[own_rows]
             squares[at] = np.frombuffer(row["squares"], "<f4")[own_rows]
         shared.destroy()
+        del own, made
+        release(spark)  # else the disk holds all rounds' shuffles
     return weights
 
 
@@ -339,9 +380,10 @@ def token_scores(stream: Stream, table: Table) -> np.ndarray:
     for start in range(0, len(out), BATCH):
         part = slice(start, min(start + BATCH, len(out)))
         token, classes, branches, rows = stream.decisions(part)
-        own, total = odds(table.logits(rows) + np.take(stream.vocabulary.bias, classes, axis=0))
-        logs = np.log(own[np.arange(len(own)), branches].astype(np.float64) / total)
-        out[part] = np.bincount(token, logs, part.stop - start)
+        logs = np.empty(len(classes))
+        for some, own, total in table.odds(stream.vocabulary.bias, classes, rows):
+            logs[some] = own[np.arange(len(own)), branches[some]].astype(np.float64) / total
+        out[part] = np.bincount(token, np.log(logs), part.stop - start)
     return out
 
 
@@ -388,6 +430,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     training = rows.filter(~F.col("held_out")).select("text", F.xxhash64("doc_id").alias("number"))
     counts = scratch.save(training.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     vocabulary, total, words = build_vocabulary(counts)
+    scratch.release()
     weights = train_table(training, vocabulary)
     shared = spark.sparkContext.broadcast((vars(vocabulary), weights))
     scored = scratch.save(rows.mapInArrow(_score(shared), _SCORES_DDL), "scored")

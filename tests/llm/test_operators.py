@@ -449,6 +449,67 @@ def test_sums_by_row():
     assert np.allclose(total, expected[at], atol=1e-4)
 
 
+def test_places_of_words():
+    """As a binary search finds them, in tables of any size, evenly spread or not, at both ends too."""
+    rng = np.random.default_rng(5)
+    ends = np.array([0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    for n, top in ((0, 64), (1, 64), (2, 64), (1000, 64), (5000, 62), (300, 12), (3000, 40)):
+        hashes = np.unique(rng.integers(0, 1 << top, n, np.uint64, endpoint=False) if top < 64 else textkit.mix(np.arange(n, dtype=np.uint64)))
+        for table in (hashes, np.unique(np.append(hashes, ends))):
+            vocabulary = lm.Vocabulary(table, *[None] * 5, 1, 1.0)
+            asked = np.concatenate([ends, table, table + np.uint64(1), textkit.mix(np.arange(500, dtype=np.uint64))])
+            for _ in range(2):  # the second time with what the first has made
+                place, known = vocabulary.places(asked)
+                assert place.tolist() == np.searchsorted(table, asked).tolist()
+                assert known.tolist() == np.isin(asked, table).tolist()
+
+
+def test_stream_takes_less_than_a_binary_search():
+    """In CPU seconds, the best of five: words are looked up in training and again in scoring."""
+    rng = np.random.default_rng(6)
+    vocabulary = _vocabulary(400_000, rng)
+    hashes, rows = rng.choice(vocabulary.hashes, 300_000), np.array([0, 300_000])
+
+    def best(work):
+        seconds = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            seconds.append(time.process_time() - start)
+        return min(seconds)
+
+    assert best(lambda: lm.Stream(vocabulary, hashes, rows)) < best(lambda: np.searchsorted(vocabulary.hashes, hashes))
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_training_step_equals_one_over_all_rows(monkeypatch, block):
+    """Weights, squares and updates after two steps, against plain sums over all decisions at once."""
+    monkeypatch.setattr(lm, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    vocabulary = _vocabulary(2000, rng)
+    hashes = rng.choice(np.append(vocabulary.hashes[:60], np.uint64(5)), 900)
+    stream, table = lm.Stream(vocabulary, hashes, np.array([0, 4, 500, 900])), lm.Table(np.zeros((vocabulary.rows, lm.WIDTH), np.float32))
+    weights, squares, updates = np.zeros(table.weights.shape), np.full(len(table.weights), 1e-2), np.zeros(len(table.weights))
+    for part in (slice(0, 450), slice(450, 900)):
+        lm.train_step(stream, part, table)
+        _, classes, branches, rows = stream.decisions(part)
+        logits = vocabulary.bias[classes].astype(float)
+        for row in rows:
+            logits[: len(row)] += weights[row]
+        gradient = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        gradient[np.arange(len(gradient)), branches] -= 1
+        total, times = np.zeros_like(weights), np.zeros_like(updates)
+        for row in rows:
+            np.add.at(total, row, gradient[: len(row)])
+            np.add.at(times, row, 1)
+        squares += (total**2).mean(1)
+        weights -= lm.RATE * total / np.sqrt(squares)[:, None]
+        updates += times
+    assert table.updates.tolist() == updates.tolist()
+    assert np.allclose(table.squares, squares, rtol=1e-3)
+    assert np.allclose(table.weights, weights, atol=1e-4)
+
+
 def test_language_model_learns(spark):
     """Better than its base by a third where words follow one another, and by much the same in other partitions."""
     random.seed(4)
